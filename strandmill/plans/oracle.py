@@ -1,2 +1,273 @@
-def oracle_sql():
-    return {}
+"""DuckDB SQL for the query catalogue, written from the definitions and not from the Spark plans."""
+
+from __future__ import annotations
+
+FEATURES = """f AS (
+  SELECT 'v' || (vec_id // 100) AS video_id, CAST(vec_id % 100 AS INT) AS frame_idx, embedding::DOUBLE[] AS feat FROM embeddings)"""
+
+PIXELS = f"""{FEATURES}, fr AS (
+  SELECT video_id, frame_idx, list_transform(feat, lambda x: CAST(floor((greatest(least(4 * x, 1.0), -1.0) + 1) * 127.5) AS INT)) AS px FROM f)"""
+
+LABELS = f"""{PIXELS}, lf AS (
+  SELECT video_id, frame_idx, list_transform(px, lambda v: greatest(0, CAST(floor((v - 96) / 20.0) AS INT))) AS labels FROM fr)"""
+
+GRID = """ev AS (
+  SELECT 'v' || (user_id % 10) AS video_id, CAST(floor(epoch(ts) / 3600) AS INT) - 473352 AS frame_idx, value,
+         CASE event_type WHEN 'click' THEN 2 WHEN 'error' THEN 1 WHEN 'purchase' THEN 8 WHEN 'signup' THEN 3 WHEN 'view' THEN 9 END AS class_id
+  FROM events),
+gr AS (
+  SELECT v.video_id, i.frame_idx, coalesce(e.class_ids, []) AS class_ids, coalesce(e.level, 0.0) AS level
+  FROM (SELECT DISTINCT video_id FROM ev) v CROSS JOIN (SELECT CAST(range AS INT) AS frame_idx FROM range(720)) i
+  LEFT JOIN (SELECT video_id, frame_idx, list(class_id ORDER BY class_id) AS class_ids, round(avg(value), 6) AS level FROM ev GROUP BY ALL) e
+    ON e.video_id = v.video_id AND e.frame_idx = i.frame_idx)"""
+
+
+def _carried(interval: int, name: str = "ca") -> str:
+    return f"""{name} AS (
+  SELECT video_id, frame_idx, level,
+         last_value(CASE WHEN frame_idx % {interval} = 0 THEN class_ids END IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame_idx) AS class_ids
+  FROM gr)"""
+
+
+MOTION = """mo AS (
+  SELECT video_id, frame_idx, CASE WHEN step IS NULL THEN 1.0 WHEN max(step) OVER (PARTITION BY video_id) > 0 THEN step / max(step) OVER (PARTITION BY video_id) ELSE 0.0 END AS motion
+  FROM (SELECT video_id, frame_idx, abs(level - lag(level) OVER (PARTITION BY video_id ORDER BY frame_idx)) AS step FROM gr))"""
+
+#: Class names 1 and 3 are rare. Observation ordinals up to 59 back count.
+WEIGHTS = """ob AS (
+  SELECT video_id, frame_idx // 10 AS obs, unnest(class_ids) AS class_id FROM ca WHERE frame_idx % 10 = 0),
+cw AS (
+  SELECT c.video_id, c.frame_idx, c.class_id, count(o.obs) AS fc
+  FROM (SELECT DISTINCT video_id, frame_idx, frame_idx // 10 AS obs, class_id FROM (SELECT video_id, frame_idx, unnest(class_ids) AS class_id FROM ca)) c
+  LEFT JOIN ob o ON o.video_id = c.video_id AND o.class_id = c.class_id AND o.obs BETWEEN c.obs - 59 AND c.obs
+  GROUP BY ALL),
+we AS (
+  SELECT ca.video_id, ca.frame_idx, coalesce(max(1.0 / ln(fc + 2) * CASE WHEN class_id IN (1, 3) THEN 1.25 ELSE 1.0 END), 1.0) AS class_weight
+  FROM ca LEFT JOIN cw USING (video_id, frame_idx) GROUP BY ALL)"""
+
+GRID_FEATURES = """gf AS (
+  SELECT 'v' || v AS video_id, frame_idx, embedding::DOUBLE[] AS feat
+  FROM (SELECT DISTINCT user_id % 10 AS v FROM events) CROSS JOIN (SELECT CAST(range AS INT) AS frame_idx FROM range(720)) i
+  JOIN embeddings ON vec_id = (v * 720 + frame_idx) % (SELECT count(*) FROM embeddings))"""
+
+
+def _uniform(source: str, name: str, history: int, size: int) -> str:
+    """delta and novelty against ``size`` evenly spaced frames of the last ``history``."""
+    return f"""{name}_h AS (
+  SELECT video_id, frame_idx, feat, coalesce(list(feat) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN {history} PRECEDING AND 1 PRECEDING), []) AS past FROM {source}),
+{name}_c AS (
+  SELECT *, CASE WHEN len(past) <= {size} THEN past ELSE list_transform(range({size}), lambda i: past[1 + least(len(past) - 1, i * greatest(1, (len(past) - 1) // {max(size - 1, 1)}))]) END AS ctx FROM {name}_h),
+{name} AS (
+  SELECT video_id, frame_idx, CAST(len(ctx) AS INT) AS n_context,
+         CASE WHEN len(ctx) = 0 THEN 1.0 ELSE 1 - list_max(list_transform(ctx, lambda e: list_dot_product(feat, e))) END AS delta_map,
+         CASE WHEN len(ctx) = 0 THEN 1.0 ELSE least(1.0, list_min(list_transform(ctx, lambda e: list_distance(feat, e))) / 1.414) END AS novelty
+  FROM {name}_c)"""
+
+
+BLEND = """pa AS (
+  SELECT cx.video_id, cx.frame_idx, delta_map, novelty, n_context, motion, class_weight, CAST(len(class_ids) AS INT) AS n_objects, delta_map * novelty * class_weight AS semantic
+  FROM cx JOIN mo USING (video_id, frame_idx) JOIN we USING (video_id, frame_idx) JOIN ca USING (video_id, frame_idx)),
+b1 AS (SELECT *, semantic + 0.35 * motion AS s0 FROM pa),
+b2 AS (SELECT *, CASE WHEN n_objects > 0 THEN greatest(s0, 0.2) * (1 + 0.12 * least(n_objects, 8)) ELSE s0 END AS s1 FROM b1),
+sc AS (
+  SELECT * EXCLUDE (s0, s1), round(greatest(CASE
+    WHEN n_objects >= 2 AND motion >= 0.025 THEN greatest(s1, 0.35) * (1 + 0.15 * least(n_objects, 10))
+    WHEN n_objects >= 1 AND motion >= 0.0125 THEN s1 * (1 + 0.08 * least(n_objects, 6)) ELSE s1 END, 0.0), 9) AS score
+  FROM b2)"""
+
+SCORED = ",\n".join([GRID, _carried(12), MOTION, WEIGHTS, GRID_FEATURES, _uniform("gf", "cx", 15, 3), BLEND])
+
+PRICES = """ps AS (
+  SELECT 'v' || (l_suppkey % 8) AS video_id, l_orderkey * 8 + l_linenumber AS frame_idx, l_extendedprice / 100000.0 AS score FROM lineitem)"""
+
+PIXEL_MOTION = """pm AS (
+  SELECT video_id, frame_idx, coalesce(list_sum(list_transform(list_zip(px, before), lambda p: abs(p[1] - p[2]))) / 64.0 / 255, 1.0) AS motion
+  FROM (SELECT *, lag(px) OVER (PARTITION BY video_id ORDER BY frame_idx) AS before FROM fr))"""
+
+ENTROPY = """en AS (
+  SELECT video_id, frame_idx, -sum(c / 64.0 * log2(c / 64.0 + 1e-12)) AS entropy
+  FROM (SELECT video_id, frame_idx, v // 4 AS bin, count(*) AS c FROM (SELECT video_id, frame_idx, unnest(px) AS v FROM fr) GROUP BY ALL) GROUP BY ALL)"""
+
+NON_UNIFORM = f"""{PIXELS}, {PIXEL_MOTION}, {ENTROPY},
+ch AS (SELECT video_id, frame_idx, CASE WHEN frame_idx = 0 THEN 0.0 ELSE motion * 255 END AS motion FROM pm),
+nu AS (
+  SELECT video_id, frame_idx, round(0.6 * motion / (max(motion) OVER w + 1e-8) + 0.4 * entropy / (max(entropy) OVER w + 1e-8), 9) AS score
+  FROM ch JOIN en USING (video_id, frame_idx) WINDOW w AS (PARTITION BY video_id)),
+nk AS (
+  SELECT video_id, frame_idx, score FROM nu
+  QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) <= greatest(1, round_even(count(*) OVER (PARTITION BY video_id) * 0.2, 0)))"""
+
+
+def _tau(scores: str, name: str, mad: float, low: float, flat: float) -> str:
+    return f"""{name}_1 AS (
+  SELECT video_id, quantile_cont(score, 0.95) + 1e-12 AS scale, median(score) AS mid, quantile_cont(score, {flat}) AS flat, quantile_cont(score, {low}) AS low FROM {scores} GROUP BY ALL),
+{name}_2 AS (SELECT video_id, median(abs(score / scale - mid / scale)) + 1e-12 AS mad FROM {scores} JOIN {name}_1 USING (video_id) GROUP BY ALL),
+{name} AS (
+  SELECT video_id, CASE WHEN scale < 1e-4 THEN flat ELSE greatest(CASE WHEN mad < 0.02 THEN flat / scale ELSE mid / scale + {mad} * mad END, low / scale * 0.5) * scale END AS tau
+  FROM {name}_1 JOIN {name}_2 USING (video_id))"""
+
+
+def _rich(objects: int) -> str:
+    return f"""ri AS (
+  SELECT video_id, count(*) AS n,
+         avg(CASE WHEN o >= {objects} AND motion >= 0.025 THEN 1.0 ELSE 0.0 END) AS busy,
+         least(1.0, greatest(0.0, avg(CASE WHEN o >= {objects} AND motion >= 0.025 THEN 1.0 ELSE 0.0 END), 0.9 * avg(CASE WHEN o >= 1 THEN 1.0 ELSE 0.0 END),
+           0.85 * avg(CASE WHEN o >= 2 THEN 1.0 ELSE 0.0 END), 0.8 * avg(least(o, 6)) / 6.0, 0.6 * avg(CASE WHEN motion >= 0.0125 THEN 1.0 ELSE 0.0 END))) AS information
+  FROM (SELECT video_id, frame_idx, len(class_ids) AS o, motion FROM ca JOIN mo USING (video_id, frame_idx)) GROUP BY ALL)"""
+
+
+def _bounds(part: str, low: float, low_busy: float, soft: float, soft_busy: float, high: float) -> str:
+    return f"""bo AS (
+  SELECT video_id, n, n_min, soft_n, greatest(soft_n, CAST(round_even(n * {high}, 0) AS BIGINT)) AS n_max
+  FROM (SELECT *, greatest(n_min, CAST(round_even(n * soft_r, 0) AS BIGINT)) AS soft_n
+        FROM (SELECT *, greatest(1, CAST(round_even(n * min_r, 0) AS BIGINT)) AS n_min
+              FROM (SELECT video_id, n, {low} + {part} * ({low_busy} - {low}) AS min_r,
+                           least(greatest({soft} + {part} * ({soft_busy} - {soft}), {low} + {part} * ({low_busy} - {low})), {high} - 0.02) AS soft_r FROM ri))))"""
+
+
+PALETTE = [(0, 0, 0), (64, 32, 16), (96, 160, 64), (160, 96, 192), (224, 200, 160), (255, 255, 255)]
+_PALETTE_ROWS = ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(PALETTE))
+
+#: Changed pixels of each frame against the one before in its segment of 30.
+TRIPLES = f"""{LABELS}, tr AS (
+  SELECT video_id, frame_idx, i // 8 AS y, i % 8 AS x, labels[i + 1] AS label
+  FROM (SELECT video_id, frame_idx, labels, lag(labels) OVER (PARTITION BY video_id, frame_idx // 30 ORDER BY frame_idx) AS prev, CAST(unnest(range(64)) AS INT) AS i FROM lf)
+  WHERE labels[i + 1] <> coalesce(prev[i + 1], 0))"""
+
+BETWEEN_KEYS = f"""{PIXELS}, ks AS (
+  SELECT video_id, frame_idx, frame_idx // 10 * 10 AS k0, CASE WHEN frame_idx // 10 * 10 + 10 >= max(frame_idx) OVER (PARTITION BY video_id) + 1 THEN frame_idx // 10 * 10 ELSE frame_idx // 10 * 10 + 10 END AS k1 FROM fr),
+ki AS (
+  SELECT ks.video_id, ks.frame_idx,
+         list_transform(list_zip(a.px, b.px), lambda p: CAST(greatest(0, least(255, floor(round(p[1] * (1 - CASE WHEN k1 = k0 THEN 0 ELSE (ks.frame_idx - k0) / 10.0 END) + p[2] * CASE WHEN k1 = k0 THEN 0 ELSE (ks.frame_idx - k0) / 10.0 END, 6)))) AS INT)) AS px
+  FROM ks JOIN fr a ON a.video_id = ks.video_id AND a.frame_idx = k0 JOIN fr b ON b.video_id = ks.video_id AND b.frame_idx = k1)"""
+
+QUALITY = f"""{BETWEEN_KEYS}, pr AS (
+  SELECT video_id, frame_idx, CAST(p[1] AS DOUBLE) AS a, CAST(p[2] AS DOUBLE) AS b
+  FROM (SELECT fr.video_id, fr.frame_idx, unnest(list_zip(fr.px, ki.px)) AS p FROM fr JOIN ki USING (video_id, frame_idx))),
+qu AS (
+  SELECT video_id, frame_idx, CASE WHEN avg((a - b) * (a - b)) < 1e-12 THEN 99.0 ELSE 10 * log10(65025 / avg((a - b) * (a - b))) END AS psnr,
+         (2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225) / ((avg(a) * avg(a) + avg(b) * avg(b) + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)) AS ssim
+  FROM pr GROUP BY ALL)"""
+
+TRACKED = """bx AS (
+  SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, CAST(dayofyear(l_shipdate) AS INT) AS frame_idx, CAST(l_linenumber % 10 AS INT) AS class_id, l_discount * 5 + 0.2 AS conf FROM lineitem)"""
+
+
+def _joined(col: str) -> str:
+    return f"array_to_string({col}, ',')"
+
+
+SQL: dict[str, str] = {
+    "frame_scan": "SELECT 'v' AS video_id, CAST(vec_id // 2 AS INT) AS frame_idx, vec_id AS src_idx, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 200",
+    "video_probe": """
+        SELECT doc_id AS video_id, round(CASE WHEN doc_id % 40 <= 1 THEN 24.0 WHEN doc_id % 40 BETWEEN 23.9 AND 24.1 THEN 24000.0 / 1001.0 ELSE doc_id % 40 END, 6)::DOUBLE AS fps,
+               CASE WHEN n_chars % 1000 > 0 THEN CAST(ceil((n_chars % 1000) / 2.0) AS BIGINT) END AS frames_estimate FROM documents""",
+    "kept_frame_scan": f"WITH {PIXELS} SELECT video_id, frame_idx, {_joined('px')} AS px FROM fr WHERE frame_idx % 7 = 0",
+    "delta_map_h20": f"""
+        WITH {FEATURES} SELECT a.video_id, a.frame_idx, round(coalesce(1 - max(list_dot_product(a.feat, b.feat)), 1.0), 6) AS delta_map
+        FROM f a LEFT JOIN f b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - 20 AND a.frame_idx - 1 GROUP BY 1, 2""",
+    "delta_map_chunked": """
+        SELECT 'v0' AS video_id, CAST(a.vec_id AS INT) AS frame_idx, round(coalesce(1 - max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 1.0), 6) AS delta_map, CAST(count(b.vec_id) AS INT) AS n_context
+        FROM embeddings a LEFT JOIN embeddings b ON b.vec_id BETWEEN a.vec_id - 20 AND a.vec_id - 1 GROUP BY 1, 2""",
+    "novelty_uniform": f"WITH {FEATURES}, {_uniform('f', 'cx', 15, 3)} SELECT video_id, frame_idx, round(delta_map, 6) AS delta_map, round(novelty, 6) AS novelty, n_context FROM cx",
+    "feature_similarity": f"""
+        WITH {FEATURES}, u AS (SELECT video_id, frame_idx, list_transform(feat, lambda x: x / (sqrt(list_dot_product(feat, feat)) + 1e-8)) AS feat FROM f)
+        SELECT a.video_id, a.frame_idx, round(list_dot_product(a.feat, b.feat), 6) AS similarity, round(1 - list_dot_product(a.feat, b.feat), 6) AS distance
+        FROM u a JOIN u b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx - 1""",
+    "oric_proxy": f"""
+        WITH {FEATURES}, h AS (SELECT video_id, frame_idx, feat, least(frame_idx, 30) AS n FROM f),
+        p AS (SELECT a.video_id, a.frame_idx, a.n, greatest(1, a.n // 5) AS step, a.n - (a.frame_idx - b.frame_idx) AS i, list_dot_product(a.feat, b.feat) AS s
+              FROM h a LEFT JOIN h b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - a.n AND a.frame_idx - 1)
+        SELECT video_id, frame_idx, round(round(coalesce(1 - max(s), 1.0), 9), 6) AS score FROM p
+        WHERE i IS NULL OR n < 3 OR (i % step = 0 AND i // step >= (n + step - 1) // step - 5) GROUP BY ALL""",
+    "motion_lag": f"WITH {PIXELS}, {PIXEL_MOTION} SELECT video_id, frame_idx, round(motion, 6) AS motion FROM pm",
+    "motion_baseline": f"WITH {PIXELS}, {PIXEL_MOTION} SELECT video_id, frame_idx, round(CASE WHEN frame_idx = 0 THEN 0.0 ELSE motion * 255 END, 6) AS motion FROM pm",
+    "entropy_hist": f"WITH {PIXELS}, {ENTROPY} SELECT video_id, frame_idx, round(entropy, 6) AS entropy FROM en",
+    "detection_names": f"""
+        WITH {GRID} SELECT CAST(CASE class_id WHEN 9 THEN 99 ELSE class_id END AS INT) AS class_id, count(*) AS n,
+          CASE class_id WHEN 1 THEN 'bicycle' WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' WHEN 8 THEN 'boat' ELSE '' END AS name
+        FROM ev GROUP BY ALL""",
+    "detection_carry_forward": f"WITH {GRID}, {_carried(12)} SELECT video_id, frame_idx, CAST(len(class_ids) AS INT) AS n_objects, coalesce({_joined('class_ids')}, '') AS class_ids FROM ca",
+    "class_weight_rolling": f"WITH {GRID}, {_carried(12)}, {WEIGHTS} SELECT video_id, frame_idx, round(class_weight, 6) AS class_weight FROM we",
+    "score_blend": f"""
+        WITH {SCORED} SELECT video_id, frame_idx, round(delta_map, 6) AS delta_map, round(novelty, 6) AS novelty, round(motion, 6) AS motion, round(class_weight, 6) AS class_weight,
+               n_objects, n_context, round(semantic, 6) AS semantic, round(score, 6) AS score FROM sc""",
+    "score_stats": f"""
+        WITH {PRICES} SELECT video_id, round(min(score), 6) AS min, round(max(score), 6) AS max, round(median(score), 6) AS median, round(quantile_cont(score, 0.9), 6) AS p90,
+               round(avg(CASE WHEN score < 1e-4 THEN 1.0 ELSE 0.0 END), 6) AS frac_below_1e4, round(avg(CASE WHEN score > 0.01 THEN 1.0 ELSE 0.0 END), 6) AS frac_above_001
+        FROM ps GROUP BY ALL""",
+    "calibrate_tau": f"WITH {PRICES} SELECT video_id, round(quantile_cont(score, 0.8), 6) AS tau FROM ps GROUP BY ALL",
+    "adaptive_tau": f"WITH {PRICES}, {_tau('ps', 'ta', 1.0, 0.45, 0.72)} SELECT video_id, round(tau, 6) AS tau FROM ta",
+    "busy_information": f"WITH {GRID}, {_carried(12)}, {MOTION}, {_rich(2)} SELECT video_id, n, round(busy, 6) AS busy, round(information, 6) AS information FROM ri",
+    "adaptive_bounds": f"WITH {GRID}, {_carried(8)}, {MOTION}, {_rich(3)}, {_bounds('information', 0.15, 0.55, 0.30, 0.82, 0.85)} SELECT * FROM bo",
+    "topk_target_ratio": f"""
+        WITH {PRICES}, ta AS (SELECT video_id, quantile_cont(score, 0.8) AS tau, greatest(1, round_even(count(*) * 0.2, 0)) AS k FROM ps GROUP BY ALL)
+        SELECT video_id, frame_idx, round(score, 7) AS score, round(tau, 6) AS tau FROM ps JOIN ta USING (video_id)
+        QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) <= k""",
+    "threshold_keep": f"""
+        WITH {PRICES}, ta AS (SELECT video_id, quantile_cont(score, 0.8) AS tau FROM ps GROUP BY ALL)
+        SELECT video_id, count(*) AS n, round(min(score), 7) AS lowest FROM ps JOIN ta USING (video_id) WHERE score > round(tau, 9) GROUP BY ALL""",
+    "adaptive_select": f"""
+        WITH {SCORED}, {_rich(2)}, {_bounds('busy', 0.12, 0.38, 0.35, 0.62, 0.70)}, {_tau('sc', 'ta', 1.2, 0.45, 0.68)},
+        ab AS (SELECT video_id, tau, count(*) FILTER (score > round(tau, 9)) AS above FROM sc JOIN ta USING (video_id) GROUP BY ALL),
+        -- the linear quantile at 1 - soft_n / n
+        qs AS (SELECT video_id, list(score ORDER BY score) AS s, any_value(soft_n) AS soft_n, any_value(n) AS n FROM sc JOIN bo USING (video_id) GROUP BY ALL),
+        qp AS (SELECT *, round((1 - soft_n / n) * (n - 1), 9) AS p FROM qs),
+        qt AS (SELECT video_id, CASE WHEN p = floor(p) THEN s[CAST(p AS INT) + 1] ELSE s[CAST(floor(p) AS INT) + 1] * (1 - (p - floor(p))) + s[CAST(floor(p) AS INT) + 2] * (p - floor(p)) END AS tau2 FROM qp)
+        SELECT video_id, frame_idx, round(score, 6) AS score, round(CASE WHEN above < soft_n THEN tau2 ELSE tau END, 6) AS tau
+        FROM sc JOIN bo USING (video_id) JOIN ab USING (video_id) JOIN qt USING (video_id)
+        QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) <= greatest(above, soft_n)""",
+    "motion_gate": f"""
+        WITH {PIXELS}, {PIXEL_MOTION}, li AS (SELECT video_id, quantile_cont(motion, 0.65) AS lim FROM pm GROUP BY ALL),
+        dm AS (SELECT a.video_id, a.frame_idx, round(coalesce(1 - max(list_dot_product(a.feat, b.feat)), 1.0), 9) AS d
+               FROM f a LEFT JOIN f b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - 20 AND a.frame_idx - 1 GROUP BY 1, 2)
+        SELECT video_id, frame_idx, round(CASE WHEN c THEN d ELSE m END, 6) AS score, c AS candidate
+        FROM (SELECT video_id, frame_idx, round(motion, 9) AS m, round(motion, 9) >= round(lim, 9) OR frame_idx % 6 = 0 AS c FROM pm JOIN li USING (video_id)) JOIN dm USING (video_id, frame_idx)""",
+    "uniform_keep": f"WITH {FEATURES} SELECT video_id, frame_idx FROM f WHERE frame_idx % 5 = 0",
+    "non_uniform_keep": f"WITH {NON_UNIFORM} SELECT video_id, frame_idx, round(score, 6) AS score FROM nk",
+    "kept_overlap": f"""
+        WITH {NON_UNIFORM}, uk AS (SELECT video_id, frame_idx FROM fr WHERE frame_idx % 5 = 0),
+        al AS (SELECT video_id, frame_idx FROM nk UNION SELECT video_id, frame_idx FROM uk),
+        ma AS (SELECT video_id, (video_id, frame_idx) IN (SELECT (video_id, frame_idx) FROM nk) AS a, (video_id, frame_idx) IN (SELECT (video_id, frame_idx) FROM uk) AS b FROM al)
+        SELECT video_id, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard
+        FROM ma GROUP BY ALL""",
+    "delta_encode": f"WITH {TRIPLES} SELECT video_id, frame_idx, CAST(y AS INT) AS y, CAST(x AS INT) AS x, label FROM tr",
+    "delta_decode": f"WITH {LABELS} SELECT video_id, frame_idx, {_joined('labels')} AS labels FROM lf",
+    "packet_sizes": f"""
+        WITH {TRIPLES} SELECT video_id, n_frames, pixels, pixels * 6 AS compressed_bytes
+        FROM (SELECT video_id, count(*) AS n_frames FROM lf GROUP BY ALL) JOIN (SELECT video_id, count(*) AS pixels FROM tr GROUP BY ALL) USING (video_id)""",
+    "bitstream_round_trip": f"""
+        WITH {TRIPLES} SELECT lf.video_id, lf.frame_idx, '45' || coalesce(string_agg(printf('%02X00%02X00%02X00', y, x, label), '' ORDER BY y, x), '') AS payload, 30 AS "interval"
+        FROM lf LEFT JOIN tr USING (video_id, frame_idx) GROUP BY ALL""",
+    "storage_downscale": f"WITH {LABELS} SELECT video_id, frame_idx, {_joined('list_transform(range(16), lambda i: labels[1 + (i // 4) * 16 + (i % 4) * 2])')} AS labels FROM lf",
+    "palette_assign": f"""
+        WITH {PIXELS}, pal(k, pr, pg, pb) AS (VALUES {_PALETTE_ROWS}),
+        pt AS (SELECT video_id, frame_idx, CAST(p AS INT) AS p, px[p + 1] AS r, px[p + 2] AS g, px[p + 3] AS b FROM (SELECT *, unnest(range(0, 61, 3)) AS p FROM fr)),
+        nn AS (SELECT video_id, frame_idx, p, arg_min(k, ((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) * 100 + k) AS k FROM pt CROSS JOIN pal GROUP BY ALL)
+        SELECT video_id, frame_idx, p, CAST(nn.k + 1 AS INT) AS label, CAST(pr AS INT) AS soft_r, CAST(pg AS INT) AS soft_g, CAST(pb AS INT) AS soft_b FROM nn JOIN pal USING (k)""",
+    "key_interp_linear": f"WITH {BETWEEN_KEYS} SELECT video_id, frame_idx, {_joined('px')} AS px FROM ki",
+    "psnr_ssim": f"WITH {QUALITY} SELECT video_id, frame_idx, round(psnr, 6) AS psnr, round(ssim, 6) AS ssim FROM qu",
+    "mean_quality": f"WITH {QUALITY} SELECT video_id, round(avg(psnr), 6) AS psnr, round(avg(ssim), 6) AS ssim FROM qu GROUP BY ALL",
+    "temporal_stack": f"""
+        WITH {LABELS}, a AS (SELECT video_id, frame_idx, {_joined('labels')} AS l FROM lf)
+        SELECT a.video_id, a.frame_idx, c.l || ',' || b.l || ',' || a.l AS stack FROM a
+        JOIN a b ON b.video_id = a.video_id AND b.frame_idx = greatest(0, a.frame_idx - 1) JOIN a c ON c.video_id = a.video_id AND c.frame_idx = greatest(0, a.frame_idx - 2)""",
+    "tx_time_report": """
+        WITH s AS (SELECT doc_id AS video_id, n_chars AS o, floor(n_chars * 0.25) AS c FROM documents)
+        SELECT video_id, round(o / 1048576.0, 6) AS original_mb, round(c / 1048576.0, 6) AS compressed_mb, CASE WHEN o = 0 THEN 0.0 ELSE round((1 - c / o) * 100, 6) END AS saving_pct,
+               round(o * 8 / 1e7, 9) AS tx_original_s, round(c * 8 / 1e7, 9) AS tx_compressed_s FROM s""",
+    "manifest": f"""
+        WITH {NON_UNIFORM} SELECT video_id, 'non_uniform' AS method, string_agg(frame_idx, ',' ORDER BY frame_idx) AS indices, n AS n_total, count(*) AS n_kept, round(count(*) / n, 6) AS retention_ratio
+        FROM nk JOIN (SELECT video_id, count(*) AS n FROM fr GROUP BY ALL) USING (video_id) GROUP BY video_id, n""",
+    "manifest_json": f"""
+        WITH {NON_UNIFORM} SELECT video_id, '{{"method":"non_uniform","indices":[' || string_agg(frame_idx, ',' ORDER BY frame_idx) || '],"n_total":' || n || ',"n_kept":' || count(*) || ',"retention_ratio":' || (count(*) / n) || '}}' AS json
+        FROM nk JOIN (SELECT video_id, count(*) AS n FROM fr GROUP BY ALL) USING (video_id) GROUP BY video_id, n""",
+    "debug_overlay": f"""
+        WITH {NON_UNIFORM}, st AS (SELECT nu.video_id, nu.frame_idx, nu.score, CASE WHEN nk.frame_idx IS NULL THEN 'SKIP' ELSE 'KEEP' END AS state FROM nu LEFT JOIN nk USING (video_id, frame_idx))
+        SELECT video_id, frame_idx, state, printf('%s #%d  score=%.2e', state, frame_idx, score) AS caption FROM st""",
+    "traffic_boxes": f"WITH {TRACKED} SELECT video_id, class_id, count(*) AS n FROM bx WHERE conf >= 0.25 AND class_id IN (0, 1, 2, 3, 5, 7) AND frame_idx % 2 = 0 GROUP BY ALL",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

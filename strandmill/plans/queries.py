@@ -181,14 +181,15 @@ def adaptive_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def topk_target_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Top share of each video."""
-    return r6(selection.target_ratio(adapters.price_scores(spark, d), RATIO), "score", "tau")
+    kept = selection.target_ratio(adapters.price_scores(spark, d), RATIO)
+    return r6(kept.withColumn("score", F.round("score", 7)), "tau")
 
 
 def threshold_keep(spark: SparkSession, d: str) -> DataFrame:
     """Strictly above the threshold."""
     x = adapters.price_scores(spark, d)
     above = x.join(thresholds.calibrate_tau(x, RATIO), "video_id").where(F.col("score") > F.round("tau", 9))
-    return above.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("lowest"))
+    return above.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.min("score"), 7).alias("lowest"))
 
 
 def adaptive_select(spark: SparkSession, d: str) -> DataFrame:

@@ -53,12 +53,14 @@ def online_keep(scores: DataFrame, warmup: int = 120, ratio: float = 0.2) -> Dat
     return fold(_rows(scores), DECIDED, lambda _: Decider(warmup, ratio))
 
 
-def online_keep_stream(scores: DataFrame, warmup: int = 120, ratio: float = 0.2, idle: str = "1 hour") -> DataFrame:
+def online_keep_stream(scores: DataFrame, warmup: int = 120, ratio: float = 0.2, idle: str | None = None) -> DataFrame:
     """The same for a streaming DataFrame, with state a video: the warm-up scores, then only tau and the last place.
 
-    Frames at or before the last place seen are late and dropped. State of a video without frames for ``idle`` is let go.
+    Frames at or before the last place seen are late and dropped. State of a video without frames for ``idle`` is let go;
+    without ``idle`` it stays, as a query that ends when its input does must have it.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,11 +71,12 @@ def online_keep_stream(scores: DataFrame, warmup: int = 120, ratio: float = 0.2,
         rows = pd.concat(list(batches), ignore_index=True)
         out = d.step(rows)
         state.update((d.warm, d.tau if d.tau is not None else 0.0, d.last, d.tau is not None))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
         if len(out):
             yield out
 
-    return _rows(scores).groupBy("video_id").applyInPandasWithState(run, DECIDED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _rows(scores).groupBy("video_id").applyInPandasWithState(run, DECIDED, STATE, "append", timeout)
 
 
 def windowed_rates(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
