@@ -8,8 +8,9 @@ these figures a window at the full radius of 0.2 edits a word is found with prob
 tests/llm/test_decontamination.py), an exact one always.
 
 Windows start at every word and have the length of a size class of items (classes grow by a quarter; an item enters
-with its first words, as many as its class has). A window of which too few words occur in any item lies outside the
-radius of all items, so it is not embedded; this drops no match.
+with its first words, as many as its class has). One edit breaks two word pairs at most, so a window within d edits of
+an item keeps all but 2 d of its pairs; windows with fewer pairs that occur in any item are not embedded. This drops no
+match.
 
 Items are a stated query set: they go to the workers in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``
 bytes, one pass over the texts each.
@@ -22,6 +23,7 @@ text each give their own rows. Extra columns are ignored. Empty tables give an e
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +125,10 @@ class ItemIndex:
             if len(words) >= MIN_WORDS:
                 by_class[size_class(len(words))].append(len(self.items))
                 self.items.append((item_id, [self.number.setdefault(w, len(self.number) + 1) for w in words]))
+        self.arrays = [np.array(item, np.int64) for _, item in self.items]
+        pairs = {(a, b) for _, item in self.items for a, b in zip(item, item[1:])}
+        self.base = len(self.number) + 1
+        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), dtype=np.int64)
         self.classes = []
         for size, members in sorted(by_class.items()):
             heads = np.array([self.items[m][1][:size] for m in members], dtype=np.int64)
@@ -134,23 +140,29 @@ class ItemIndex:
                         table[key].append(m)
                 tables.append((np.array(sorted(table), dtype=np.uint64), table))
             longest = max(len(self.items[m][1]) for m in members)
-            self.classes.append((size, size - allowed(longest), tables))
+            self.classes.append((size, max(1, size - 1 - 2 * allowed(longest)), tables))
 
     def matches(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, start, end, edits), the best stretch for each text and item."""
         get = self.number.get
         lengths = np.array([len(t) for t in texts], np.int64)
-        flat = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(lengths.sum()))
+        flat = np.array(list(map(get, chain.from_iterable(texts), repeat(0))), dtype=np.int64)
+        if not len(flat) or not len(self.pairs):
+            return []
         ends = np.cumsum(lengths)
+        both = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))
+        codes = flat[both] * self.base + flat[both + 1]
+        spot = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        known = np.zeros(len(flat) + 1, np.int32)
+        known[both[self.pairs[spot] == codes] + 1] = 1
+        known[ends[lengths > 0]] = 0  # the last word of a text starts no pair
+        known = np.cumsum(known, dtype=np.int32)
         owner_end = np.repeat(ends, lengths)
-        known = np.concatenate([[0], np.cumsum(flat != 0)])
         pairs: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size, least, tables in self.classes:
-            if len(flat) < least:
-                continue
-            starts = np.arange(len(flat))
-            stop = np.minimum(starts + size, owner_end)
-            starts = starts[known[stop] - known[starts] >= max(1, least)]
+            padded = np.concatenate([known, np.full(size, known[-1], np.int32)])
+            starts = np.flatnonzero(padded[size - 1 : size - 1 + len(flat)] - known[:-1] >= least)
+            starts = starts[known[np.minimum(starts + size - 1, owner_end[starts])] - known[starts] >= least]
             for at in range(0, len(starts), CHUNK):
                 part = starts[at : at + CHUNK]
                 grid = part[:, None] + np.arange(size)[None, :]
@@ -165,6 +177,7 @@ class ItemIndex:
                                 pairs[(s, m)].add(walk)
         out: dict[tuple[int, int], tuple] = {}
         done: dict[tuple[int, int], int] = {}
+        here = np.zeros(self.base, bool)
         for s, m in sorted(pairs):
             doc = int(np.searchsorted(ends, s, side="right"))
             item = self.items[m][1]
@@ -175,8 +188,11 @@ class ItemIndex:
                 continue  # an exact match of the same stretch stands already
             lo, hi = max(left, s - room), min(int(ends[doc]), s + len(item) + room)
             stretch = flat[lo:hi]
-            if len(item) - np.isin(item, stretch).sum() > room:
-                continue
+            here[stretch] = True
+            absent = len(item) - np.count_nonzero(here[self.arrays[m]])
+            here[stretch] = False
+            if absent > room:
+                continue  # each absent word is an edit
             edits, a, b = infix_edits(item, stretch)
             done[near] = s
             if edits <= room and (near not in out or (edits, lo + a - left) < (out[near][2], out[near][0])):
