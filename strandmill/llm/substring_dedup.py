@@ -1,11 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``RUN`` consecutive sentences is hashed; equal runs are found by one global aggregation, and every occurrence
-but the first (by doc_id, then place) is non-first. A sentence covered by any non-first run is removed. Sentences end at
+Runs of ``RUN`` consecutive sentences, or of more if those have fewer than ``LEAST`` words, are hashed from every
+sentence on; equal runs are found by one global aggregation, and every occurrence but the first (by doc_id, then place) is non-first. A sentence covered by any non-first run is removed. Sentences end at
 . ! ? or a line break. So that text without such marks is covered too, a sentence of ``LONG`` words or more also ends after any
 word whose hash says so, which depends on the words alone and falls alike in every copy.
 
-Passages shorter than ``LEAST`` words in all are no duplicates worth removing (headings, short stock phrases).
+Passages of fewer than ``LEAST`` words in all are no duplicates worth removing (headings, short stock phrases).
 
 Defined cases: null and empty texts have no sentences. Texts of fewer than RUN sentences are one run as a whole. Sentences
 are compared lower-cased (A-Z) with white space folded. A null doc_id ranks last, and is returned as null. Rows with equal
@@ -52,6 +52,23 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) sentences of the runs of a text whose sentences end at the word counts ``counts`` (from 0).
+
+    From every sentence on, and up to every sentence, the shortest run of RUN sentences or more with LEAST words or
+    more; so a repeated passage is covered from its first such run to the end of its last. A text of fewer than RUN
+    sentences is one run, if it has the words.
+    """
+    n = len(counts) - 1
+    if n < RUN:
+        return [(0, n - 1)] if n and counts[n] >= LEAST else []
+    place = np.arange(n)
+    last = np.maximum(place + RUN - 1, np.searchsorted(counts, counts[:-1] + LEAST) - 1)
+    first = np.minimum(place - RUN + 1, np.searchsorted(counts, counts[1:] - LEAST, side="right") - 1)
+    found = {(i, j) for i, j in zip(place.tolist(), last.tolist()) if j < n}
+    return sorted(found | {(i, j) for i, j in zip(first.tolist(), place.tolist()) if i >= 0})
+
+
 def _runs(batches):
     """(row, doc_id, place, start, end, hash): every run of sentences, place its first sentence."""
     from pyspark import TaskContext
@@ -66,13 +83,11 @@ def _runs(batches):
             if not spans:
                 continue
             folded = [b" ".join(text[a:b].encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()) for a, b in spans]
-            size = min(RUN, len(spans))
             counts = np.cumsum([0, *[f.count(b" ") + 1 for f in folded]])
-            for i in range(len(spans) - size + 1):
-                if counts[i + size] - counts[i] >= LEAST:
-                    h = xxhash.xxh3_64_intdigest(b"\n".join(folded[i : i + size])) - (1 << 63)
-                    for c, v in zip(cols, (row, doc_id, i, spans[i][0], spans[i + size - 1][1], h)):
-                        c.append(v)
+            for i, j in runs_of(counts):
+                h = xxhash.xxh3_64_intdigest(b"\n".join(folded[i : j + 1])) - (1 << 63)
+                for c, v in zip(cols, (row, doc_id, i, spans[i][0], spans[j][1], h)):
+                    c.append(v)
         if cols[0]:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
