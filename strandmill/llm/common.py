@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key that holds more than 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 1000
 
+#: Rows of an Arrow batch that goes to a Python worker while something is materialised; bounds memory for long texts.
+ARROW_ROWS = 1000
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: For bytes.translate: lower-cases A-Z only, so any UTF-8 sequence stays valid.
@@ -41,7 +44,13 @@ def durable(df: DataFrame) -> DataFrame:
     if jsc.getCheckpointDir().isEmpty():
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="strandmill-"))
-    return df.checkpoint(eager=True)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(size, before)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID, CRUMB = 2048, 1, 32
 #: Texts' words whose ids are remembered by a worker.
-CACHE = 400_000
+CACHE = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -109,8 +109,8 @@ def _pieces(name: str):
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, scalar in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode(scalar.as_py() or "") + end
                 at, tokens = 0, len(ids) // 4
                 for length, k in harmonic_cuts(tokens):
                     part = ids[4 * at : 4 * (at + length)]
@@ -125,6 +125,9 @@ def _pieces(name: str):
                             offset += r[2]
                         serial += 1
                         held.clear()
+                if len(rows) >= 8192:
+                    yield batch_of(rows)
+                    rows = []
             if rows:
                 yield batch_of(rows)
         rows = [(*r, worker, k, None, None, part) for k, held in sorted(open_bins.items()) for r, part in held]
