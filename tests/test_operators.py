@@ -307,3 +307,16 @@ def test_delta_map_bounds(spark, sf_dir):
     x = adapters.features(spark, sf_dir).withColumn("past", history("feat", 5, frame_window()))
     got = x.select(context.delta_map(F.col("feat"), F.col("past")).alias("d")).agg(F.min("d"), F.max("d")).first()
     assert got[0] >= -1e-6 and got[1] <= 2
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    from strandmill import cli
+
+    adapters.label_frames(spark, sf_dir).where("video_id = 'v0'").write.parquet(str(tmp_path / "labels"))
+    coded = cli.main(["compress", "--frames", str(tmp_path / "labels"), "--out", str(tmp_path / "o")])
+    back = cli.main(["decompress", "--packets", f"{coded}/packets", "--out", str(tmp_path / "o")])
+    a, b = (spark.read.parquet(p).orderBy("frame_idx").select("video_id", "frame_idx", "labels").collect() for p in (str(tmp_path / "labels"), f"{back}/labels"))
+    assert a == b
+    args = cli.parser().parse_args(["sample", "--frames", "f", "--features", "g", "--motion", "m", "--policy", "adaptive", "--min-retention", "0.2", "--preset", "light"])
+    cfg = cli.settings(args)
+    assert (cfg["adaptive"]["min_retention_ratio"], cfg["scoring"]["algorithm"], cfg["scoring"]["retention_mode"]) == (0.2, "motion_gated", "adaptive")
