@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from strandmill.llm.common import ship_package, table
+from strandmill.llm.common import table
+from strandmill.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

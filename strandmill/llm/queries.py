@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import decontamination, exact_dedup, license_scan, near_dedup, packing, secret_scan, substring_dedup, toxicity, url_filter, warc
-from strandmill.llm.common import ship_package, table
+from strandmill.llm.common import table
+from strandmill.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
