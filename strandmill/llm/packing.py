@@ -14,7 +14,9 @@ for itself. A null doc_id is returned as null. Extra columns are ignored. An emp
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID, CRUMB = 2048, 1, 32
 #: Texts' words whose ids are remembered by a worker.
-CACHE = 100_000
+CACHE = 150_000
 
 
 @lru_cache(maxsize=2)
@@ -37,6 +39,14 @@ def _encoder(name: str):
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def _four_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Words(dict):
     """Ids, as little-endian uint32, of a string that no token crosses on either side."""
 
@@ -46,7 +56,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        ids = np.array(self.encode(self.lead + word), dtype="<u4").tobytes()
+        ids = _four_bytes(self.encode(self.lead + word))
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -68,7 +78,7 @@ def tokenizer(name: str):
         if not text:
             return b""
         if odd.search(text):
-            return np.array(encode(text), dtype="<u4").tobytes()
+            return _four_bytes(encode(text))
         words = text.split(" ")
         return first[words[0]] + b"".join(map(rest.__getitem__, words[1:]))
 
