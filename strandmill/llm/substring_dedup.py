@@ -2,8 +2,12 @@
 
 Runs of ``RUN`` consecutive sentences, or of more if those have fewer than ``LEAST`` words, are hashed from every
 sentence on; equal runs are found by one global aggregation, and every occurrence but the first (by doc_id, then place) is non-first. A sentence covered by any non-first run is removed. Sentences end at
-. ! ? or a line break. So that text without such marks is covered too, a sentence of ``LONG`` words or more also ends after any
-word whose hash says so, which depends on the words alone and falls alike in every copy.
+. ! ? or a line break, and in longer stretches also after the word with the least hash of any ``WINDOW`` consecutive
+words, so that none has more than ``WINDOW`` words. Whether a sentence ends after a word depends on that word and the
+``WINDOW`` - 1 words on either side of it, on nothing further off. Of 50 shared words, which may begin and end in
+mid-sentence, the ends from the 8th to the 43rd word fall alike in every copy; the first of them is at the 15th at the
+latest and the run from there has 27 words at most. So any 50 shared words hold a whole run. Up to 15 words at either
+edge of a passage may stay.
 
 Passages of fewer than ``LEAST`` words in all are no duplicates worth removing (headings, short stock phrases).
 
@@ -15,41 +19,49 @@ doc_id are told apart by row. Extra columns are ignored. An empty table gives an
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.common import LOWER_TABLE, durable, join_facts
 
-RUN, LEAST, LONG = 3, 20, 16
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\n*")
-_WORD = re.compile(r"\S+\s*")
+RUN, LEAST, WINDOW = 3, 20, 8
+#: Bits of the filter of repeated hashes that goes to the workers.
+FILTER_BITS = 27
+_WORD = re.compile(rb"(?:[^ \t-\r.!?]*[.!?]+|[^ \t-\r.!?]+)[ \t-\r]*")
+
+
+def _cut(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(folded words, their ends in code points with the white space behind, numbers of the words that end a sentence)."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE)
+    pieces = _WORD.findall(raw)
+    if not pieces:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = [p.rstrip() for p in pieces]
+    sizes = list(map(len, pieces)) if len(raw) == len(text) else [len(p.decode("utf-8", "surrogatepass")) for p in pieces]
+    ends = np.cumsum(sizes)
+    ends += len(text) - ends[-1]
+    marks = np.fromiter((w[-1] in b".!?" or b"\n" in p for w, p in zip(words, pieces)), bool, len(words))
+    order = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) * np.uint32(0x9E3779B1)
+    order = np.where(marks, 0, order.astype(np.int64) + 1)
+    stops = marks.copy()
+    if len(words) >= WINDOW:
+        least = WINDOW - 1 - sliding_window_view(order, WINDOW)[:, ::-1].argmin(axis=1)
+        stops[least + np.arange(len(least))] = True
+    stops[-1] = True
+    return words, ends, np.flatnonzero(stops)
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) code points of the sentences of ``text``, without gaps."""
-    out, at = [], 0
-    for found in _SENTENCE.finditer(text or ""):
-        begin, end = found.span()
-        if end == begin:
-            continue
-        if end - begin > 8 * LONG and len(words := _WORD.findall(text, begin, end)) > LONG:
-            pos, run = begin + (len(found[0]) - sum(map(len, words))), 0
-            for w in words[:-1]:
-                pos, run = pos + len(w), run + 1
-                if run >= LONG // 2 and xxhash.xxh32_intdigest(w.strip()) % 8 == 0:
-                    out.append((at, pos))
-                    at, run = pos, 0
-        if text[at:end].strip():
-            out.append((at, end))
-            at = end
-        elif out:
-            out[-1] = (out[-1][0], end)
-            at = end
-    return out
+    _, ends, stops = _cut(text)
+    places = [0, *ends[stops].tolist()]
+    return list(zip(places, places[1:]))
 
 
 def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
@@ -69,28 +81,66 @@ def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
     return sorted(found | {(i, j) for i, j in zip(first.tolist(), place.tolist()) if i >= 0})
 
 
-def _runs(batches):
-    """(row, doc_id, place, start, end, hash): every run of sentences, place its first sentence."""
-    from pyspark import TaskContext
+def _texts_runs(text: str | None):
+    """(sentence ends in code points, [(first, last, hash)]) of the runs of a text."""
+    words, ends, stops = _cut(text)
+    if not words:
+        return [], []
+    counts = np.concatenate([[0], stops + 1])
+    at = counts.tolist()
+    folded = [b" ".join(words[a:b]) for a, b in zip(at, at[1:])]
+    return ends[stops].tolist(), [(i, j, xxhash.xxh3_64_intdigest(b"\n".join(folded[i : j + 1])) - (1 << 63)) for i, j in runs_of(counts)]
 
-    row = TaskContext.get().partitionId() << 40
-    names = ["row", "doc_id", "place", "start", "end", "hash"]
+
+def _hashes(batches):
+    """The hash of every run."""
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            spans = sentences(text)
-            row += 1
-            if not spans:
-                continue
-            folded = [b" ".join(text[a:b].encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()) for a, b in spans]
-            counts = np.cumsum([0, *[f.count(b" ") + 1 for f in folded]])
-            for i, j in runs_of(counts):
-                h = xxhash.xxh3_64_intdigest(b"\n".join(folded[i : j + 1])) - (1 << 63)
-                for c, v in zip(cols, (row, doc_id, i, spans[i][0], spans[j][1], h)):
-                    c.append(v)
-        if cols[0]:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        out: list[int] = []
+        for text in batch.column(0):
+            out += [h for *_, h in _texts_runs(text.as_py())[1]]
+            if len(out) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["hash"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["hash"])
+
+
+def _runs(seen):
+    """(row, doc_id, place, start, end, hash): the runs whose hash may be repeated, place their first sentence."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        bits = np.frombuffer(seen.value, np.uint8)
+        row = TaskContext.get().partitionId() << 40
+        names = ["row", "doc_id", "place", "start", "end", "hash"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row += 1
+                ends, found = _texts_runs(text.as_py())
+                if not found:
+                    continue
+                spot = np.array([h for *_, h in found], np.int64) & ((1 << FILTER_BITS) - 1)
+                for k in np.flatnonzero(bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).tolist():
+                    i, j, h = found[k]
+                    for c, v in zip(cols, (row, doc_id, i, ends[i - 1] if i else 0, ends[j], h)):
+                        c.append(v)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return run
+
+
+def _filter(hashes: DataFrame) -> bytes:
+    """A bitmap of the low FILTER_BITS of ``hashes``, of a fixed size; what it lets through in vain, the join drops."""
+    spot = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    cell = hashes.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast((hash & {(1 << FILTER_BITS) - 1}L) & 63 as int))").alias("bit"))
+    found = cell.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), "<i8")
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
 
 
 RUNS = "row long, doc_id long, place int, start int, end int, hash long"
@@ -99,15 +149,15 @@ RUNS = "row long, doc_id long, place int, start int, end int, hash long"
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, start, end, first_doc_id): maximal stretches of ``docs`` (doc_id, text) that non-first runs cover.
 
-    The runs are written once. Those that repeat are few against all; they are found by partial sums, hot ones too, and
-    joined back with ``join_facts``.
+    The runs are made twice and never written: once for the counts of their hashes, and once for those that repeat,
+    hot ones too, which are few against all; these are found by a filter, and exactly by ``join_facts``.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = durable(own.mapInArrow(_runs, RUNS))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("place").alias("place"))
-    twice = runs.groupBy("hash").agg(F.count("*").alias("w")).where("w > 1")
+    twice = own.select("text").mapInArrow(_hashes, "hash long").groupBy("hash").agg(F.count("*").alias("w")).where("w > 1")
     twice = durable(twice)
     total = twice.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    runs = own.mapInArrow(_runs(docs.sparkSession.sparkContext.broadcast(_filter(twice))), RUNS)
     again = join_facts(runs, twice.withColumn("hit", F.lit(True)), ["hash"], "w", total, F.col("row")).where("hit").drop("hit")
     again = durable(again)
     first = durable(again.groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("w")))
