@@ -7,10 +7,13 @@ verified by their exact word edit distance, the item against the best-placed str
 these figures a window at the full radius of 0.2 edits a word is found with probability 0.9 or more (see
 tests/llm/test_decontamination.py), an exact one always.
 
-Windows start at every word and have the length of a size class of items (classes grow by a quarter; an item enters
-with its first words, as many as its class has). One edit breaks two word pairs at most, so a window within d edits of
-an item keeps all but 2 d of its pairs; windows with fewer pairs that occur in any item are not embedded. This drops no
-match.
+Windows start at every word and have the length of a size class of items (classes grow by a quarter; an item of up to
+``WHOLE`` words enters with its first words, as many as its class has). A longer item enters with several heads of one
+of the classes in ``HEADS``, which lie side by side over all of it, so the walks never get longer; any head may yield
+the candidate. Of k heads one has at most a k-th of the item's edits. One edit breaks two word pairs at most, so a
+window within d edits of a head keeps all but 2 d of its pairs; windows with fewer pairs that occur in any item are not
+embedded. This drops no match within that figure. All stretches of a text that may hold one item are verified together
+where they overlap.
 
 Items are a stated query set: they go to the workers in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``
 bytes, one pass over the texts each.
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 WALKS, TABLES, SAMPLE = 6, 12, 3
+WHOLE, HEADS = 96, (41, 51, 63, 78)
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16_000_000
 #: Windows embedded at once.
 CHUNK = 1 << 14
@@ -56,6 +60,15 @@ def allowed(n: int) -> int:
     return int(n * (1 - SIMILARITY) + 1e-9)
 
 
+def heads_of(n: int) -> tuple[int, list[int]]:
+    """(size, starts) of the heads of an item of n words; a long one's leave as few words out as the sizes allow."""
+    if n <= WHOLE:
+        return size_class(n), [0]
+    size = max(HEADS, key=lambda h: (n // h * h, h))
+    count = n // size
+    return size, [k * (n - size) // (count - 1) for k in range(count)]
+
+
 def _constants(walk: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([71, walk])
     return rng.integers(0, 1 << 63, 4096, dtype=np.uint64)[:steps] * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, 4096, dtype=np.uint64)[:steps]
@@ -123,7 +136,8 @@ class ItemIndex:
         for item_id, text in items:
             words = words_of(text)
             if len(words) >= MIN_WORDS:
-                by_class[size_class(len(words))].append(len(self.items))
+                size, starts = heads_of(len(words))
+                by_class[size] += [(len(self.items), at) for at in starts]
                 self.items.append((item_id, [self.number.setdefault(w, len(self.number) + 1) for w in words]))
         self.arrays = [np.array(item, np.int64) for _, item in self.items]
         pairs = {(a, b) for _, item in self.items for a, b in zip(item, item[1:])}
@@ -131,7 +145,7 @@ class ItemIndex:
         self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), dtype=np.int64)
         self.classes = []
         for size, members in sorted(by_class.items()):
-            heads = np.array([self.items[m][1][:size] for m in members], dtype=np.int64)
+            heads = np.array([self.items[m][1][at : at + size] for m, at in members], dtype=np.int64)
             tables = []
             for walk in range(WALKS):
                 table = defaultdict(list)
@@ -139,8 +153,8 @@ class ItemIndex:
                     for m, key in zip(members, row.tolist()):
                         table[key].append(m)
                 tables.append((np.array(sorted(table), dtype=np.uint64), table))
-            longest = max(len(self.items[m][1]) for m in members)
-            self.classes.append((size, max(1, size - 1 - 2 * allowed(longest)), tables))
+            most = max(allowed(n) // len(heads_of(n)[1]) for n in {len(self.items[m][1]) for m, _ in members})
+            self.classes.append((size, max(1, size - 1 - 2 * most), tables))
 
     def matches(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, start, end, edits), the best stretch for each text and item."""
@@ -158,7 +172,7 @@ class ItemIndex:
         known[ends[lengths > 0]] = 0  # the last word of a text starts no pair
         known = np.cumsum(known, dtype=np.int32)
         owner_end = np.repeat(ends, lengths)
-        pairs: dict[tuple[int, int], set[int]] = defaultdict(set)
+        pairs: set[tuple[int, int, int]] = set()
         for size, least, tables in self.classes:
             padded = np.concatenate([known, np.full(size, known[-1], np.int32)])
             starts = np.flatnonzero(padded[size - 1 : size - 1 + len(flat)] - known[:-1] >= least)
@@ -173,30 +187,36 @@ class ItemIndex:
                         hit = np.flatnonzero(known_keys[np.minimum(spot, len(known_keys) - 1)] == row)
                         for h in hit.tolist():
                             s = int(part[h])
-                            for m in table[int(row[h])]:
-                                pairs[(s, m)].add(walk)
+                            pairs.update((s, *head) for head in table[int(row[h])])
+        spans = defaultdict(list)
+        for s, m, at in pairs:
+            doc, n = int(np.searchsorted(ends, s, side="right")), len(self.items[m][1])
+            room = allowed(n) * (1 if n <= WHOLE else 2)  # words before a head may be missing or inserted
+            spans[doc, m].append((max(int(ends[doc] - lengths[doc]), s - at - room), min(int(ends[doc]), s - at + n + room)))
         out: dict[tuple[int, int], tuple] = {}
-        done: dict[tuple[int, int], int] = {}
         here = np.zeros(self.base, bool)
-        for s, m in sorted(pairs):
-            doc = int(np.searchsorted(ends, s, side="right"))
+        for (doc, m), each in spans.items():
             item = self.items[m][1]
             room = allowed(len(item))
             left = int(ends[doc] - lengths[doc])
-            near = (doc, m)
-            if near in done and s - done[near] <= room and near in out and out[near][2] == 0:
-                continue  # an exact match of the same stretch stands already
-            lo, hi = max(left, s - room), min(int(ends[doc]), s + len(item) + room)
-            stretch = flat[lo:hi]
-            here[stretch] = True
-            absent = len(item) - np.count_nonzero(here[self.arrays[m]])
-            here[stretch] = False
-            if absent > room:
-                continue  # each absent word is an edit
-            edits, a, b = infix_edits(item, stretch)
-            done[near] = s
-            if edits <= room and (near not in out or (edits, lo + a - left) < (out[near][2], out[near][0])):
-                out[near] = (lo + a - left, lo + b - left, edits)
+            joined: list[list[int]] = []
+            for lo, hi in sorted(each):
+                if joined and lo <= joined[-1][1]:
+                    joined[-1][1] = max(hi, joined[-1][1])
+                else:
+                    joined.append([lo, hi])
+            for lo, hi in joined:
+                stretch = flat[lo:hi]
+                here[stretch] = True
+                absent = len(item) - np.count_nonzero(here[self.arrays[m]])
+                here[stretch] = False
+                if absent > room:
+                    continue  # each absent word is an edit
+                edits, a, b = infix_edits(item, stretch)
+                if edits <= room and ((doc, m) not in out or edits < out[doc, m][2]):
+                    out[doc, m] = (lo + a - left, lo + b - left, edits)
+                    if not edits:
+                        break  # the first exact match stands
         return [(doc, m, a, b, edits) for (doc, m), (a, b, edits) in sorted(out.items())]
 
 
