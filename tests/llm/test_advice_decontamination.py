@@ -5,7 +5,7 @@ import random
 import pytest
 
 from strandmill.llm import decontamination as dc
-from tests.llm.helpers import prose
+from tests.llm.helpers import docs, prose
 from tests.llm.test_text_operators import edit
 
 
@@ -27,3 +27,12 @@ def test_recall_of_long_items(size, count):
         around = prose(7000 + size + k, 200, 2000).split()
         found += any(m == k for _, m, *_ in index.matches([dc.words_of(" ".join(around[:100] + body + around[100:]))]))
     assert found >= 0.9 * count
+
+
+def test_item_of_5000_words(spark):
+    text = prose(1, 5000, 3000)
+    words = text.split()
+    bench = spark.createDataFrame([(1, text), (2, prose(2, 30))], "item_id long, text string")
+    rows = [(1, "before " + text + " after"), (2, prose(3, 6000, 3000)), (3, " ".join(words[:2000] + ["new"] + words[2100:])), (4, "x " + prose(2, 30))]
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["end_word"], r["edits"]) for r in dc.contamination(docs(spark, rows), bench).collect()}
+    assert set(got) == {(1, 1), (3, 1), (4, 2)} and got[1, 1] == (1, 5001, 0) and got[3, 1][2] == 100
