@@ -14,6 +14,8 @@ for itself. A null doc_id is returned as null. Extra columns are ignored. An emp
 from __future__ import annotations
 
 import base64
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -63,14 +65,23 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(name: str):
-    """text -> its ids as little-endian uint32 bytes.
+def _added(name: str) -> dict[str, int]:
+    """The added tokens of tokenizers' file ``name``, which are found in a text before anything else."""
+    import public_tokenizers as public
+
+    found = json.load(open(public.path(name), encoding="utf-8"))["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that take in or look at what is beside them: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+@lru_cache(maxsize=4)
+def tokenizer(name: str, added: bool = False):
+    """text -> its ids as little-endian uint32 bytes; ``added``: the file's added tokens in a text give their own ids.
 
     The pre-tokens of the vocabulary begin at every single space between two other characters, so a text may be encoded
     from space to space. Texts in which white space adjoins a space are encoded whole.
     """
-    import re
-
     encode = _encoder(name)
     first, rest, odd = _Words(encode, ""), _Words(encode, " "), re.compile(r" \s|\s |^ | $")
 
@@ -82,7 +93,16 @@ def tokenizer(name: str):
         words = text.split(" ")
         return first[words[0]] + b"".join(map(rest.__getitem__, words[1:]))
 
-    return ids
+    if not added or not (own := {k: _four_bytes([v]) for k, v in _added(name).items()}):
+        return ids
+    split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
+
+    def all_ids(text: str) -> bytes:
+        if not any(t in text for t in own):
+            return ids(text)
+        return b"".join(own[part] if k % 2 else ids(part) for k, part in enumerate(split(text)))
+
+    return all_ids
 
 
 def harmonic_cuts(length: int, capacity: int = CAPACITY, crumb: int = CRUMB) -> list[tuple[int, int]]:
@@ -103,14 +123,14 @@ def harmonic_cuts(length: int, capacity: int = CAPACITY, crumb: int = CRUMB) ->
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, class int, bin long, offset long, rest binary"
 
 
-def _pieces(name: str):
+def _pieces(name: str, added: bool):
     """Pieces with the bins that this worker fills; ``rest`` holds the ids of pieces of unfilled bins."""
 
     def run(batches):
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        encode, end, bins = tokenizer(name), np.array([END_ID], "<u4").tobytes(), {}
+        encode, end, bins = tokenizer(name, added), np.array([END_ID], "<u4").tobytes(), {}
         fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("worker", pa.int64()), ("class", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("rest", pa.binary())]
         schema, open_bins, serial = pa.schema(fields), {}, 0
 
@@ -178,16 +198,19 @@ def _relay(final: bool):
     return run
 
 
-def pack(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
+def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", added: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
+    ``added``: strings of the file's added tokens give these tokens' ids, as tokenizers does unless told otherwise; else
+    they are ordinary text.
+
     The first round is written to the checkpoint folder, so that a worker's bins are the same whoever reads them. The
     leftovers of a class go to the second round in shares of 64 workers.
     """
     from strandmill.llm.common import durable
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = durable(source.mapInArrow(_pieces(name), PIECE))
+    first = durable(source.mapInArrow(_pieces(name, added), PIECE))
     columns = first.columns
     left = first.where("bin is null").select(*columns[:-1], "rest")
     second = left.withColumn("share", F.expr("worker div 64")).groupBy("class", "share").applyInArrow(lambda key, t: _relay(False)(key, t.drop_columns(["share"])), PIECE)

@@ -31,7 +31,7 @@ def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
