@@ -1,7 +1,10 @@
 """Licence scanning: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text is compared as a whole and line by line, and in groups of consecutive lines as long as a template has lines, so
-that a notice inside other text is found. Words are lower-cased runs of ASCII letters, digits and other non-ASCII
+A text is compared as a whole, line by line and in groups of up to four consecutive lines. With ``inside``, so that a notice is found
+however its lines are broken, and inside a longer line, every window of words, whatever the line breaks, that is within
+the size bounds of a template and begins and ends with one of its bigrams is compared too, where at least as many of the
+template's bigrams are close together as a match needs. (Cutting other bigrams off a window's ends only raises its
+coefficient.) From each first word the best one is taken. Words are lower-cased runs of ASCII letters, digits and other non-ASCII
 characters; bigrams count as a multiset. With A bigrams against B, the coefficient is at most 2 min(A, B) / (A + B), so
 only templates with A t / (2 - t) <= B <= A (2 - t) / t are compared, found by bisection in the templates' sizes; of
 those, only templates that share a bigram with the unit, rarest first by the prefix rule, are counted in full.
@@ -13,14 +16,18 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import accumulate
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.decontamination import _NOT_WORD as NOT_WORD
 from strandmill.llm.decontamination import words_of
 
 DICE = 0.8
@@ -86,6 +93,10 @@ class Templates:
                 self.by_bigram[g].add(k)
                 spare -= grams[g]
         self.words = {w for g in self.by_bigram for w in g}
+        self.holders = defaultdict(list)
+        for k, (*_, grams) in enumerate(found):
+            for g in grams:
+                self.holders[g].append(k)
 
     def match(self, words: list[bytes]) -> list[tuple[str, str, float]]:
         size = len(words) - 1
@@ -108,16 +119,55 @@ class Templates:
         return out
 
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(first word, end word, template, dice) of the windows of ``words`` that match, for each first word the best."""
+        places = defaultdict(list)
+        get = self.holders.get
+        for at, g in enumerate(zip(words, words[1:])):
+            for k in get(g, ()):
+                places[k].append(at)
+        out = []
+        for k, spots in places.items():
+            size, grams = self.sizes[k], self.all[k][3]
+            # with c common bigrams the window has c or more, so c >= least / 2 (c + size)
+            needed = max(1, ceil(size * self.least / (2 - self.least) - 1e-9))
+            widest = int(size * (2 - self.least) / self.least + 1e-9)
+            for i in range(len(spots) - needed + 1):
+                first = spots[i]
+                if spots[i + needed - 1] - first >= widest:
+                    continue
+                common, seen, best, stop = 0, {}, self.least - 1e-12, 0
+                for at in spots[i : i + widest]:
+                    if at - first >= widest:
+                        break
+                    g = (words[at], words[at + 1])
+                    seen[g] = seen.get(g, 0) + 1
+                    if seen[g] <= grams[g]:
+                        common += 1
+                        if (d := 2 * common / (at - first + 1 + size)) > best or not stop and d >= best:
+                            best, stop = d, at + 2
+                if stop:
+                    out.append((first, stop, k, best))
+        return out
+
+
 @lru_cache(maxsize=4)
 def _default(least: float) -> Templates:
     return Templates(TEMPLATES, least)
 
 
-def scan_text(text: str | None, index: Templates, group: int = 4) -> list[tuple[int, int, str, str, float]]:
+def _word_spans(line: str) -> list[tuple[int, int]]:
+    """(start, end) code points of the words of ``line`` as ``words_of`` finds them."""
+    owner = [k for k, c in enumerate(line) for _ in c.lower().encode("utf-8", "surrogatepass")]
+    raw = line.lower().encode("utf-8", "surrogatepass").translate(NOT_WORD)
+    return [(owner[m.start()], owner[m.end() - 1] + 1) for m in re.finditer(rb"[^ ]+", raw)]
+
+
+def scan_text(text: str | None, index: Templates, group: int = 4, inside: bool = False) -> list[tuple[int, int, str, str, float]]:
     """(start, end, template, licence, dice) of the units of ``text`` that match, start and end in code points.
 
-    Units are runs of 1 to ``group`` lines, and the whole text. Of overlapping units that match one template the one
-    with the largest coefficient is returned, the earliest and shortest if tied.
+    Units are runs of 1 to ``group`` lines, the whole text, and, with ``inside``, windows of words. Of overlapping units that match one
+    template the one with the largest coefficient is returned, the earliest and shortest if tied.
     """
     if not text:
         return []
@@ -137,9 +187,25 @@ def scan_text(text: str | None, index: Templates, group: int = 4) -> list[tuple[
                 found += [(lines[i][0], lines[j][1], *m) for m in index.match(words)]
     if len(lines) > group and (words := [w for line in lines for w in line[2]]) and len(words) <= largest:
         found += [(0, len(text), *m) for m in index.match(words)]
+    more = []
+    if inside and (windows := index.windows([w for line in lines for w in line[2]])):
+        firsts = list(accumulate((len(line[2]) for line in lines), initial=0))
+        spans: dict[int, list[tuple[int, int]]] = {}
+
+        def span(word: int) -> tuple[int, int]:
+            n = bisect_right(firsts, word) - 1
+            if n not in spans:
+                spans[n] = [(lines[n][0] + a, lines[n][0] + b) for a, b in _word_spans(text[lines[n][0] : lines[n][1]])]
+            return spans[n][word - firsts[n]]
+
+        more = [(span(a)[0], span(b - 1)[1], index.all[k][1], index.all[k][2], d) for a, b, k, d in windows]
+    taken: dict[str, list[tuple[int, int]]] = defaultdict(list)
     out: list[tuple] = []
-    for x in sorted(found, key=lambda x: (-x[4], x[0], x[1])):
-        if not any(y[2] == x[2] and y[0] < x[1] and x[0] < y[1] for y in out):
+    for x in sorted([*found, *more], key=lambda x: (-round(x[4], 12), x[0], x[1])):
+        own = taken[x[2]]
+        at = bisect_left(own, (x[1],))
+        if not at or own[at - 1][1] <= x[0]:
+            own.insert(at, (x[0], x[1]))
             out.append(x)
     return sorted(out)
 
@@ -147,20 +213,23 @@ def scan_text(text: str | None, index: Templates, group: int = 4) -> list[tuple[
 SCAN = "doc_id long, start int, end int, template string, license string, dice double"
 
 
-def _scan(templates: dict[str, tuple[str, ...]] | None, least: float):
+def _scan(templates: dict[str, tuple[str, ...]] | None, least: float, inside: bool):
     def run(batches):
         index = _default(least) if templates is None else Templates(templates, least)
         names = ["doc_id", "start", "end", "template", "license", "dice"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64()]
         for batch in batches:
-            rows = [(i, *x[:4], round(x[4], 6)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index)]
+            rows = [(i, *x[:4], round(x[4], 6)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index, inside=inside)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
-def license_matches(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE) -> DataFrame:
-    """(doc_id, start, end, template, license, dice) of every match in ``docs`` (doc_id, text); no shuffle."""
+def license_matches(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE, inside: bool = False) -> DataFrame:
+    """(doc_id, start, end, template, license, dice) of every match in ``docs`` (doc_id, text); no shuffle.
+
+    ``inside``: in windows of words too, not only in lines and groups of lines.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scan(templates, least), SCAN)
+    return own.mapInArrow(_scan(templates, least, inside), SCAN)

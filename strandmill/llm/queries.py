@@ -45,7 +45,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_matches(table(spark, sf_dir, "documents"))
+    return license_scan.license_matches(table(spark, sf_dir, "documents"), inside=True)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
