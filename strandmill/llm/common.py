@@ -7,10 +7,14 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds more than 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 1000
+#: A key with more than 1/HOT_SHARE of all rows is joined by broadcast, and one with more than HOT_ROWS rows too, as long
+#: as there can't be more than HOT_KEYS of these.
+HOT_SHARE, HOT_ROWS, HOT_KEYS = 1000, 1_000_000, 20_000
 
-#: Rows of an Arrow batch that goes to a Python worker while something is materialised; bounds memory for long texts.
+#: Row addresses (two longs each) that are broadcast at most; above that they meet their rows in a shuffle.
+BROADCAST_ROWS = 500_000
+
+#: Rows of an Arrow batch that goes to a Python worker; bounds memory for long texts.
 ARROW_ROWS = 1000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,23 +28,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's shared checkpoint folder, so a lost executor costs no recomputation.
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_ROWS rows. Set once and left, so that queries don't disturb each other."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= ARROW_ROWS:
+        spark.conf.set(size, str(ARROW_ROWS))
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only in local mode, where it may be unset (tests), a temporary one is made."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="strandmill-"))
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, str(min(int(before), ARROW_ROWS)) if int(before) > 0 else str(ARROW_ROWS))
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(size, before)
+    return jsc.getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise in the cluster's shared checkpoint folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet scan with nothing but filters and projections above it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if kind != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    named = [plan.output().apply(k).name().lower() for k in range(plan.output().size())]
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and "_metadata" not in named
+
+
+def addressed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(``docs`` with two long columns that name each row, alike at every reading; their names).
+
+    For a Parquet scan they are the hash of the file's path and the row's place in the file, which cost nothing. Anything
+    else is made durable first, and its rows are numbered. Null and repeated ids don't matter to an address.
+    """
+    names = fresh(docs, "file", "at")
+    if _is_scan(docs):
+        parts = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    else:
+        docs, parts = durable(docs), (F.lit(0).cast("long"), F.monotonically_increasing_id())
+    return docs.select("*", *[p.alias(n) for p, n in zip(parts, names)]), names
+
+
+def meet(rows: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join of addressed rows with at most one row of ``facts`` an address.
+
+    ``facts`` of at most BROADCAST_ROWS rows are broadcast, so that the rows (their texts) stay where they are. More meet
+    them in a shuffle by address, which has no hot keys.
+    """
+    facts = durable(facts)
+    return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_ROWS else facts, keys, how)
 
 
 def ascii_lower(col: Column) -> Column:
@@ -52,12 +113,12 @@ def join_facts(left: DataFrame, facts: DataFrame, keys: list[str], weight: str,
     """Left join of many rows with one row of facts a key, safe if one key holds most rows of ``left``.
 
     ``weight`` is the fact column with the number of left rows of the key and ``total`` their sum. The keys above
-    total / HOT_SHARE, of which there are fewer than HOT_SHARE by arithmetic, are broadcast; all others go through a
-    shuffle, in which the rows that are already answered are spread by ``spread`` instead of meeting in one task.
-    ``keys`` must not be null on either side. ``weight`` is dropped.
+    total / HOT_SHARE, or above HOT_ROWS or total / HOT_KEYS if that is more, are broadcast; by arithmetic there are fewer
+    than HOT_SHARE or HOT_KEYS of them. All others go through a shuffle, in which the rows that are already answered are
+    spread by ``spread`` instead of meeting in one task. ``keys`` must not be null on either side. ``weight`` is dropped.
     """
     names = [c for c in facts.columns if c not in (*keys, weight)]
-    is_hot = F.col(weight) * F.lit(HOT_SHARE) > F.lit(total)
+    is_hot = F.col(weight) > F.lit(min(total / HOT_SHARE, max(HOT_ROWS, total / HOT_KEYS)))
     hot = facts.where(is_hot).select(*keys, *[F.col(c).alias(f"__h_{c}") for c in names], F.lit(True).alias("__hot"))
     cold = facts.where(~is_hot).select(*keys, *[F.col(c).alias(f"__c_{c}") for c in names], F.lit(0).alias("__salt"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0))

@@ -31,11 +31,11 @@ def test_planted_passages_are_found(spark):
     for i, spans in got.items():
         for a, b in spans:
             piece = text[i][a:b].strip()
-            assert piece in text[i - 1] and len(piece.split()) >= substring_dedup.LEAST
+            assert piece in text[i - 1] and len(piece.split()) >= substring_dedup.SPAN
 
 
-def test_no_long_sentence():
+def test_no_long_clause():
     rng = random.Random(1)
     for marks in (0, 0.02, 0.2):
         text = " ".join(words(rng, 3000, marks))
-        assert max(len(text[a:b].split()) for a, b in substring_dedup.sentences(text)) <= substring_dedup.WINDOW
+        assert max(len(text[a:b].split()) for a, b in substring_dedup.clauses(text)) <= substring_dedup.WINDOW

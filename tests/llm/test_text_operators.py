@@ -152,22 +152,38 @@ def test_decontamination_edges(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 3] and out.columns == docs(spark, []).columns
 
 
+def plain_words(text):
+    """(word, start) by the definition: runs of other characters with the marks behind them, lower-cased."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [(m[0], m.start()) for m in re.finditer(r"[^\x20\x09-\x0d.!?]*[.!?]+|[^\x20\x09-\x0d.!?]+", low)]
+
+
+def plain_runs(text):
+    """{(start, end): words} of the runs of a text whose parts are given."""
+    words, out = plain_words(text), {}
+
+    def part(a, b):
+        return tuple(w for w, at in words if a <= at < b)
+
+    lines = substring_dedup.sentences(text)
+    for k in range(len(lines) - 2):
+        out[lines[k][0], lines[k + 2][1]] = part(lines[k][0], lines[k + 2][1])
+    parts = substring_dedup.clauses(text)
+    n = [len(part(*p)) for p in parts]
+    long = [(a, b) for a in range(len(parts)) for b in range(a + 2, len(parts)) if sum(n[a : b + 1]) >= substring_dedup.SPAN]
+    ends, starts = {}, {}
+    for a, b in long:
+        ends[a], starts[b] = min(b, ends.get(a, b)), max(a, starts.get(b, a))
+    for a, b in {*ends.items(), *((a, b) for b, a in starts.items())}:
+        out[parts[a][0], parts[b][1]] = part(parts[a][0], parts[b][1])
+    return out
+
+
 def brute_repeats(rows):
     """Covered characters of every row by the definition."""
     first, runs = {}, []
     for n, (i, t) in enumerate(rows):
-        spans = substring_dedup.sentences(t)
-        keys = [" ".join(re.split(r"[\x20\x09-\x0d]+", t[a:b].strip(" \t\n\x0b\x0c\r"))) for a, b in spans]
-        keys = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k) for k in keys]
-        words = [len(k.split(" ")) for k in keys]
-        own = [(a, b) for a in range(len(keys)) for b in range(a + 2, len(keys)) if sum(words[a : b + 1]) >= substring_dedup.LEAST]
-        ends, starts = {}, {}
-        for a, b in own:
-            ends[a], starts[b] = min(b, ends.get(a, b)), max(a, starts.get(b, a))
-        own = {*ends.items(), *((a, b) for b, a in starts.items())}
-        if 0 < len(keys) < 3 and sum(words) >= substring_dedup.LEAST:
-            own = {(0, len(keys) - 1)}
-        runs += [(tuple(keys[a : b + 1]), (i is None, i or 0, n, a), n, spans[a][0], spans[b][1]) for a, b in own]
+        runs += [(words, (i is None, i or 0, n, a), n, a, b) for (a, b), words in plain_runs(t).items()]
     for key, place, *_ in runs:
         first[key] = min(first.get(key, place), place)
     covered = Counter()
@@ -191,16 +207,42 @@ def test_repeats(spark):
 
 
 def test_sentences_cover_the_text():
-    for text in [t for _, t in ODD] + [prose(3, 500), "a.b!c?\n\n d", "...", "\n\n x"]:
-        spans = substring_dedup.sentences(text)
-        assert all(a < b for a, b in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
-        assert not (text or "").strip() or "".join(text[a:b] for a, b in spans).strip() == text.strip()
-    assert substring_dedup.repeated_spans is not None
+    for text in [t for _, t in ODD] + [prose(3, 500), "a.b!c?\n\n d", "...", "\n\n x", "x" * 3_000_000 + " y. z", "é. " * 600_000 + "end"]:
+        for spans in (substring_dedup.sentences(text), substring_dedup.clauses(text)):
+            assert all(a < b for a, b in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+            assert not (text or "").strip() or "".join(text[a:b] for a, b in spans) == text
+
+
+def test_sentences():
+    text = "One two. Three\nfour! a.b 3.14 x"
+    assert [text[a:b] for a, b in substring_dedup.sentences(text)] == ["One two. ", "Three\n", "four! ", "a.", "b 3.", "14 x"]
+
+
+def test_three_sentences_without_a_floor(spark):
+    """Any three whole sentences that repeat are found, however short, within a text too; two are not."""
+    rows = [(1, "No way. Yes! Go on home now please."), (2, "So it is.\nNO  way.\nYes! Go on home now please."), (3, "Yes! Go on home now please."), (4, "A b. C d. E f. A b. C d. E f.")]
+    got = {(r["doc_id"], dict(rows)[r["doc_id"]][r["start"] : r["end"]], r["first_doc_id"]) for r in substring_dedup.repeated_spans(docs(spark, rows)).collect()}
+    assert got == {(2, "NO  way.\nYes! Go on home now please.", 1), (4, "A b. C d. E f.", 4)}
+
+
+def test_blocks_change_nothing(monkeypatch):
+    """Whatever is hashed together, the runs have the same hashes."""
+    texts = [t for _, t in ODD] + [prose(k, 30 * k) for k in range(20)]
+    import pyarrow as pa
+
+    whole = np.concatenate([x.column(0).to_numpy() for x in substring_dedup._hashes([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])])
+    monkeypatch.setattr(substring_dedup, "BLOCK", 997)
+    parts = np.concatenate([x.column(0).to_numpy() for t in texts for x in substring_dedup._hashes([pa.RecordBatch.from_arrays([pa.array([t], pa.string())], names=["text"])])])
+    assert sorted(whole.tolist()) == sorted(parts.tolist()) and len(whole) > 1000
 
 
 def test_repeats_odd(spark):
     assert substring_dedup.repeated_spans(docs(spark, [])).count() == 0
     substring_dedup.repeated_spans(docs(spark, ODD)).collect()
+    rows = docs(spark, [(None, prose(5, 90)), (None, prose(5, 90)), (7, prose(5, 90)), (7, prose(5, 90)), (8, None)]).selectExpr("*", "1 as file", "2 as at", "3 as cuts", "4 as whole")
+    out = substring_dedup.drop_repeats(rows)
+    assert out.columns == rows.columns and sorted(len((r["text"] or "").strip()) > 0 for r in out.collect()) == [False] * 4 + [True]
+    assert [r["doc_id"] for r in out.collect() if r["text"] and r["text"].strip()] == [7]
 
 
 def test_licenses(spark):
