@@ -6,8 +6,8 @@ digests, the digests themselves become the identifiers. A document is then its r
 two documents are equal when their recipes are. Texts are read once and never shuffled.
 
 Defined cases: a null text counts as empty, and the empty text has the empty recipe, so all such rows form one group. A
-null doc_id ranks below every other; of rows with equal doc_id and text one, undetermined but single, is kept. Extra
-columns are ignored. An empty table gives an empty result.
+null doc_id ranks below every other; of rows with equal doc_id and text the one with the largest address is kept. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import LOWER_TABLE, ascii_lower, durable, join_facts
+from strandmill.llm.common import LOWER_TABLE, addressed, durable, join_facts, meet
 
 #: Chunk sizes in bytes: a cut is looked for after MIN_CHUNK, is likely every 2**AVERAGE_BITS, and is forced at MAX_CHUNK.
 MIN_CHUNK, AVERAGE_BITS, MAX_CHUNK = 1024, 12, 16384
@@ -54,14 +54,10 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
-RECIPE = "doc_id long, text_sha256 string, ids array<long>, digests array<binary>"
-
-
 def _recipes(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
     for batch in batches:
         shas, ids, digests = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(batch.num_columns - 1):
             data = b"" if text is None else text.as_buffer()
             data = bytes(data if data is not None else b"").translate(LOWER_TABLE)
             shas.append(hashlib.sha256(data).hexdigest())
@@ -71,12 +67,15 @@ def _recipes(batches):
                 last = end
             ids.append([xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in parts])
             digests.append([hashlib.sha256(p).digest() for p in parts])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(ids, schema.field(2).type), pa.array(digests, schema.field(3).type)], schema=schema)
+        made = [pa.array(shas, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "text_sha256", "ids", "digests"])
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256, ids, digests) of each row of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_recipes, RECIPE)
+def recipes(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, text_sha256, ids, digests) of each row of (doc_id, text), and in front the long columns ``carry`` as row0, row1, ..."""
+    rows = [F.col(c).alias(f"row{k}") for k, c in enumerate(carry or [])]
+    schema = "".join(f"row{k} long, " for k in range(len(rows))) + "doc_id long, text_sha256 string, ids array<long>, digests array<binary>"
+    return docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_recipes, schema)
 
 
 def dictionary(recipe_rows: DataFrame) -> DataFrame:
@@ -94,24 +93,33 @@ def dictionary(recipe_rows: DataFrame) -> DataFrame:
     return found.select("id", "uses", same.alias("verified"))
 
 
+def _grouped(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The recipe rows with keep_id, group_size and kept; the long columns ``names`` tell rows apart."""
+    clash = dictionary(rows).where(~F.col("verified")).limit(1).count() > 0
+    rows = rows.select("doc_id", "text_sha256", *names, F.col("digests" if clash else "ids").alias("recipe"))
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), *names)).alias("best")
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("w"), best).select("recipe", "w", F.col("w").alias("group_size"), "best")
+    groups = durable(groups)
+    total = groups.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    out = join_facts(rows, groups, ["recipe"], "w", total, F.xxhash64(*names))
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.col(n) == F.col(f"best.{n}"))
+    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", same.alias("kept"), "text_sha256", *names)
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs`` (doc_id, text)."""
     rows = durable(recipes(docs)).withColumn("rid", F.monotonically_increasing_id())
-    clash = dictionary(rows).where(~F.col("verified")).limit(1).count() > 0
-    rows = rows.select("doc_id", "text_sha256", "rid", F.col("digests" if clash else "ids").alias("recipe"))
-    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))).alias("best")
-    groups = durable(rows.groupBy("recipe").agg(F.count("*").alias("w"), best).select("recipe", "w", F.col("w").alias("group_size"), F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid")))
-    total = groups.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    out = join_facts(rows, groups, ["recipe"], "w", total, F.col("rid"))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    return _grouped(rows, ["rid"]).drop("rid")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when of equal texts the largest doc_id is kept.
+    """The rows of ``docs``, all columns, that stay when of equal texts the largest doc_id is kept: one row of each group.
 
-    Rows are found again by doc_id and digest; rows equal in both are one document and give one row.
+    The rows that go are found by their addresses, so texts stay where they are (see ``common.meet``).
     """
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumn("__sha0", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    joined = own.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__sha0"]).select(*docs.columns)
+    rows, names = addressed(docs)
+    found = _grouped(durable(recipes(rows, names)), ["row0", "row1"])
+    gone = found.where(~F.col("kept")).select(*[F.col(f"row{k}").alias(n) for k, n in enumerate(names)])
+    return meet(rows, gone, names, "left_anti").drop(*names)

@@ -21,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import LOWER_TABLE, components, durable, join_facts
+from strandmill.llm.common import LOWER_TABLE, addressed, components, durable, join_facts, meet
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 DENSE = 256
@@ -55,13 +55,15 @@ def simhash(text: str | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        fps = np.array([simhash(t) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long), fp the fingerprint's 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id long, fp long), fp the fingerprint's 64 bits as a signed long; in front the long columns ``carry`` as row0, row1, ..."""
+    rows = [F.col(c).alias(f"row{k}") for k, c in enumerate(carry or [])]
+    schema = "".join(f"row{k} long, " for k in range(len(rows))) + "doc_id long, fp long"
+    return docs.select(*rows, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, schema)
 
 
 def _mask(bits) -> int:
@@ -185,25 +187,31 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row for each row of ``docs`` (doc_id, text)."""
-    rows = durable(fingerprints(docs))
-    nodes = durable(rows.groupBy("fp").agg(F.count("*").alias("w"), F.min("doc_id").alias("first_id")))
+def _least(rows: DataFrame, each: Column) -> DataFrame:
+    """``rows`` (.., fp) with ``least``, the least ``each`` of all rows whose fingerprints link up with theirs."""
+    nodes = durable(rows.groupBy("fp").agg(F.count("*").alias("w"), F.min(each).alias("first")))
     total = nodes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     part = durable(components(links(nodes)).withColumnRenamed("node", "fp"))
-    member = nodes.join(part, "fp", "left").select("fp", "w", "first_id", F.coalesce("component", "fp").alias("component"))
-    lowest = member.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    lowest = durable(lowest)
+    member = nodes.join(part, "fp", "left").select("fp", "w", "first", F.coalesce("component", "fp").alias("component"))
+    lowest = durable(member.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")))
     distinct = lowest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    facts = durable(join_facts(member, lowest, ["component"], "n", distinct, F.col("fp")).select("fp", "w", "component_id"))
-    out = join_facts(rows, facts, ["fp"], "w", total, F.col("doc_id"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    facts = durable(join_facts(member, lowest, ["component"], "n", distinct, F.col("fp")).select("fp", "w", "least"))
+    return join_facts(rows, facts, ["fp"], "w", total, F.xxhash64(*[c for c in rows.columns if c != "fp"]))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row for each row of ``docs`` (doc_id, text)."""
+    out = _least(durable(fingerprints(docs)), F.col("doc_id"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id names a component: one document of each group.
+    """The rows of ``docs``, all columns, less all but one row of each group: the one with the least doc_id stays.
 
-    Rows that share the kept doc_id stay together; rows with a null doc_id stay only if their whole component has none.
+    Null ids rank last, and rows of equal id by their addresses. The rows that go are found by their addresses, so texts
+    stay where they are (see ``common.meet``).
     """
-    stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows, names = addressed(docs)
+    found = _least(durable(fingerprints(rows, names)), F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), "row0", "row1"))
+    gone = found.where((F.col("row0") != F.col("least.row0")) | (F.col("row1") != F.col("least.row1")))
+    return meet(rows, gone.select(*[F.col(f"row{k}").alias(n) for k, n in enumerate(names)]), names, "left_anti").drop(*names)
