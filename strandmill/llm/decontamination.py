@@ -4,8 +4,8 @@ Texts and items are word sequences. The CGK walk reads a window through a random
 on the step and the word, and so maps edit distance to Hamming distance with high probability. Each of ``WALKS`` walks
 gives ``TABLES`` samples of ``SAMPLE`` positions of the embedding as hash keys; windows and items that share any key are
 verified by their exact word edit distance, the item against the best-placed stretch of the text near the window. With
-these figures a window at the full radius of 0.2 edits a word is found with probability 0.9 or more (see
-tests/llm/test_decontamination.py), an exact one always.
+these figures a window at the full radius of 0.2 edits a word is found with probability 0.9 or more (measured in
+tests/llm/test_text_operators.py and test_advice_decontamination.py), an exact one always.
 
 Windows start at every word and have the length of a size class of items (classes grow by a quarter; an item of up to
 ``WHOLE`` words enters with its first words, as many as its class has). A longer item enters with several heads of one
@@ -16,11 +16,11 @@ embedded. This drops no match within that figure. All stretches of a text that m
 where they overlap.
 
 Items are a stated query set: they go to the workers in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``
-bytes, one pass over the texts each.
+bytes, one pass over the texts each, with tables that the driver has built and that the block bounds.
 
 Defined cases: words are runs of ASCII letters and digits and of any non-ASCII characters, lower-cased. Null and blank
-texts match nothing, as do items of fewer than ``MIN_WORDS`` words. A null doc_id is returned as null. Items with equal
-text each give their own rows. Extra columns are ignored. Empty tables give an empty result.
+texts match nothing, and null and blank items are not looked for. Items of fewer than five words allow no edit: they match
+where they occur word for word. A null doc_id is returned as null. Items with equal text each give their own rows. Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS, SIMILARITY = 5, 0.8
+from strandmill.llm.common import addressed, meet
+
+SIMILARITY = 0.8
 WALKS, TABLES, SAMPLE = 6, 12, 3
 WHOLE, HEADS = 96, (41, 51, 63, 78)
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16_000_000
@@ -48,8 +50,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def size_class(n: int) -> int:
-    """The largest class length of n or less: 5, 6, 7, 8, 10, 12, 15, ..."""
-    size = MIN_WORDS
+    """The largest class length of n or less: 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, ..."""
+    size = 1
     while (step := max(size + 1, size * 5 // 4)) <= n:
         size = step
     return size
@@ -104,7 +106,7 @@ def keys(windows: np.ndarray, walk: int) -> np.ndarray:
     return out
 
 
-def infix_edits(item: list[int], text: list[int]) -> tuple[int, int, int]:
+def infix_edits(item, text) -> tuple[int, int, int]:
     """(edits, start, end) of the stretch of ``text`` with the fewest word edits to ``item``; the first, then longest-starting, if tied."""
     t = np.asarray(text, np.int64)
     n = len(t)
@@ -127,67 +129,66 @@ def infix_edits(item: list[int], text: list[int]) -> tuple[int, int, int]:
 
 
 class ItemIndex:
-    """LSH tables of a block of items [(item_id, text)]."""
+    """LSH tables of a block of items [(item_id, text)]; arrays, so that it can be broadcast."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.number: dict[bytes, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int, np.ndarray]] = []
         by_class = defaultdict(list)
         for item_id, text in items:
-            words = words_of(text)
-            if len(words) >= MIN_WORDS:
+            if words := words_of(text):
                 size, starts = heads_of(len(words))
                 by_class[size] += [(len(self.items), at) for at in starts]
-                self.items.append((item_id, [self.number.setdefault(w, len(self.number) + 1) for w in words]))
-        self.arrays = [np.array(item, np.int64) for _, item in self.items]
-        pairs = {(a, b) for _, item in self.items for a, b in zip(item, item[1:])}
+                self.items.append((item_id, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)))
         self.base = len(self.number) + 1
-        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), dtype=np.int64)
+        pairs = [item[:-1] * self.base + item[1:] for _, item in self.items]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.classes = []
         for size, members in sorted(by_class.items()):
             heads = np.array([self.items[m][1][at : at + size] for m, at in members], dtype=np.int64)
             tables = []
             for walk in range(WALKS):
-                table = defaultdict(list)
-                for row in keys(heads, walk):
-                    for m, key in zip(members, row.tolist()):
-                        table[key].append(m)
-                tables.append((np.array(sorted(table), dtype=np.uint64), table))
+                rows = keys(heads, walk)
+                order = np.argsort(rows, axis=None, kind="stable")
+                tables.append((rows.ravel()[order], (order % len(members)).astype(np.int32)))
             most = max(allowed(n) // len(heads_of(n)[1]) for n in {len(self.items[m][1]) for m, _ in members})
-            self.classes.append((size, max(1, size - 1 - 2 * most), tables))
+            self.classes.append((size, max(1, size - 1 - 2 * most), np.array(members, np.int64), tables, np.unique(heads[:, 0])))
 
     def matches(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, start, end, edits), the best stretch for each text and item."""
         get = self.number.get
         lengths = np.array([len(t) for t in texts], np.int64)
         flat = np.array(list(map(get, chain.from_iterable(texts), repeat(0))), dtype=np.int64)
-        if not len(flat) or not len(self.pairs):
+        if not len(flat) or not self.items:
             return []
         ends = np.cumsum(lengths)
-        both = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))
-        codes = flat[both] * self.base + flat[both + 1]
-        spot = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
         known = np.zeros(len(flat) + 1, np.int32)
-        known[both[self.pairs[spot] == codes] + 1] = 1
+        if len(self.pairs):
+            both = np.flatnonzero((flat[:-1] != 0) & (flat[1:] != 0))
+            codes = flat[both] * self.base + flat[both + 1]
+            spot = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+            known[both[self.pairs[spot] == codes] + 1] = 1
         known[ends[lengths > 0]] = 0  # the last word of a text starts no pair
         known = np.cumsum(known, dtype=np.int32)
         owner_end = np.repeat(ends, lengths)
         pairs: set[tuple[int, int, int]] = set()
-        for size, least, tables in self.classes:
-            padded = np.concatenate([known, np.full(size, known[-1], np.int32)])
-            starts = np.flatnonzero(padded[size - 1 : size - 1 + len(flat)] - known[:-1] >= least)
-            starts = starts[known[np.minimum(starts + size - 1, owner_end[starts])] - known[starts] >= least]
+        for size, least, members, tables, first in self.classes:
+            if size == 1:  # no pairs to go by
+                starts = np.flatnonzero(np.isin(flat, first))
+            else:
+                padded = np.concatenate([known, np.full(size, known[-1], np.int32)])
+                starts = np.flatnonzero(padded[size - 1 : size - 1 + len(flat)] - known[:-1] >= least)
+                starts = starts[known[np.minimum(starts + size - 1, owner_end[starts])] - known[starts] >= least]
             for at in range(0, len(starts), CHUNK):
                 part = starts[at : at + CHUNK]
                 grid = part[:, None] + np.arange(size)[None, :]
                 windows = np.where(grid < owner_end[part][:, None], flat[np.minimum(grid, len(flat) - 1)], -1)
-                for walk, (known_keys, table) in enumerate(tables):
-                    for row in keys(windows, walk):
-                        spot = np.searchsorted(known_keys, row)
-                        hit = np.flatnonzero(known_keys[np.minimum(spot, len(known_keys) - 1)] == row)
-                        for h in hit.tolist():
-                            s = int(part[h])
-                            pairs.update((s, *head) for head in table[int(row[h])])
+                for walk, (known_keys, owner) in enumerate(tables):
+                    rows = keys(windows, walk)
+                    lo = np.searchsorted(known_keys, rows)
+                    for t, h in np.argwhere(known_keys[np.minimum(lo, len(known_keys) - 1)] == rows).tolist():
+                        hi = np.searchsorted(known_keys, rows[t, h], side="right")
+                        pairs.update((int(part[h]), *head) for head in members[owner[lo[t, h] : hi]].tolist())
         spans = defaultdict(list)
         for s, m, at in pairs:
             doc, n = int(np.searchsorted(ends, s, side="right")), len(self.items[m][1])
@@ -208,7 +209,7 @@ class ItemIndex:
             for lo, hi in joined:
                 stretch = flat[lo:hi]
                 here[stretch] = True
-                absent = len(item) - np.count_nonzero(here[self.arrays[m]])
+                absent = len(item) - np.count_nonzero(here[item])
                 here[stretch] = False
                 if absent > room:
                     continue  # each absent word is an edit
@@ -220,29 +221,30 @@ class ItemIndex:
         return [(doc, m, a, b, edits) for (doc, m), (a, b, edits) in sorted(out.items())]
 
 
-MATCH = "doc_id long, item_id long, start_word int, end_word int, edits int, similarity double"
+MATCH = "item_id long, start_word int, end_word int, edits int, similarity double"
 
 
 def _matcher(block):
     def run(batches):
-        index = ItemIndex(block.value)
+        index = block.value
+        names, kinds = ["item_id", "start_word", "end_word", "edits", "similarity"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            n, texts = batch.num_rows, batch.column(batch.num_columns - 1)
             rows, at, size = [], 0, 0
             held: list[list[bytes]] = []
-            for k in range(len(ids) + 1):
-                if k < len(ids):
+            for k in range(n + 1):
+                if k < n:
                     held.append(words_of(texts[k].as_py()))
                     size += len(held[-1])
-                if size > 400_000 or k == len(ids):
+                if size > 400_000 or k == n:
                     for doc, m, a, b, edits in index.matches(held) if held else ():
                         item_id, item = index.items[m]
-                        rows.append((ids[at + doc], item_id, a, b, edits, round(1 - edits / len(item), 6)))
+                        rows.append((at + doc, item_id, a, b, edits, round(1 - edits / len(item), 6)))
                     at, size, held = at + len(held), 0, []
             if rows:
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "start_word", "end_word", "edits", "similarity"])
+                where, *cols = zip(*rows)
+                own = [c.take(pa.array(where)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*batch.schema.names[:-1], *names])
 
     return run
 
@@ -259,17 +261,27 @@ def _blocks(items: DataFrame):
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document and item of which the document holds a near copy: its best stretch, in words."""
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], MATCH)
+def _contamination(own: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches of ``own`` (long columns, and text as the last), with its other columns in front."""
+    schema = "".join(f"{c} long, " for c in own.columns[:-1]) + MATCH
+    out = own.sparkSession.createDataFrame([], schema)
     for block in _blocks(items):
-        out = out.unionAll(source.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), MATCH))
+        out = out.unionAll(own.mapInArrow(_matcher(own.sparkSession.sparkContext.broadcast(ItemIndex(block))), schema))
     return out
 
 
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and item of which the document holds a near copy: its best stretch, in words."""
+    return _contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no match; a contaminated row with a null doc_id drops all such rows."""
-    bad = contamination(docs, items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs``, all columns, without a match.
+
+    The rows that go are found by their addresses, so null and repeated ids don't matter, and texts stay where they are
+    (see ``common.meet``).
+    """
+    rows, names = addressed(docs)
+    own = rows.select(*[F.col(n).alias(f"row{k}") for k, n in enumerate(names)], F.col("text").cast("string").alias("text"))
+    bad = _contamination(own, items).select(*[F.col(f"row{k}").alias(n) for k, n in enumerate(names)]).distinct()
+    return meet(rows, bad, names, "left_anti").drop(*names)
