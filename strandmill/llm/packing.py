@@ -3,9 +3,10 @@
 A document is cut into whole sequences and a remainder. The remainder is cut into pieces of exactly capacity / k tokens,
 the largest first, until less than ``CRUMB`` tokens are left, which stay whole. A piece is of class k = capacity // length,
 and a bin of class k takes k pieces: a fixed count, so workers fill the bins of each class on their own, without any
-exchange. What a worker has left over, less than one bin a class, goes to a second round: per class the leftovers of all
-workers are laid end to end and cut at the capacity; what is left of that is laid end to end once more and its last
-sequence is split into powers of two, which need no padding.
+exchange. What a worker has left over, less than one bin a class, it lays end to end, small pieces first, and cuts at the
+capacity; so less than one sequence a worker is left, in few pieces. These go through two more rounds, in shares of
+``SHARE`` workers and then of ``SHARE`` shares, each laid end to end and cut alike; the last sequence of the last round is
+split into powers of two, which need no padding.
 
 Defined cases: a null text counts as empty; the empty text is the end token alone. Rows with equal doc_id are packed each
 for itself. A null doc_id is returned as null. Extra columns are ignored. An empty table gives an empty result.
@@ -26,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END_ID, CRUMB = 2048, 1, 32
+from strandmill.llm.common import durable, small_batches
+
+CAPACITY, END_ID, CRUMB, SHARE = 2048, 1, 32, 64
 #: Texts' words whose ids are remembered by a worker.
 CACHE = 150_000
 
@@ -120,80 +123,85 @@ def harmonic_cuts(length: int, capacity: int = CAPACITY, crumb: int = CRUMB) ->
     return out
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, class int, bin long, offset long, rest binary"
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, bin long, offset long, rest binary"
+_FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("worker", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("rest", pa.binary())]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows), _FIELDS)], schema=pa.schema(_FIELDS))
+
+
+def lay(pieces: list[tuple], serial: int, final: bool = False):
+    """Lay pieces (doc_id, start, length, doc_tokens, ids) end to end and cut them at the capacity.
+
+    Gives (doc_id, start, length, ids_crc32, doc_tokens, bin, offset, rest), bins numbered from ``serial`` on; the pieces of
+    the last sequence, if it isn't full, have no bin and keep their ids in rest, or, if ``final``, are cut into powers of two.
+    """
+    total = sum(p[2] for p in pieces)
+    edges = list(range(CAPACITY, total + 1, CAPACITY))
+    left = total % CAPACITY
+    for b in range(CAPACITY.bit_length() - 1, -1, -1):
+        if final and left >> b & 1:
+            edges.append((edges[-1] if edges else 0) + (1 << b))
+    pos = n = begin = 0
+    for doc_id, start, length, tokens, ids in pieces:
+        at = 0
+        while at < length:
+            stop = edges[n] if n < len(edges) else total + 1
+            size = min(length - at, stop - pos)
+            part = ids[4 * at : 4 * (at + size)]
+            full = n < len(edges)
+            yield doc_id, start + at, size, zlib.crc32(part), tokens, serial + n if full else None, pos - begin if full else None, None if full else part
+            at, pos = at + size, pos + size
+            if pos == stop:
+                n, begin = n + 1, pos
 
 
 def _pieces(name: str, added: bool):
-    """Pieces with the bins that this worker fills; ``rest`` holds the ids of pieces of unfilled bins."""
+    """Pieces with the bins that this worker fills; ``rest`` holds the ids of the pieces of its last, unfilled sequence."""
 
     def run(batches):
         from pyspark import TaskContext
 
         worker = TaskContext.get().partitionId()
-        encode, end, bins = tokenizer(name, added), np.array([END_ID], "<u4").tobytes(), {}
-        fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("worker", pa.int64()), ("class", pa.int32()), ("bin", pa.int64()), ("offset", pa.int64()), ("rest", pa.binary())]
-        schema, open_bins, serial = pa.schema(fields), {}, 0
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows), fields)], schema=schema)
-
+        encode, end = tokenizer(name, added), np.array([END_ID], "<u4").tobytes()
+        open_bins: dict[int, list] = {}
+        serial = 0
         for batch in batches:
             rows = []
             for doc_id, scalar in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(scalar.as_py() or "") + end
                 at, tokens = 0, len(ids) // 4
                 for length, k in harmonic_cuts(tokens):
-                    part = ids[4 * at : 4 * (at + length)]
-                    row = (doc_id, at, length, zlib.crc32(part), tokens)
-                    at += length
                     held = open_bins.setdefault(k, [])
-                    held.append((row, part))
+                    held.append((doc_id, at, length, tokens, ids[4 * at : 4 * (at + length)]))
+                    at += length
                     if len(held) == k:
                         offset = 0
-                        for r, _ in held:
-                            rows.append((*r, worker, k, serial, offset, None))
-                            offset += r[2]
+                        for d, start, n, t, part in held:
+                            rows.append((d, start, n, zlib.crc32(part), t, worker, serial, offset, None))
+                            offset += n
                         serial += 1
                         held.clear()
                 if len(rows) >= 8192:
-                    yield batch_of(rows)
+                    yield _batch(rows)
                     rows = []
             if rows:
-                yield batch_of(rows)
-        rows = [(*r, worker, k, None, None, part) for k, held in sorted(open_bins.items()) for r, part in held]
-        if rows:
-            yield batch_of(rows)
+                yield _batch(rows)
+        left = [p for _, held in sorted(open_bins.items(), reverse=True) for p in held]
+        if left:
+            yield _batch([(*r[:5], worker, *r[5:]) for r in lay(left, serial)])
 
     return run
 
 
 def _relay(final: bool):
-    """Lay the pieces of a group end to end and cut at the capacity; in the last round the tail is split into powers of two."""
+    """A round over the unfilled sequences of a share; ``worker`` becomes the share's number."""
 
     def run(key, table):
-        rows = table.sort_by([("class", "ascending"), ("worker", "ascending"), ("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending")]).to_pylist()
-        total = sum(r["length"] for r in rows)
-        edges = list(range(CAPACITY, total + 1, CAPACITY))
-        last = edges[-1] if edges else 0
-        tail = last
-        for b in range(CAPACITY.bit_length() - 1, -1, -1):
-            if final and (total - last) >> b & 1:
-                tail += 1 << b
-                edges.append(tail)
-        out, pos, n, begin = [], 0, 0, 0
-        for r in rows:
-            at = 0
-            while at < r["length"]:
-                stop = edges[n] if n < len(edges) else total + 1
-                size = min(r["length"] - at, stop - pos)
-                part = r["rest"][4 * at : 4 * (at + size)]
-                done = n < len(edges)
-                out.append((r["doc_id"], r["start"] + at, size, zlib.crc32(part), r["doc_tokens"], r["worker"], r["class"], n if done else None, pos - begin if done else None, None if done else part))
-                at, pos = at + size, pos + size
-                if pos == stop:
-                    n, begin = n + 1, pos
-        schema = pa.schema([(f.name, f.type) for f in table.schema])
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        rows = table.sort_by([("worker", "ascending"), ("length", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).to_pylist()
+        out = list(lay([(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["rest"]) for r in rows], 0, final))
+        return pa.Table.from_batches([_batch([(*r[:5], key[0].as_py(), *r[5:]) for r in out])])
 
     return run
 
@@ -204,32 +212,22 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", added: bool = False)
     ``added``: strings of the file's added tokens give these tokens' ids, as tokenizers does unless told otherwise; else
     they are ordinary text.
 
-    The first round is written to the checkpoint folder, so that a worker's bins are the same whoever reads them. The
-    leftovers of a class go to the second round in shares of 64 workers.
+    Each round is written to the checkpoint folder, so that a worker's bins are the same whoever reads them. A share holds
+    less than one sequence for each of its ``SHARE`` members, whatever the input.
     """
-    from strandmill.llm.common import durable
-
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = durable(source.mapInArrow(_pieces(name, added), PIECE))
-    columns = first.columns
-    left = first.where("bin is null").select(*columns[:-1], "rest")
-    second = left.withColumn("share", F.expr("worker div 64")).groupBy("class", "share").applyInArrow(lambda key, t: _relay(False)(key, t.drop_columns(["share"])), PIECE)
-    second = durable(second)
-    third = second.where("bin is null").withColumn("share", F.expr("worker div 4096")).groupBy("share").applyInArrow(lambda key, t: _relay(True)(key, t.drop_columns(["share"])), PIECE)
-    base = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-
-    def named(df: DataFrame, round_: int, *parts) -> DataFrame:
-        bits, id_ = 0, F.lit(round_).cast("long")
-        for col, width in parts:
-            id_ = F.shiftleft(id_, width).bitwiseOR(col.cast("long"))
-            bits += width
-        return df.select(*base, id_.alias("sequence_id"), "offset")
-
-    return (
-        named(first.where("bin is not null"), 0, (F.col("worker"), 24), (F.col("bin"), 36))
-        .unionAll(named(second.where("bin is not null"), 1, (F.expr("worker div 64"), 18), (F.col("class"), 12), (F.col("bin"), 30)))
-        .unionAll(named(durable(third), 2, (F.expr("worker div 4096"), 12), (F.col("bin"), 48)))
-    )
+    rounds = [durable(source.mapInArrow(_pieces(name, added), PIECE))]
+    for final in (False, True):
+        left = rounds[-1].where("bin is null").withColumn("share", F.expr(f"worker div {SHARE}"))
+        rounds.append(durable(left.groupBy("share").applyInArrow(_relay(final), PIECE)))
+    out = []
+    for k, each in enumerate(rounds):  # 2 bits for the round, 24 for the worker or share, 36 for its bin
+        id_ = F.lit(k).cast("long")
+        for col, width in (("worker", 24), ("bin", 36)):
+            id_ = F.shiftleft(id_, width).bitwiseOR(F.col(col))
+        out.append(each.where("bin is not null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", id_.alias("sequence_id"), "offset"))
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
 def padding(packed: DataFrame) -> DataFrame:
