@@ -1,17 +1,19 @@
 """Toxicity scoring by weak supervision.
 
 Voters are a fixed lexicon, fixed patterns, and words and word beginnings that are mined from labelled rows. On a bounded
-sample of labelled rows a generative label model, fitted by expectation maximisation, estimates how often each voter
-fires on either class and which voters are correlated given the class; correlated ones share one voice. The observed
-label takes part as one more voter whose accuracy is estimated too. A linear classifier on word features is then trained
-on the posterior labels, and scores every whole text.
+sample of labelled rows a generative label model is fitted by expectation maximisation. Given the class, a voter fires with
+a probability that depends on whether its parent fires, the voter it is most correlated with given the class, if that
+improves the Bayesian information criterion; so what correlated voters say together isn't counted twice. The observed
+label takes part as one more voter. All probabilities are estimated, the label's too. A linear classifier on word features is then trained on the posterior labels, and scores every whole text.
 
 Labels are learned only from rows whose crc32 of the doc_id as text isn't divisible by 5. At most ``SAMPLE`` labelled rows
-are used, the first by hash of the doc_id; the sample alone is bounded, all documents are scored.
+are used, the first by hash of the doc_id; the sample alone is bounded, all documents are scored. There is no cap on voters
+or features: they are all that show the evidence asked for.
 
 Defined cases: null, empty and wordless texts have no features and get the score of the intercept. A null doc_id counts
-as held out. Repeated rows are scored each for itself. Labels that are null, or contradict each other for a doc_id, are
-not used. Without any usable label the lexicon alone decides. Extra columns are ignored. Empty tables give empty results.
+as held out. Repeated rows are scored each for itself; of rows that share a labelled doc_id the least text is learned from.
+Labels that are null, or contradict each other for a doc_id, are not used. Without any usable label the lexicon alone
+decides. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from strandmill.llm.common import durable
 from strandmill.llm.decontamination import words_of
 
 SAMPLE = 10_000
-#: Voters and classifier features at most; documents of the sample that must show one.
-VOTERS, FEATURES, SUPPORT = 400, 800, 3
+#: Documents of the sample that must show a feature.
+SUPPORT = 3
 #: Likelihood ratio a feature must show, and share of its documents labelled toxic for a mined voter.
 GAIN, PRECISION = 15.0, 0.85
 FOLDS = 5
 #: Lengths of the word beginnings.
 STEMS = (3, 4, 5, 6, 7, 8)
-ROUNDS = 25
+ROUNDS = 50
 CACHE = 300_000
 
 #: Insults that vote for toxic.
@@ -105,63 +107,120 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Posterior of label 1 for each row of 0/1 votes, and the estimates behind it.
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the entries of sparse 0/1 rows."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
 
-    Voters fire or abstain, and an abstention says nothing. Given the class, voters whose residuals correlate above 0.5 form a group, found by giving
-    each voter to the strongest earlier voter it correlates with; the members of a group share its weight.
+
+def parents(fired: list[np.ndarray], post: np.ndarray, voters: int) -> np.ndarray:
+    """For each voter the one it depends on given the class, or -1.
+
+    A parent fires more often (or as often, with a lower number), so there are no circles. It is the one whose co-firing
+    tells most, as twice the gain in log likelihood over independence given the class, if that exceeds 2 log n.
     """
-    n = len(labels)
+    n, out = len(fired), np.full(voters, -1)
+    row, col = _flat(fired)
+    mass = np.stack([1 - post, post])
+    single = np.stack([np.bincount(col, m[row], voters) for m in mass])
+    rank = np.empty(voters, np.int64)
+    rank[np.lexsort((np.arange(voters), -single.sum(0)))] = np.arange(voters)
+    both: dict[int, np.ndarray] = {}
+    for i, each in enumerate(fired):
+        each = np.asarray(each, np.int64)[np.argsort(rank[each])]
+        up, down = np.triu_indices(len(each), 1)
+        for code in (each[down] * voters + each[up]).tolist():
+            if code not in both:
+                both[code] = np.zeros(2)
+            both[code] += mass[:, i]
+    total, best = mass.sum(1), np.full(voters, 2 * np.log(max(n, 2)))
+    for code in sorted(both):
+        j, p = divmod(code, voters)
+        gain = 0.0
+        for y in (0, 1):
+            a, b, t = single[y, j], single[y, p], total[y]
+            table = ((both[code][y], a * b / t), (a - both[code][y], a * (t - b) / t), (b - both[code][y], (t - a) * b / t), (t - a - b + both[code][y], (t - a) * (t - b) / t))
+            gain += 2 * sum(seen * np.log(seen / expected) for seen, expected in table if seen > 1e-9 and expected > 1e-9)
+        if both[code].sum() * total.sum() > single[:, j].sum() * single[:, p].sum() and gain > best[j]:
+            best[j], out[j] = gain, p
+    return out
+
+
+def label_model(fired: list[np.ndarray], labels: np.ndarray, voters: int) -> tuple[np.ndarray, dict]:
+    """Posterior of label 1 for each row, given the voters that fire in it and its observed label, and the estimates behind it."""
     post = np.where(labels == 1, 0.95, 0.05)
-    share = np.ones(votes.shape[1])
-    groups = np.arange(votes.shape[1])
+    tree = parents(fired, post, voters)
+    row, col = _flat(fired)
+    sets = [set(np.asarray(f).tolist()) for f in fired]
+    joined = np.fromiter((tree[c] >= 0 and int(tree[c]) in sets[r] for r, c in zip(row.tolist(), col.tolist())), bool, len(row))
+    has = tree >= 0
     for step in range(ROUNDS):
-        p1, p0 = post.sum() + 1, (1 - post).sum() + 1
-        fire1, fire0 = (post @ votes + 0.5) / p1, ((1 - post) @ votes + 0.5) / p0
-        fire1, fire0 = np.clip(fire1, 1e-4, 1 - 1e-4), np.clip(fire0, 1e-4, 1 - 1e-4)
-        right1, right0 = np.clip((post @ labels) / p1, 0.9, 0.995), np.clip(((1 - post) @ (1 - labels)) / p0, 0.9, 0.995)
-        if step == 2 and votes.shape[1]:
-            rest = votes - post[:, None] * fire1 - (1 - post)[:, None] * fire0
-            spread = np.sqrt((rest**2).sum(0)) + 1e-9
-            tied = (rest.T @ rest) / spread[:, None] / spread[None, :] > 0.5
-            groups = tied.argmax(1)
-            share = 1 / np.bincount(groups, minlength=len(groups))[groups]
-        logit = np.log(p1 / p0) + votes @ (share * np.log(fire1 / fire0))
-        logit += np.where(labels == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
-        new = _sigmoid(logit)
-        moved, post = np.abs(new - post).max() if n else 0.0, new
-        if step > 3 and moved < 1e-4:
+        found = []
+        for m in (1 - post, post):
+            total = m.sum()
+            alone, both = np.bincount(col, m[row], voters), np.bincount(col[joined], m[row[joined]], voters)
+            of_parent = np.where(has, alone[tree], 0.0)
+            # each voter's probability to fire beside a firing parent, and beside a silent one or without any
+            beside, free = (both + 0.5) / (of_parent + 1), (alone - both + 0.5) / (total - of_parent + 1)
+            quiet = np.log((1 - beside) / (1 - free))  # what a silent child adds where its parent fires
+            log = np.log(total + 1) + np.log(1 - free).sum()  # all silent; then what each firing voter changes
+            each = np.bincount(tree[has], quiet[has], voters)[col]
+            each += np.where(joined, np.log(beside[col] / (1 - beside[col])), np.log(free[col] / (1 - free[col])))
+            one = (m @ labels + 0.5) / (total + 1)
+            found.append((log + np.bincount(row, each, len(labels)) + np.log(np.where(labels == 1, one, 1 - one)), one))
+        new = _sigmoid(found[1][0] - found[0][0])
+        moved, post = np.abs(new - post).max() if len(post) else 0.0, new
+        if moved < 1e-4:
             break
-    return post, {"fire1": fire1, "fire0": fire0, "groups": groups, "label": (float(right1), float(right0))}
-
-
-def linear_fit(x: np.ndarray, target: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by Newton steps."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w, pull = np.zeros(x1.shape[1]), np.full(x1.shape[1], ridge)
-    pull[-1] = 1e-3
-    for _ in range(12):
-        p = _sigmoid(x1 @ w)
-        grad = x1.T @ (target - p) - pull * w
-        hess = (x1 * (p * (1 - p) + 1e-6)[:, None]).T @ x1 + np.diag(pull)
-        step = np.linalg.solve(hess, grad)
-        w = w + step
-        if np.abs(step).max() < 1e-3:
+    return post, {"parents": tree, "label": (found[1][1], 1 - found[0][1])}
+
+
+def linear_fit(rows: list[np.ndarray], target: np.ndarray, features: int, ridge: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft targets on sparse 0/1 rows, by Newton steps that conjugate gradients solve."""
+    row, col = _flat(rows)
+    pull = np.append(np.full(features, ridge), 1e-3)
+    forth = lambda w: np.bincount(row, w[:-1][col], len(rows)) + w[-1]
+    back = lambda r: np.append(np.bincount(col, r[row], features), r.sum())
+    loss = lambda w, z: float((np.logaddexp(0, z) - target * z).sum() + (pull * w * w).sum() / 2)
+    w = np.zeros(features + 1)
+    z = forth(w)
+    for _ in range(50):
+        p = _sigmoid(z)
+        grad, bend = back(p - target) + pull * w, p * (1 - p) + 1e-9
+        step, left = np.zeros_like(w), -grad
+        scale = 1 / (pull + np.append(np.bincount(col, bend[row], features), bend.sum()))  # the diagonal
+        way = scale * left
+        size = left @ way
+        for _ in range(200):
+            if size < 1e-16:
+                break
+            turned = back(bend * forth(way)) + pull * way
+            much = size / (way @ turned)
+            step, left = step + much * way, left - much * turned
+            eased = scale * left
+            size, old = left @ eased, size
+            way = eased + size / old * way
+        here, rate = loss(w, z), 1.0
+        while rate > 1e-4 and loss(w + rate * step, forth(w + rate * step)) > here:
+            rate /= 2
+        w = w + rate * step
+        z = forth(w)
+        if np.abs(step).max() * rate < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of the sample; its at most SAMPLE ids are broadcast."""
+    """(toxic, text) of the sample, at most SAMPLE rows; the ids are broadcast. A doc_id is one row, however often it occurs."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     one = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     picked = one.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(F.broadcast(picked), "doc_id").select("toxic", "text")
+    return own.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the sample. To the driver come counts of the best features and the sample's known features only."""
+    """Train on the sample. To the driver come, of the sample's at most SAMPLE rows, the features with evidence only."""
     sample = durable(training_rows(docs, labels))
     sizes = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, bad = int(sizes[0]), int(sizes[1])
@@ -172,21 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share, hit, miss = bad / n, F.col("bad"), F.col("n") - F.col("bad")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     gain = 2 * (part(hit, F.col("n") * share) + part(miss, F.col("n") * (1 - share)))
-    best = counts.select("f", "n", "bad", gain.alias("gain")).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
-    names = [r["f"] for r in best]
+    best = sorted(counts.select("f", "n", "bad", gain.alias("gain")).where(F.col("gain") >= GAIN).collect(), key=lambda r: (-round(r["gain"], 9), r["f"]))
     fixed = ["=" + w for w in LEXICON]
-    number = {f: k for k, f in enumerate(dict.fromkeys([*names, *fixed]))}
-    rows = sample.mapInArrow(_known_features(number), "toxic int, features array<int>, patterns array<int>").collect()
-    x = np.zeros((len(rows), len(number)), np.float32)
-    patterns = np.zeros((len(rows), len(PATTERNS)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["features"]] = 1
-        patterns[i, r["patterns"]] = 1
-    mined = [number[r["f"]] for r in best if r["bad"] >= PRECISION * r["n"]][:VOTERS]
-    voters = list(dict.fromkeys([*[number[f] for f in fixed], *mined]))
-    observed = np.array([r["toxic"] for r in rows], np.float64)
-    post, _ = label_model(np.concatenate([x[:, voters], patterns], axis=1).astype(np.float64), observed)
-    weights, intercept = linear_fit(x.astype(np.float64), post)
+    number = {f: k for k, f in enumerate(dict.fromkeys([*[r["f"] for r in best], *fixed]))}
+    found = sample.mapInArrow(_known_features(number), "toxic int, features array<int>, patterns array<int>").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["toxic"], r["features"], r["patterns"]))
+    mined = [number[r["f"]] for r in best if r["bad"] >= PRECISION * r["n"]]
+    place = {f: k for k, f in enumerate(dict.fromkeys([*[number[f] for f in fixed], *mined]))}
+    fired = [np.array([*[place[f] for f in r["features"] if f in place], *[len(place) + k for k in r["patterns"]]], np.int64) for r in found]
+    post, _ = label_model(fired, np.array([r["toxic"] for r in found], np.float64), len(place) + len(PATTERNS))
+    weights, intercept = linear_fit([np.array(r["features"], np.int64) for r in found], post, len(number))
     return Model({f: float(weights[k]) for f, k in number.items() if abs(weights[k]) > 1e-9}, intercept)
 
 

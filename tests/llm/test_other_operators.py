@@ -99,15 +99,76 @@ def test_toxicity_without_labels(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
-def test_label_model_shares_weight_of_copies():
-    rng = np.random.default_rng(0)
-    y = (rng.random(2000) < 0.2).astype(float)
-    one = ((y == 1) & (rng.random(2000) < 0.8) | (rng.random(2000) < 0.02)).astype(float)
-    two = ((y == 1) & (rng.random(2000) < 0.5) | (rng.random(2000) < 0.05)).astype(float)
-    post, found = toxicity.label_model(np.stack([one, one, one, two], axis=1), y)
-    assert len(set(found["groups"][:3])) == 1 and found["groups"][3] != found["groups"][0]
-    assert ((post > 0.5) == (y == 1)).mean() > 0.95
-    assert found["fire1"][0] > 0.7 and found["fire0"][0] < 0.05
+def plain_label_model(fired, labels, tree, rounds):
+    """Expectation maximisation by loops, from the definition; tree: voter -> parent."""
+    n, voters = len(labels), {v for f in fired for v in f} | set(tree)
+    post = [0.95 if x == 1 else 0.05 for x in labels]
+    for _ in range(rounds):
+        log = [0.0] * n
+        for y, sign in ((1, 1), (0, -1)):
+            mass = [p if y else 1 - p for p in post]
+            total = sum(mass)
+            hold = lambda cond: sum(m for m, f in zip(mass, fired) if cond(f))  # noqa: B023, E731
+            for i, f in enumerate(fired):
+                log[i] += sign * np.log(total + 1)
+                one = (sum(m for m, x in zip(mass, labels) if x == 1) + 0.5) / (total + 1)
+                log[i] += sign * np.log(one if labels[i] == 1 else 1 - one)
+            for v in voters:
+                p = tree.get(v)
+                with_ = (hold(lambda f: v in f and p in f) + 0.5) / (hold(lambda f: p in f) + 1)
+                without = (hold(lambda f: v in f and p not in f) + 0.5) / (hold(lambda f: p not in f) + 1)
+                fire = (hold(lambda f: v in f) + 0.5) / (total + 1)
+                for i, f in enumerate(fired):
+                    chance = fire if p is None else with_ if p in f else without
+                    log[i] += sign * np.log(chance if v in f else 1 - chance)
+        post = [1 / (1 + np.exp(-x)) for x in log]
+    return post
+
+
+def votes_of(seed, n):
+    """Three voters that are one, one that is independent of them, one that is noise; labels that err."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    one, two, noise = (y & (rng.random(n) < 0.8)) | (rng.random(n) < 0.04), (y & (rng.random(n) < 0.7)) | (rng.random(n) < 0.06), rng.random(n) < 0.2
+    fired = [np.array([k for k, v in enumerate((a, a, a, b, c)) if v], np.int64) for a, b, c in zip(one, two, noise)]
+    return y, fired, (y ^ (rng.random(n) < 0.04)).astype(float)
+
+
+def test_label_model_equals_plain_loops(monkeypatch):
+    _, fired, labels = votes_of(1, 150)
+    monkeypatch.setattr(toxicity, "ROUNDS", 6)
+    post, found = toxicity.label_model(fired, labels, 5)
+    tree = {k: int(p) for k, p in enumerate(found["parents"]) if p >= 0}
+    assert {1, 2} <= set(tree) and tree[1] == 0 and 4 not in tree
+    assert np.allclose(post, plain_label_model([set(f.tolist()) for f in fired], labels.tolist(), tree, 6), atol=1e-4)
+
+
+def test_label_model_mends_labels():
+    """Voters and label together are right more often than the label, and copies of a voter add nothing."""
+    y, fired, labels = votes_of(0, 4000)
+    post, found = toxicity.label_model(fired, labels, 5)
+    assert ((post > 0.5) == y).mean() > (labels == y).mean()
+    single, _ = toxicity.label_model([f[(f != 1) & (f != 2)] for f in fired], labels, 5)
+    assert np.abs(post - single).max() < 0.1
+
+
+def test_linear_fit_is_the_minimum():
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(9) < 0.3) for _ in range(300)]
+    target = rng.random(300)
+    w, b = toxicity.linear_fit(rows, target, 9)
+    x = np.zeros((300, 9))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    slope = 1 / (1 + np.exp(-(x @ w + b))) - target
+    assert np.abs(x.T @ slope + 0.5 * w).max() < 1e-4 and abs(slope.sum() + 1e-3 * b) < 1e-4
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    d = docs(spark, [(k % 9, f"text {k}") for k in range(300)])
+    lab = spark.createDataFrame([(k, 0, k % 2) for k in range(9)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_rows(d, lab).count() == 5
 
 
 URLS = [
