@@ -1,9 +1,13 @@
 """Secret scanning through a trigram inverted index, in DataFrame operations only.
 
-From each rule's pattern a Boolean trigram query is derived: an OR of ANDs of trigrams that every match must contain.
-The index holds, for the trigrams that some rule asks for, postings of document keys, in blocks of about
-``BLOCK_DOCS`` documents so that no list grows with the corpus. Per block the postings are intersected and united as
-the query says; only the candidates are searched with the rule's pattern. Rules without mandatory trigrams scan all.
+From each rule's pattern a Boolean trigram query is derived: an OR of ANDs of trigrams that every match must contain, of
+which the ``SELECTIVE`` rarest are kept (fewer mandatory trigrams can only add candidates). The index holds postings of row
+numbers for the trigrams that some rule asks for, in blocks of at most ``BLOCK`` rows, so that no list grows with the
+corpus. Per block the postings are intersected and united as the query says; only the candidates are searched with the
+rule's pattern. Rules without mandatory trigrams scan all rows.
+
+The first pass over the texts makes the postings and the spans of the rules that scan all, and leaves the texts where they
+are; the second goes to the candidates, by address (see ``common.meet``). What is shuffled is numbers.
 
 Defined cases: a null text counts as empty and has no spans; a null doc_id is returned as null; rows that share a
 doc_id are searched each for itself. Extra columns are ignored. An empty table gives an empty result.
@@ -17,12 +21,16 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.common import addressed, durable, meet
+
 try:
     from re import _parser as sre
 except ImportError:  # before Python 3.11
     import sre_parse as sre
 
-BLOCK_DOCS = 4096
+#: Bits of a row's number in its block, and the trigrams of an AND that are looked for.
+BLOCK_BITS, SELECTIVE = 12, 3
+BLOCK = 1 << BLOCK_BITS
 #: Exact string sets larger than this are given up while deriving a query.
 MAX_STRINGS = 64
 
@@ -125,38 +133,48 @@ def trigram_query(pattern: str) -> Query:
     return _sequence(sre.parse(pattern))[1]
 
 
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+#: Letters by falling frequency in English text; anything else is rarer.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def selective(query: Query) -> Query:
+    """``query`` with the SELECTIVE trigrams of each AND that are rarest, judged by their letters."""
+    rank = {c: i for i, c in enumerate(FREQUENT)}
+    worth = lambda g: (-sum(rank.get(c, 20) for c in g), g)
+    return None if query is None else frozenset(frozenset(sorted(a, key=worth)[:SELECTIVE]) for a in query)
 
 
-def postings(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
-    """(block, gram, keys): which documents of a block hold a trigram; gram is its place in ``grams``."""
-    low = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    rows = docs.select(_key().alias("key"), F.explode(held).alias("gram"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).distinct()
-    return rows.groupBy("block", "gram").agg(F.collect_list("key").alias("keys"))
+def _marks(text: Column, grams: list[str]) -> list[Column]:
+    """Longs whose bits tell which of ``grams`` a text holds, 62 a column."""
+    low = F.lower(text)
+    out = []
+    for at in range(0, len(grams), 62):
+        bit = F.lit(0).cast("long")
+        for k, g in enumerate(grams[at : at + 62]):
+            bit = bit + F.contains(low, F.lit(g)).cast("long") * F.lit(1 << k).cast("long")
+        out.append(bit.alias(f"marks{at // 62}"))
+    return out
+
+
+def postings(marked: DataFrame, count: int) -> DataFrame:
+    """(block, gram, rows): the rows of a block that hold a trigram, from (rid, marks0, ..); gram is the trigram's place."""
+    each = [f"transform(filter(sequence(0, 61), i -> shiftright(marks{k}, i) & 1 = 1), i -> i + {62 * k})" for k in range(-(-count // 62))]
+    rows = marked.select("rid", F.shiftright("rid", BLOCK_BITS).alias("block"), F.explode(F.expr(f"concat({', '.join(each)})")).alias("gram"))
+    return rows.groupBy("block", "gram").agg(F.collect_list("rid").alias("rows"))
 
 
 def _marked(bit: int):
-    return lambda key: F.struct(key.alias("key"), F.lit(bit).cast("long").alias("bit"))
+    return lambda rid: F.struct(rid.alias("rid"), F.lit(bit).cast("long").alias("bit"))
 
 
 def _of_order(k: int):
     return lambda span: span["ord"] == k
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, rules): documents that hold the trigrams of a rule; bit k of rules stands for the k-th rule."""
-    queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
-    grams = sorted({g for q in queries.values() for a in q for g in a})
-    if not grams:
-        return docs.select(_key().alias("key"), F.lit(0).cast("long").alias("rules")).where(F.lit(False))
-    place = {g: i for i, g in enumerate(grams)}
-    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    index = postings(docs, grams, blocks)
-    none = F.array().cast("array<long>")
-    lists = index.groupBy("block").agg(*[F.coalesce(F.first(F.when(F.col("gram") == i, F.col("keys")), ignorenulls=True), none).alias(f"p{i}") for i in range(len(grams))])
+def candidates(index: DataFrame, grams: list[str], queries: dict[int, Query]) -> DataFrame:
+    """(rid, rules): rows that hold the trigrams of a rule; bit k of rules stands for the k-th rule."""
+    place, none = {g: i for i, g in enumerate(grams)}, F.array().cast("array<long>")
+    lists = index.groupBy("block").agg(*[F.coalesce(F.first(F.when(F.col("gram") == i, F.col("rows")), ignorenulls=True), none).alias(f"p{i}") for i in range(len(grams))])
     found = []
     for k, query in queries.items():
         either = none
@@ -166,8 +184,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 cut = F.array_intersect(cut, F.col(f"p{place[g]}"))
             either = F.array_union(either, cut)
         found.append(F.transform(either, _marked(1 << k)))
-    each = lists.select(F.explode(F.concat(*found)).alias("c")).select("c.key", "c.bit")
-    return each.groupBy("key").agg(F.bit_or("bit").alias("rules"))
+    each = lists.select(F.explode(F.concat(*found)).alias("c")).select("c.rid", "c.bit")
+    return each.groupBy("rid").agg(F.bit_or("bit").alias("rules"))
+
+
+SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
 def _spans(text: Column, order: int, rule: Rule) -> Column:
@@ -202,14 +223,20 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): spans array<struct<start, ord, end, kind>> by start and then rule order, for each row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = docs.withColumn("key", _key()).join(candidates(docs, rules), "key", "left")
-    empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    found = []
-    for k, rule in enumerate(rules):
-        spans = _spans(F.col("text"), k, rule)
-        found.append(spans if trigram_query(rule.pattern) is None else F.when(F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << k)) != 0, spans).otherwise(empty))
-    return joined.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
+    rows, names = addressed(docs)
+    own = rows.select(*[F.col(n).alias(f"row{k}") for k, n in enumerate(names)], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text, key, empty = F.col("text"), ["row0", "row1"], F.array().cast(SPANS)
+    queries = {k: selective(q) for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
+    grams = sorted({g for q in queries.values() for a in q for g in a})
+    scan = [_spans(text, k, r) for k, r in enumerate(rules) if k not in queries]
+    first = durable(own.select(*key, "doc_id", *_marks(text, grams), (F.concat(*scan) if scan else empty).alias("spans")))
+    if not grams:
+        return first.select("doc_id", F.array_sort("spans").alias("spans"))
+    marked = first.withColumn("rid", F.monotonically_increasing_id())
+    picked = candidates(postings(marked, len(grams)), grams, queries).join(marked.select("rid", *key), "rid").select(*key, "rules")
+    searched = [F.when(F.col("rules").bitwiseAND(F.lit(1 << k)) != 0, _spans(text, k, rules[k])).otherwise(empty) for k in queries]
+    more = meet(own.drop("doc_id"), picked, key, "inner").select(*key, F.concat(*searched).alias("more")).where(F.size("more") > 0)
+    return first.join(more, key, "left").select("doc_id", F.array_sort(F.concat("spans", F.coalesce("more", empty))).alias("spans"))
 
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE_RULES)) -> DataFrame:

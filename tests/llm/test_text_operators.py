@@ -59,6 +59,27 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("a.c") is None and secret_scan.trigram_query("(abc)+x?") == {frozenset({"abc"})}
 
 
+def test_selective_queries():
+    """What is kept of an AND is part of it, so no candidate is lost."""
+    for rule in secret_scan.RULES:
+        q = secret_scan.trigram_query(rule.pattern)
+        kept = secret_scan.selective(q)
+        assert q is None or all(any(a <= b and len(a) == min(len(b), secret_scan.SELECTIVE) for b in q) for a in kept) and all(any(a <= b for a in kept) for b in q)
+
+
+def test_more_than_62_trigrams(spark):
+    """Rules whose trigrams need several columns of marks, blocks of few rows, and rules that all scan or none does."""
+    rules = tuple(secret_scan.Rule(f"r{k}", f"q{chr(97 + k)}zj{chr(97 + k)}x[0-9]+") for k in range(26))
+    rows = [(k, f"a q{chr(97 + k % 26)}zj{chr(97 + k % 26)}x{k} b") for k in range(60)]
+    for some in (rules, (*rules, secret_scan.Rule("digits", "[0-9]+"))):
+        got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.secret_spans(docs(spark, rows), some).collect()}
+        for k, t in rows:
+            want = [(f"r{k % 26}", 2, 8 + len(str(k)))] + ([("digits", 8, 8 + len(str(k)))] if len(some) > 26 else [])
+            assert got[k] == want
+    only = secret_scan.secret_spans(docs(spark, [(1, "ab12")]), (secret_scan.Rule("digits", "[0-9]+"),)).collect()
+    assert [(s["start"], s["end"]) for s in only[0]["spans"]] == [(2, 4)]
+
+
 def test_secrets_empty(spark):
     assert secret_scan.secret_report(docs(spark, [])).count() == 0
 
