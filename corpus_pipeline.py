@@ -2,18 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame; the
 result is written as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, in every stage: null and empty texts are documents like any other (not toxic, copies of each other, not
+contaminated, packed as the end token alone). Null and repeated doc_ids don't matter, as rows are told apart by their
+address; a null id ranks below every other where ids decide which copy stays. Extra columns are carried along, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from strandmill.llm.common import table
+from strandmill.llm.common import durable, remove, shared_folder, table
 from strandmill.session import ship_package
 
 
@@ -30,7 +34,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id."""
+    """Of each group of linked fingerprints one document, that with the smallest doc_id."""
     ship_package(spark)
     return near_dedup.drop_near_copies(docs)
 
@@ -57,15 +61,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; what lies between them is written to the cluster's shared checkpoint folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandmill-")
-    docs, here = table(spark, sf_dir, "documents"), f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{here}/{k}")
+    """Apply STAGES to documents. What lies between them is written to the cluster's shared folder and removed when it has been read."""
+    docs, here = table(spark, sf_dir, "documents"), f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{here}/{k}")
             docs = spark.read.parquet(f"{here}/{k}")
-    return docs
+            if k:
+                remove(spark, f"{here}/{k - 1}")
+        return durable(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        remove(spark, here)
 
 
 #: The classifier, the walk and the tokenizer have no SQL form; tests/llm/test_pipeline.py checks run() stage by stage.
