@@ -109,16 +109,20 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def hot_limit(total: int) -> float:
+    """Keys with more rows than this, of ``total``, are hot; by arithmetic there are fewer than HOT_SHARE or HOT_KEYS of them."""
+    return min(total / HOT_SHARE, max(HOT_ROWS, total / HOT_KEYS))
+
+
 def join_facts(left: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
     """Left join of many rows with one row of facts a key, safe if one key holds most rows of ``left``.
 
     ``weight`` is the fact column with the number of left rows of the key and ``total`` their sum. The keys above
-    total / HOT_SHARE, or above HOT_ROWS or total / HOT_KEYS if that is more, are broadcast; by arithmetic there are fewer
-    than HOT_SHARE or HOT_KEYS of them. All others go through a shuffle, in which the rows that are already answered are
-    spread by ``spread`` instead of meeting in one task. ``keys`` must not be null on either side. ``weight`` is dropped.
+    ``hot_limit`` are broadcast. All others go through a shuffle, in which the rows that are already answered are spread
+    by ``spread`` instead of meeting in one task. ``keys`` must not be null on either side. ``weight`` is dropped.
     """
     names = [c for c in facts.columns if c not in (*keys, weight)]
-    is_hot = F.col(weight) > F.lit(min(total / HOT_SHARE, max(HOT_ROWS, total / HOT_KEYS)))
+    is_hot = F.col(weight) > F.lit(hot_limit(total))
     hot = facts.where(is_hot).select(*keys, *[F.col(c).alias(f"__h_{c}") for c in names], F.lit(True).alias("__hot"))
     cold = facts.where(~is_hot).select(*keys, *[F.col(c).alias(f"__c_{c}") for c in names], F.lit(0).alias("__salt"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0))

@@ -25,13 +25,15 @@ doc_id are told apart by their address. Extra columns are ignored. An empty tabl
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import LOWER_TABLE, addressed, durable, fresh, join_facts, meet
+from strandmill.llm.common import LOWER_TABLE, addressed, durable, fresh, hot_limit, meet
 
 RUN, SPAN, WINDOW = 3, 20, 8
 #: Bits of the filter of repeated hashes that goes to the workers.
@@ -217,13 +219,13 @@ def _hashes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(block.hashed(*block.forward(), 0))], names=["via"])
 
 
-RUNS = "file long, at long, doc_id long, start int, end int, via long, hash long, other long"
+RUNS = "file long, at long, doc_id long, start int, end int, hash long, other long"
 
 
-def _runs(seen):
-    """RUNS: the runs that may be repeated. ``via`` is the counted hash of the run, or of the one that begins where it does.
+def _runs(seen, only: np.ndarray | None = None):
+    """RUNS: the runs whose counted hash, or that of the run that begins where they do, is in the filter, and in ``only`` if given.
 
-    A run up to a clause holds the whole run from its beginning on, so it can be repeated only if that one is.
+    A run up to a clause holds the whole run from its beginning on, so it can't be repeated more often than that one.
     """
 
     def run(batches):
@@ -232,29 +234,29 @@ def _runs(seen):
         for batch in batches:
             for at, block in _blocks(batch.column(3)):
                 first, last = block.forward()
-                via = block.hashed(first, last, 0)
-                spot = via & ((1 << FILTER_BITS) - 1)
-                may = np.flatnonzero(bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
-                if not len(may):
+                counted = block.hashed(first, last, 0)
+                spot = counted & ((1 << FILTER_BITS) - 1)
+                may = bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 != 0
+                if only is not None:
+                    may &= np.isin(counted, only)
+                if not may.any():
                     continue
-                a, b, counted = first[may], last[may], via[may]
-                order = np.argsort(a, kind="stable")
+                a, b = first[may], last[may]
                 c, d = block.backward()
-                spot = np.minimum(np.searchsorted(a[order], c), len(a) - 1)
-                hit = (a[order][spot] == c) & ~np.isin(c << 32 | d, a << 32 | b)
-                a, b, counted = (np.concatenate(x) for x in ((a, c[hit]), (b, d[hit]), (counted, counted[order][spot[hit]])))
+                hit = np.isin(c, a) & ~np.isin(c << 32 | d, a << 32 | b)
+                a, b = np.concatenate([a, c[hit]]), np.concatenate([b, d[hit]])
                 doc = block.doc[a]
                 rows = pa.array(at + doc)
                 cols = [batch.column(k).take(rows) for k in range(3)]
                 cols += [pa.array(block.points(p, doc)) for p in (block.begins(a), block.ends[b])]
-                cols += [pa.array(counted), pa.array(block.hashed(a, b, 0)), pa.array(block.hashed(a, b, 1))]
+                cols += [pa.array(block.hashed(a, b, half)) for half in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def _filter(hashes: DataFrame) -> bytes:
-    """A bitmap of the low FILTER_BITS of ``hashes`` (via), of a fixed size; what it lets through in vain, the join drops."""
+    """A bitmap of the low FILTER_BITS of ``hashes`` (via), of a fixed size; what it lets through in vain has no like."""
     spot = F.col("via").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     cell = hashes.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast((via & {(1 << FILTER_BITS) - 1}L) & 63 as int))").alias("bit"))
     found = cell.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -264,19 +266,31 @@ def _filter(hashes: DataFrame) -> bytes:
 
 
 def _covered(rows: DataFrame) -> DataFrame:
-    """(file, at, doc_id, start, end, first_doc_id) of addressed rows (file, at, doc_id, text)."""
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("doc_id"), F.col("file").alias("file"), F.col("at").alias("at"), F.col("start").alias("start"))
+    """(file, at, doc_id, start, end, first_doc_id) of addressed rows (file, at, doc_id, text).
+
+    Runs that may be repeated meet by their hash, once, in a window of bounded size. Hot ones don't: their first places come
+    from an aggregation and are broadcast.
+    """
     twice = durable(rows.select("text").mapInArrow(_hashes, "via long").groupBy("via").agg(F.count("*").alias("w")).where("w > 1"))
-    total = twice.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    may = rows.select("file", "at", "doc_id", "text").mapInArrow(_runs(rows.sparkSession.sparkContext.broadcast(_filter(twice))), RUNS)
-    spread = F.xxhash64("file", "at", "start")
-    again = durable(join_facts(may, twice.withColumn("hit", F.lit(True)), ["via"], "w", total, spread).where("hit").drop("hit", "via"))
-    first = durable(again.groupBy("hash", "other").agg(F.min(order).alias("first"), F.count("*").alias("w")).where("w > 1"))
-    total = first.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    marked = join_facts(again, first, ["hash", "other"], "w", total, spread).where("first is not null")
-    later = marked.where((F.col("file") != F.col("first.file")) | (F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start")))
-    later = later.select("file", "at", "doc_id", F.struct("start", "end", F.col("first.doc_id").alias("first")).alias("s"))
-    grouped = later.groupBy("file", "at", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most two for each clause of a text
+    limit = hot_limit(twice.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
+    hot = np.array([r[0] for r in twice.where(F.col("w") > limit).select("via").collect()], np.int64)
+    seen = rows.sparkSession.sparkContext.broadcast(_filter(twice))
+    own = rows.select("file", "at", "doc_id", "text")
+    rest = may = own.mapInArrow(_runs(seen), RUNS)
+    result = ["file", "at", "doc_id", "start", "end"]
+    later = []
+    if len(hot):
+        order = F.struct(F.col("doc_id").isNull().alias("unknown"), *["doc_id", "file", "at", "start"])
+        often = own.mapInArrow(_runs(seen, hot), RUNS).groupBy("hash", "other").agg(F.min(order).alias("first"), F.count("*").alias("w")).where(F.col("w") > limit)
+        often = F.broadcast(durable(often.drop("w")))
+        other = (F.col("file") != F.col("first.file")) | (F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start"))
+        later.append(may.join(often, ["hash", "other"]).where(other).select(*result, F.col("first.doc_id").alias("first")))
+        rest = may.join(often, ["hash", "other"], "left_anti")
+    alike = Window.partitionBy("hash", "other").orderBy(F.col("doc_id").asc_nulls_last(), "file", "at", "start")
+    rest = rest.withColumns({"nth": F.row_number().over(alike), "first": F.first("doc_id").over(alike)})
+    later.append(rest.where("nth > 1").select(*result, "first"))
+    spans = reduce(DataFrame.unionAll, later).select("file", "at", "doc_id", F.struct("start", "end", "first").alias("s"))
+    grouped = spans.groupBy("file", "at", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most two for each clause of a text
     return grouped.mapInArrow(_merge, "file long, at long, doc_id long, start int, end int, first_doc_id long")
 
 
