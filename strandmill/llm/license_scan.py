@@ -1,26 +1,24 @@
 """Licence scanning: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text is compared as a whole, line by line and in groups of up to four consecutive lines. With ``inside``, so that a notice is found
-however its lines are broken, and inside a longer line, every window of words, whatever the line breaks, that is within
-the size bounds of a template and begins and ends with one of its bigrams is compared too, where at least as many of the
-template's bigrams are close together as a match needs. (Cutting other bigrams off a window's ends only raises its
-coefficient.) From each first word the best one is taken. Words are lower-cased runs of ASCII letters, digits and other non-ASCII
-characters; bigrams count as a multiset. With A bigrams against B, the coefficient is at most 2 min(A, B) / (A + B), so
-only templates with A t / (2 - t) <= B <= A (2 - t) / t are compared, found by bisection in the templates' sizes; of
-those, only templates that share a bigram with the unit, rarest first by the prefix rule, are counted in full.
-
-Defined cases: null and empty texts match nothing. Units of one word have no bigram and match nothing. A unit that
-matches several templates is given to each. Rows with equal doc_id are scanned each for itself. Extra columns are
+Every window of words of a text, whatever its line breaks, that is within the size bounds of a template and begins and ends
+with one of its bigrams is compared with it, where at least as many of the template's bigrams are close together as a match
+needs. (Cutting other bigrams off a window's ends only raises its coefficient, so this finds whatever line, group of lines
+or whole text matches.) From each first word the best one is taken. Words are lower-cased runs of ASCII letters, digits and
+other non-ASCII characters; bigrams count as a multiset. With A bigrams against B, the coefficient is at most
+2 min(A, B) / (A + B), so only windows with B t / (2 - t) <= A <= B (2 - t) / t bigrams are looked at, and a template only
+where that many of its bigrams are found.
+
+Defined cases: null and empty texts match nothing. A text of one word has no bigram and matches nothing. A stretch that
+matches several templates is given for each. Rows with equal doc_id are scanned each for itself. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
-from itertools import accumulate
 from math import ceil
 
 import pyarrow as pa
@@ -32,7 +30,7 @@ from strandmill.llm.decontamination import words_of
 
 DICE = 0.8
 
-#: Licence notices as their owners ask for them, and the one-line forms in common use.
+#: Licence notices as their owners ask for them, the one-line forms in common use, and whole short licences.
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -44,6 +42,13 @@ TEMPLATES = {
         "This project is licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "BSD-2-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -76,49 +81,16 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Templates:
-    """Templates by size and by bigram; (template id, licence) in the order of ``TEMPLATES``."""
+    """Templates (bigrams, id, licence, multiset of bigrams) by size, and which of them hold a bigram."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], least: float):
-        found = sorted(((sum((g := bigrams(words_of(t))).values()), f"{name}#{i}", name, g) for name, texts in templates.items() for i, t in enumerate(texts)), key=lambda x: x[:2])
-        self.all, self.sizes, self.least = found, [x[0] for x in found], least
-        self.rarity = Counter(b for x in found for b in x[3])
-        self.by_bigram = defaultdict(set)
-        for k, (size, _, _, grams) in enumerate(found):
-            # of B bigrams in order of rarity, one of the first B - needed + 1 occurs in every match
-            needed = -(-size * least // (2 - least))
-            spare = size - int(needed) + 1
-            for g in sorted(grams, key=lambda g: (self.rarity[g], g)):
-                if spare <= 0:
-                    break
-                self.by_bigram[g].add(k)
-                spare -= grams[g]
-        self.words = {w for g in self.by_bigram for w in g}
+        self.all = sorted(((sum((g := bigrams(words_of(t))).values()), f"{name}#{i}", name, g) for name, texts in templates.items() for i, t in enumerate(texts)), key=lambda x: x[:2])
+        self.least = least
         self.holders = defaultdict(list)
-        for k, (*_, grams) in enumerate(found):
+        for k, (*_, grams) in enumerate(self.all):
             for g in grams:
                 self.holders[g].append(k)
 
-    def match(self, words: list[bytes]) -> list[tuple[str, str, float]]:
-        size = len(words) - 1
-        if size < 1:
-            return []
-        lo = bisect_left(self.sizes, size * self.least / (2 - self.least) - 1e-9)
-        hi = bisect_right(self.sizes, size * (2 - self.least) / self.least + 1e-9)
-        if lo >= hi:
-            return []
-        near = set()
-        for g in zip(words, words[1:]):
-            if g in self.by_bigram:
-                near |= self.by_bigram[g]
-        out, own = [], None
-        for k in sorted(near):
-            if lo <= k < hi:
-                own = own or bigrams(words)
-                if (d := dice(own, self.all[k][3])) >= self.least - 1e-12:
-                    out.append((self.all[k][1], self.all[k][2], d))
-        return out
-
-
     def windows(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(first word, end word, template, dice) of the windows of ``words`` that match, for each first word the best."""
         places = defaultdict(list)
@@ -128,7 +100,7 @@ class Templates:
                 places[k].append(at)
         out = []
         for k, spots in places.items():
-            size, grams = self.sizes[k], self.all[k][3]
+            size, _, _, grams = self.all[k]
             # with c common bigrams the window has c or more, so c >= least / 2 (c + size)
             needed = max(1, ceil(size * self.least / (2 - self.least) - 1e-9))
             widest = int(size * (2 - self.least) / self.least + 1e-9)
@@ -156,80 +128,53 @@ def _default(least: float) -> Templates:
     return Templates(TEMPLATES, least)
 
 
-def _word_spans(line: str) -> list[tuple[int, int]]:
-    """(start, end) code points of the words of ``line`` as ``words_of`` finds them."""
-    owner = [k for k, c in enumerate(line) for _ in c.lower().encode("utf-8", "surrogatepass")]
-    raw = line.lower().encode("utf-8", "surrogatepass").translate(NOT_WORD)
+def _word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) code points of the words of ``text`` as ``words_of`` finds them."""
+    raw = text.lower().encode("utf-8", "surrogatepass").translate(NOT_WORD)
+    if len(raw) == len(text):
+        return [m.span() for m in re.finditer(rb"[^ ]+", raw)]
+    owner = [k for k, c in enumerate(text) for _ in c.lower().encode("utf-8", "surrogatepass")]
     return [(owner[m.start()], owner[m.end() - 1] + 1) for m in re.finditer(rb"[^ ]+", raw)]
 
 
-def scan_text(text: str | None, index: Templates, group: int = 4, inside: bool = False) -> list[tuple[int, int, str, str, float]]:
-    """(start, end, template, licence, dice) of the units of ``text`` that match, start and end in code points.
+def scan_text(text: str | None, index: Templates) -> list[tuple[int, int, str, str, float]]:
+    """(start, end, template, licence, dice) of the stretches of ``text`` that match, start and end in code points.
 
-    Units are runs of 1 to ``group`` lines, the whole text, and, with ``inside``, windows of words. Of overlapping units that match one
-    template the one with the largest coefficient is returned, the earliest and shortest if tied.
+    Of overlapping stretches that match one template the one with the largest coefficient is returned, the earliest and
+    shortest if tied.
     """
-    if not text:
+    found = index.windows(words_of(text))
+    if not found:
         return []
-    lines, at = [], 0
-    largest = index.sizes[-1] * (2 - index.least) / index.least + 1
-    for line in text.split("\n"):
-        lines.append((at, at + len(line), words_of(line)))
-        at += len(line) + 1
-    found = []
-    for i in range(len(lines)):
-        words: list[bytes] = []
-        for j in range(i, min(i + group, len(lines))):
-            words = words + lines[j][2] if words else lines[j][2]
-            if len(words) > largest:
-                break
-            if lines[j][2] and lines[i][2]:
-                found += [(lines[i][0], lines[j][1], *m) for m in index.match(words)]
-    if len(lines) > group and (words := [w for line in lines for w in line[2]]) and len(words) <= largest:
-        found += [(0, len(text), *m) for m in index.match(words)]
-    more = []
-    if inside and (windows := index.windows([w for line in lines for w in line[2]])):
-        firsts = list(accumulate((len(line[2]) for line in lines), initial=0))
-        spans: dict[int, list[tuple[int, int]]] = {}
-
-        def span(word: int) -> tuple[int, int]:
-            n = bisect_right(firsts, word) - 1
-            if n not in spans:
-                spans[n] = [(lines[n][0] + a, lines[n][0] + b) for a, b in _word_spans(text[lines[n][0] : lines[n][1]])]
-            return spans[n][word - firsts[n]]
-
-        more = [(span(a)[0], span(b - 1)[1], index.all[k][1], index.all[k][2], d) for a, b, k, d in windows]
-    taken: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    spans = _word_spans(text)
+    taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
     out: list[tuple] = []
-    for x in sorted([*found, *more], key=lambda x: (-round(x[4], 12), x[0], x[1])):
-        own = taken[x[2]]
-        at = bisect_left(own, (x[1],))
-        if not at or own[at - 1][1] <= x[0]:
-            own.insert(at, (x[0], x[1]))
-            out.append(x)
+    for first, stop, k, d in sorted(found, key=lambda x: (-round(x[3], 12), x[0], x[1])):
+        own = taken[k]
+        at = bisect_left(own, (stop,))
+        if not at or own[at - 1][1] <= first:
+            own.insert(at, (first, stop))
+            out.append((spans[first][0], spans[stop - 1][1], index.all[k][1], index.all[k][2], d))
     return sorted(out)
 
 
 SCAN = "doc_id long, start int, end int, template string, license string, dice double"
 
 
-def _scan(templates: dict[str, tuple[str, ...]] | None, least: float, inside: bool):
+def _scan(templates: dict[str, tuple[str, ...]] | None, least: float):
     def run(batches):
         index = _default(least) if templates is None else Templates(templates, least)
         names = ["doc_id", "start", "end", "template", "license", "dice"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64()]
         for batch in batches:
-            rows = [(i, *x[:4], round(x[4], 6)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index, inside=inside)]
+            rows = [(i, *x[:4], round(x[4], 6)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in scan_text(t, index)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
-def license_matches(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE, inside: bool = False) -> DataFrame:
-    """(doc_id, start, end, template, license, dice) of every match in ``docs`` (doc_id, text); no shuffle.
-
-    ``inside``: in windows of words too, not only in lines and groups of lines.
-    """
+def license_matches(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = DICE) -> DataFrame:
+    """(doc_id, start, end, template, license, dice) of every match in ``docs`` (doc_id, text); no shuffle."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scan(templates, least, inside), SCAN)
+    return own.mapInArrow(_scan(templates, least), SCAN)
