@@ -218,18 +218,51 @@ def pages_of(spark, n, extra=()):
 
 def test_audit_finds_what_differs(spark):
     good = warc.records(pages_of(spark, 1300, [(None, None, None), (5, None, "")]))
-    assert warc.audit(warc.fixity(good), warc.fixity(good)).count() == 0
+    one = warc.fixity(good).cache()
+    assert warc.audit(one, warc.fixity(good)).count() == 0
     bad = good.withColumn("record", F.when(F.col("page_id").isin(3, 700, 1299), F.concat("record", F.lit(b"x"))).otherwise(F.col("record")))
-    one, other = warc.fixity(good).cache(), warc.fixity(bad).cache()
-    got = {(r["archive"], r["node"]) for r in warc.audit(one, other).collect()}
-    want = {(r["archive"], r["ordinal"]) for r in one.exceptAll(other).select("archive", "ordinal").collect()}
-    assert got == want and {(1, 188), (2, 275)} <= got
+    other = warc.fixity(bad).cache()
+    got = warc.audit(one, other, moved=True).collect()
+    assert {r["page_id"] for r in got if r["status"] == "changed"} == {3, 700, 1299} == {r["page_id"] for r in got if r["status"] != "moved"}
+    places = lambda t: {(r["archive"], r["page_id"], r["sha256"]): r["offset"] for r in t.collect()}
+    a, b = places(one), places(other)
+    assert {(r["archive"], r["page_id"], r["hash_a"]) for r in got if r["status"] == "moved"} == {k for k in a if k in b and a[k] != b[k]} != set()
     fewer = warc.fixity(good.where("archive <> 2"))
     status = {(r["archive"], r["status"]) for r in warc.audit(one, fewer).collect()}
     assert status == {(2, "missing")}
     assert {(r["archive"], r["status"]) for r in warc.audit(fewer, one).collect()} == {(2, "extra")}
 
 
+def test_a_lost_record_is_one_missing_record(spark):
+    good = warc.records(pages_of(spark, 60))
+    for lost in (0, 30, 59):
+        got = warc.audit(warc.fixity(good), warc.fixity(good.where(f"page_id <> {lost}"))).collect()
+        assert [(r["page_id"], r["status"]) for r in got] == [(lost, "missing")]
+    got = warc.audit(warc.fixity(good.where("page_id <> 7")), warc.fixity(good)).collect()
+    assert [(r["page_id"], r["status"]) for r in got] == [(7, "extra")]
+
+
+def test_fixity_places(spark):
+    """Offsets are those of the records end to end in their order; null and repeated ids and equal rows too."""
+    rows = [(None, f"u{k % 9}", "x" * (k % 5)) for k in range(200)] + [(7, "u", f"body {k}") for k in range(90)] + [(8, "u", "same")] * 40 + [(600, None, None)]
+    made = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as archive", "2 as part", "3 as length"))
+    got = warc.fixity(made).collect()
+    data = [(r["archive"], r["page_id"], bytes(r["record"])) for r in made.collect()]
+    import hashlib
+
+    for archive in {-1, 0, 1}:
+        distinct = sorted({(i is not None, i or 0, hashlib.sha256(d).hexdigest(), len(d)) for a, i, d in data if a == archive})
+        copies = [sum(1 for a, i, d in data if a == archive and hashlib.sha256(d).hexdigest() == x[2]) for x in distinct]
+        at = 0
+        mine = sorted((r["ordinal"], r["offset"], r["length"], r["sha256"], r["copies"]) for r in got if r["archive"] == archive)
+        for k, (x, n) in enumerate(zip(distinct, copies)):
+            assert mine[k] == (k, at, x[3], x[2], n)
+            at += x[3] * n
+        assert len(mine) == len(distinct)
+    fewer = warc.records(spark.createDataFrame(rows[:-5], "page_id long, url string, html string"))
+    assert sorted((r["status"], r["page_id"], r["copies_a"], r["copies_b"]) for r in warc.audit(warc.fixity(made), warc.fixity(fewer)).collect()) == [("missing", 8, 40, 36), ("missing", 600, 1, None)]
+
+
 def test_audit_report(spark, sf_dir):
     got = warc.audit_report(spark.read.parquet(f"{sf_dir}/pages.parquet")).toPandas()
     con = duckdb.connect()
@@ -241,10 +274,22 @@ def test_audit_report(spark, sf_dir):
 
 
 def test_read_warc(spark, tmp_path):
+    import gzip
+
     made = warc.records(pages_of(spark, 20))
     for r in warc.archive_bytes(made).collect():
         (tmp_path / f"{r['archive']}.warc").write_bytes(bytes(r["content"]))
     back = warc.read_warc(spark, str(tmp_path)).orderBy("offset").collect()
-    assert [(r["uri"], bytes(r["body"]).decode()) for r in back] == [(f"http://h/{k}", f"<p>é{k}</p>" * (k % 7)) for k in range(20)]
+    want = [(f"http://h/{k}", f"<p>é{k}</p>" * (k % 7)) for k in range(20)]
+    assert [(r["uri"], bytes(r["body"]).decode()) for r in back] == want
     table = warc.fixity(made).orderBy("offset").collect()
     assert [(r["offset"], r["length"]) for r in back] == [(r["offset"], r["length"]) for r in table]
+    plain = [bytes(r["record"]) for r in made.orderBy("page_id").collect()]
+    packed = [gzip.compress(p) for p in plain]
+    (tmp_path / "z.warc.gz").write_bytes(b"".join(packed))
+    back = warc.read_warc(spark, str(tmp_path / "z.warc.gz")).orderBy("offset").collect()
+    assert [(r["uri"], bytes(r["body"]).decode()) for r in back] == want and [r["length"] for r in back] == list(map(len, packed))
+    odd = b"WARC/1.0\r\nno colon here\r\ncontent-length:3\r\nWARC-Target-URI:a:b\r\n\r\nabc\r\n\r\n"
+    assert list(warc.parse_records("x", odd)) == [(0, len(odd), "a:b", b"abc")]
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.parse_records("x", b"WARC/1.0\r\nA: b\r\n\r\n"))

@@ -234,6 +234,20 @@ def test_sentences_cover_the_text():
             assert not (text or "").strip() or "".join(text[a:b] for a, b in spans) == text
 
 
+def test_hot_runs_give_the_same(spark, monkeypatch):
+    """Runs that are joined by broadcast and runs that meet in a window give what brute force gives."""
+    from strandmill.llm import common
+
+    shared = [prose(k, 40) for k in range(3)]
+    rows = [(k if k % 5 else None, prose(200 + k, 20) + ". " + shared[k % 3 if k < 60 else 0] + " " + prose(300 + k, 20)) for k in range(90)]
+    rows = [x for x in rows if x[0]] + [(None, shared[1])]
+    want = {(rows[n][0], c) for n, c in brute_repeats(rows)}
+    for share in (1, 40, 10**9):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = substring_dedup.repeated_spans(docs(spark, rows)).collect()
+        assert {(r["doc_id"], c) for r in got for c in range(r["start"], r["end"])} == want
+
+
 def test_sentences():
     text = "One two. Three\nfour! a.b 3.14 x"
     assert [text[a:b] for a, b in substring_dedup.sentences(text)] == ["One two. ", "Three\n", "four! ", "a.", "b 3.", "14 x"]
@@ -267,22 +281,26 @@ def test_repeats_odd(spark):
 
 
 def test_licenses(spark):
-    texts = [t for group in license_scan.TEMPLATES.values() for t in group]
+    """Against brute force over all windows of words; a text that matches as a whole, by a line or by lines is found too."""
+    texts = [t for group in license_scan.TEMPLATES.values() for t in group if len(t) < 400]
     rng = random.Random(2)
     rows = list(ODD)
     for k, t in enumerate(texts):
         words = t.split()
         words[rng.randrange(len(words))] = "changed"
-        rows += [(100 + 3 * k, prose(k, 30) + "\n" + t + "\n" + prose(k + 1, 30)), (101 + 3 * k, " ".join(words)), (102 + 3 * k, t.replace(" ", "\n", 1))]
-    got = {(r["doc_id"], r["template"]): r["dice"] for r in license_scan.license_matches(docs(spark, rows)).collect()}
+        rows += [(100 + 3 * k, prose(k, 15) + "\n" + t + "\n" + prose(k + 1, 15)), (101 + 3 * k, " ".join(words)), (102 + 3 * k, t.replace(" ", "\n", 1))]
+    got: dict = {}
+    for r in license_scan.license_matches(docs(spark, rows)).collect():
+        got[r["doc_id"], r["template"]] = max(r["dice"], got.get((r["doc_id"], r["template"]), 0))
     index = license_scan.Templates(license_scan.TEMPLATES, license_scan.DICE)
     for i, t in rows:
         if i is None or i < 100:
             continue
-        units = t.split("\n")
-        units += ["\n".join(units[a:b]) for a in range(len(units)) for b in range(a + 2, min(len(units), a + 4) + 1)]
-        for _, name, _, grams in index.all:
-            best = max(license_scan.dice(license_scan.bigrams(dc.words_of(u)), grams) for u in units)
+        words = dc.words_of(t)
+        units = [words[a:b] for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+        grams_of = [(len(u) - 1, license_scan.bigrams(u)) for u in units]
+        for size, name, _, grams in index.all:
+            best = max((license_scan.dice(g, grams) for n, g in grams_of if 2 * min(n, size) >= 0.8 * (n + size)), default=0)
             assert (best >= 0.8) == ((i, name) in got) and (best < 0.8 or got[i, name] == pytest.approx(best, abs=1e-6))
     assert license_scan.license_matches(docs(spark, [])).count() == 0
     assert not [1 for i, _ in got if i is None or i < 100]
