@@ -268,48 +268,48 @@ def _filter(hashes: DataFrame) -> bytes:
 def _covered(rows: DataFrame) -> DataFrame:
     """(file, at, doc_id, start, end, first_doc_id) of addressed rows (file, at, doc_id, text).
 
-    Runs that may be repeated meet by their hash, once, in a window of bounded size. Hot ones don't: their first places come
-    from an aggregation and are broadcast.
+    Runs that may be repeated meet by their hash, once, in a window of bounded size. Hot ones don't meet: their first places
+    come from an aggregation and are broadcast, and they are spread.
     """
     twice = durable(rows.select("text").mapInArrow(_hashes, "via long").groupBy("via").agg(F.count("*").alias("w")).where("w > 1"))
     limit = hot_limit(twice.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
     hot = np.array([r[0] for r in twice.where(F.col("w") > limit).select("via").collect()], np.int64)
     seen = rows.sparkSession.sparkContext.broadcast(_filter(twice))
     own = rows.select("file", "at", "doc_id", "text")
-    rest = may = own.mapInArrow(_runs(seen), RUNS)
-    result = ["file", "at", "doc_id", "start", "end"]
-    later = []
-    if len(hot):
-        order = F.struct(F.col("doc_id").isNull().alias("unknown"), *["doc_id", "file", "at", "start"])
-        often = own.mapInArrow(_runs(seen, hot), RUNS).groupBy("hash", "other").agg(F.min(order).alias("first"), F.count("*").alias("w")).where(F.col("w") > limit)
-        often = F.broadcast(durable(often.drop("w")))
-        other = (F.col("file") != F.col("first.file")) | (F.col("at") != F.col("first.at")) | (F.col("start") != F.col("first.start"))
-        later.append(may.join(often, ["hash", "other"]).where(other).select(*result, F.col("first.doc_id").alias("first")))
-        rest = may.join(often, ["hash", "other"], "left_anti")
-    alike = Window.partitionBy("hash", "other").orderBy(F.col("doc_id").asc_nulls_last(), "file", "at", "start")
-    rest = rest.withColumns({"nth": F.row_number().over(alike), "first": F.first("doc_id").over(alike)})
-    later.append(rest.where("nth > 1").select(*result, "first"))
-    spans = reduce(DataFrame.unionAll, later).select("file", "at", "doc_id", F.struct("start", "end", "first").alias("s"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), *["doc_id", "file", "at", "start"])
+    often = own.mapInArrow(_runs(seen, hot), RUNS).groupBy("hash", "other").agg(F.min(order).alias("least"), F.count("*").alias("w")).where(F.col("w") > limit)
+    often = durable(often.select("hash", "other", "least")) if len(hot) else None
+    may = own.mapInArrow(_runs(seen), RUNS)
+    if often is None:
+        may = may.withColumns({"salt": F.lit(0), "known": F.lit(False), "is_least": F.lit(False), "least_id": F.lit(None).cast("long")})
+    else:
+        same = (F.col("file") == F.col("least.file")) & (F.col("at") == F.col("least.at")) & (F.col("start") == F.col("least.start"))
+        known = F.col("least").isNotNull()
+        salt = F.when(known, F.pmod(F.xxhash64("file", "at", "start"), F.lit(1 << 16)).cast("int") + 1).otherwise(F.lit(0))
+        may = may.join(F.broadcast(often), ["hash", "other"], "left").withColumns({"salt": salt, "known": known, "is_least": same, "least_id": F.col("least.doc_id")}).drop("least")
+    alike = Window.partitionBy("hash", "other", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "file", "at", "start")
+    ranked = may.withColumns({"nth": F.row_number().over(alike), "first": F.first("doc_id").over(alike)})
+    later = ranked.where(F.when(F.col("known"), ~F.col("is_least")).otherwise(F.col("nth") > 1))
+    first = F.when(F.col("known"), F.col("least_id")).otherwise(F.col("first"))
+    spans = later.select("file", "at", "doc_id", F.struct("start", "end", first.alias("first")).alias("s"))
     grouped = spans.groupBy("file", "at", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most two for each clause of a text
     return grouped.mapInArrow(_merge, "file long, at long, doc_id long, start int, end int, first_doc_id long")
 
 
 def _merge(batches):
+    """Stretches that overlap or adjoin, from lists of spans by start; the first span names the first document."""
     names = ["file", "at", "doc_id", "start", "end", "first_doc_id"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     for batch in batches:
-        rows = []
-        for *own, spans in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            begin, end, first = None, -1, None
-            for s in spans:
-                if begin is None or s["start"] > end:
-                    if begin is not None:
-                        rows.append((*own, begin, end, first))
-                    begin, first = s["start"], s["first"]
-                end = max(end, s["end"])
-            rows.append((*own, begin, end, first))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        lists = batch.column(3)
+        spans, owner = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        start, end = (spans.field(k).to_numpy() for k in range(2))
+        reach = np.maximum.accumulate(end.astype(np.int64) + (owner << 32))  # a later list's ends are all greater
+        opens = np.flatnonzero(np.concatenate([[True], start[1:] + (owner[1:].astype(np.int64) << 32) > reach[:-1]]))
+        closes = np.append(opens[1:], len(start)) - 1
+        rows = pa.array(owner[opens])
+        ends = (reach[closes] - (owner[closes] << 32)).astype(np.int32)
+        own = [batch.column(k).take(rows) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(start[opens]), pa.array(ends), spans.field(2).take(pa.array(opens))], names=names)
 
 
 def _own(rows: DataFrame, names: list[str]) -> DataFrame:
