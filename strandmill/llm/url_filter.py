@@ -3,8 +3,10 @@
 Path segments that look variable (numbers, dates, long hex or mixed identifiers) become typed wildcards, and urls are
 merged into templates with counts before anything else. Each host's templates form a tree, which is walked from the root:
 under a node, branches that are rare, or whose labelled share of blocked urls does not differ from the node's by a
-two-proportion test, merge into ``*``; the others stay. A template is rejected if the smoothed share of blocked among its
-labelled urls, (blocked + 1) / (labelled + 2), reaches ``REJECT``. The labels are the verdicts of the rules.
+two-proportion test, merge into ``*``; the others stay. What is below a node of fewer than ``SUPPORT`` urls is one branch,
+``**``, however deep; so the walk has as many steps as the deepest path that many urls share, and a step deals with the
+templates that still go on. A template is rejected if the smoothed share of blocked among its labelled urls,
+(blocked + 1) / (labelled + 2), reaches ``REJECT``. The labels are the verdicts of the rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged like any other
 template. page_id is carried as it is, null and repeated ones too. Extra columns are ignored. An empty table gives an
@@ -13,6 +15,8 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Levels of the tree; deeper segments count as one typed wildcard.
-DEPTH = 8
 #: A branch with fewer urls, or less than this share of its node's urls, is rare.
 SUPPORT, SHARE = 5, 0.02
 #: Two proportions differ beyond this z value.
@@ -52,7 +54,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def template(path: Column) -> Column:
-    """Path segments with the variable ones as typed wildcards, at most DEPTH."""
+    """Path segments with the variable ones as typed wildcards."""
 
     def typed(s: Column) -> Column:
         stem, ext = F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 2)
@@ -64,8 +66,7 @@ def template(path: Column) -> Column:
         )
         return F.coalesce(F.concat(kind, ext), s)
 
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), typed)
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("{deep}")))).otherwise(parts)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), typed)
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
@@ -73,25 +74,33 @@ def template_tree(urls: DataFrame) -> DataFrame:
     label = lambda v: F.sum((F.col("verdict") == v).cast("long"))
     now = urls.groupBy("host", "tpl").agg(F.count("*").alias("n"), F.coalesce(label("block"), F.lit(0)).alias("bad"), F.coalesce(label("allow"), F.lit(0)).alias("good"))
     now = durable(now.withColumn("merged", F.array().cast("array<string>")))
-    total, depth = now.agg(F.count("*"), F.coalesce(F.max(F.size("tpl")), F.lit(0))).first()
+    every_row = left = now.count()
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("w")]
-    for level in range(1, depth + 1):
+    done, level = [], 0
+    while left:
+        level += 1
         here = now.withColumn("seg", F.when(F.size("tpl") >= level, F.element_at("tpl", F.lit(level))).otherwise(F.lit("")))
         branch = durable(here.groupBy("host", "merged", "seg").agg(*sums))
-        node = durable(branch.groupBy("host", "merged").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "good", "w")], F.count("*").alias("branches")))
-        n_branches = node.agg(F.coalesce(F.sum("branches"), F.lit(0))).first()[0]
+        node = durable(branch.groupBy("host", "merged").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "good")], F.count("*").alias("branches")))
+        n_branches = node.agg(F.sum("branches")).first()[0]
         both = join_facts(branch, node, ["host", "merged"], "branches", n_branches, F.xxhash64("seg"))
         seen, every = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good")
         pooled = (F.col("all_bad") + 1) / (every + 2)
         z = F.abs((F.col("bad") + 1) / (seen + 2) - pooled) / F.sqrt(pooled * (1 - pooled) * (1 / (seen + 2) + 1 / (every + 2)))
         rare = (F.col("n") < SUPPORT) | (F.col("n") < F.col("all_n") * SHARE)
         merges = (F.col("n") < F.col("all_n")) & (rare | ((seen > 0) & (z < Z)))
-        names = durable(both.select("host", "merged", "seg", F.when((F.col("seg") != "") & merges, F.lit("*")).otherwise(F.col("seg")).alias("named"), "w"))
-        step = join_facts(here, names, ["host", "merged", "seg"], "w", total, F.xxhash64("tpl"))
-        now = durable(step.select("host", "tpl", "n", "bad", "good", F.when(F.col("named") == "", F.col("merged")).otherwise(F.concat("merged", F.array("named"))).alias("merged")))
-    whole = durable(now.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("w")))
+        named = F.when(F.col("seg") == "", F.lit("")).when(F.col("all_n") < SUPPORT, F.lit("**")).when(merges, F.lit("*")).otherwise(F.col("seg"))
+        names = durable(both.select("host", "merged", "seg", named.alias("named"), (F.col("all_n") < SUPPORT).alias("small"), "w"))
+        step = join_facts(here, names, ["host", "merged", "seg"], "w", left, F.xxhash64("tpl"))
+        ends = (F.col("named") == "") | F.col("small")
+        step = durable(step.select("host", "tpl", "n", "bad", "good", F.when(F.col("named") == "", F.col("merged")).otherwise(F.concat("merged", F.array("named"))).alias("merged"), ends.alias("ends")))
+        done.append(step.where("ends").drop("ends"))
+        now = step.where("not ends").drop("ends")
+        left = now.count()
+    settled = durable(reduce(DataFrame.unionAll, done, now))
+    whole = durable(settled.groupBy("host", "merged").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("w")))
     purity = whole.select("host", "merged", ((F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)).alias("purity"), "w")
-    return join_facts(now.select("host", "tpl", "n", "merged"), purity, ["host", "merged"], "w", total, F.xxhash64("tpl"))
+    return join_facts(settled.select("host", "tpl", "n", "merged"), purity, ["host", "merged"], "w", every_row, F.xxhash64("tpl"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
