@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill import session
+
 #: A key with more than 1/HOT_SHARE of all rows is joined by broadcast, and one with more than HOT_ROWS rows too, as long
 #: as there can't be more than HOT_KEYS of these.
 HOT_SHARE, HOT_ROWS, HOT_KEYS = 1000, 1_000_000, 20_000
@@ -35,17 +35,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(ARROW_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only in local mode, where it may be unset (tests), a temporary one is made."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="strandmill-"))
-    return jsc.getCheckpointDir().get()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -54,9 +43,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def durable(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's shared checkpoint folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return session.durable(df)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -99,7 +99,7 @@ def keys(windows: np.ndarray, walk: int) -> np.ndarray:
     out = np.empty((TABLES, windows.shape[0]), np.uint64)
     for t in range(TABLES):
         key = np.full(windows.shape[0], 1 + walk * TABLES + t, np.uint64)
-        for p in rng.choice(image.shape[0], SAMPLE, replace=False):
+        for p in rng.choice(image.shape[0], min(SAMPLE, image.shape[0]), replace=False):
             key = (key ^ image[p]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         out[t] = key

@@ -197,7 +197,7 @@ def test_url_rules(spark):
 
 
 def test_url_templates(spark):
-    rows = [("/en/12.html", "/en/{n}.html"), ("/a//b", "/a/b"), ("", "/"), ("/2024-01-02/x", "/{date}/x"), ("/deadbeef01/y", "/{hex}/y"), ("/abcdefghij1234k", "/{id}"), ("/" + "/".join("s" * 30), "/" + "s/" * 7 + "{deep}")]
+    rows = [("/en/12.html", "/en/{n}.html"), ("/a//b", "/a/b"), ("", "/"), ("/2024-01-02/x", "/{date}/x"), ("/deadbeef01/y", "/{hex}/y"), ("/abcdefghij1234k", "/{id}"), ("/" + "/".join("s" * 30), "/" + "/".join("s" * 30))]
     got = spark.createDataFrame(rows, "path string, want string").select("want", F.concat(F.lit("/"), F.array_join(url_filter.template(F.col("path")), "/")).alias("t")).collect()
     assert all(r["want"] == r["t"] for r in got)
 
@@ -211,6 +211,61 @@ def test_url_tree(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def plain_tree(urls):
+    """{(host, segments): (template, purity)} by recursion, from the definition; urls: (host, segments, verdict)."""
+    out, labels = {}, defaultdict(lambda: [0, 0])
+
+    def walk(host, under, merged, level):
+        bad, good = (sum(v == x for _, v in under) for x in ("block", "allow"))
+        branches = defaultdict(list)
+        for t, v in under:
+            branches[t[level] if len(t) > level else ""].append((t, v))
+        onward = defaultdict(list)
+        for seg, rows in branches.items():
+            b, g = (sum(v == x for _, v in rows) for x in ("block", "allow"))
+            pooled = (bad + 1) / (bad + good + 2)
+            z = abs((b + 1) / (b + g + 2) - pooled) / (pooled * (1 - pooled) * (1 / (b + g + 2) + 1 / (bad + good + 2))) ** 0.5
+            rare = len(rows) < url_filter.SUPPORT or len(rows) < len(under) * url_filter.SHARE
+            name = seg
+            if seg and len(under) < url_filter.SUPPORT:
+                name = "**"
+            elif seg and len(rows) < len(under) and (rare or (b + g > 0 and z < url_filter.Z)):
+                name = "*"
+            if not seg or name == "**":
+                for t, v in rows:
+                    out[host, t] = (*merged, name) if seg else merged
+                    labels[host, out[host, t]][v == "allow"] += v is not None
+            else:
+                onward[name] += rows
+        for name, rows in onward.items():
+            walk(host, rows, (*merged, name), level + 1)
+
+    hosts = defaultdict(list)
+    for h, t, v in urls:
+        hosts[h].append((t, v))
+    for h, rows in hosts.items():
+        walk(h, rows, (), 0)
+    return {k: (m, (labels[k[0], m][0] + 1) / (sum(labels[k[0], m]) + 2)) for k, m in out.items()}
+
+
+def test_tree_equals_plain_recursion(spark):
+    rng = np.random.default_rng(8)
+    urls = []
+    for _ in range(900):
+        depth = int(rng.choice([0, 1, 2, 3, 4, 12], p=[0.05, 0.2, 0.25, 0.25, 0.2, 0.05]))
+        segs = tuple(f"s{int(x)}" for x in np.minimum(rng.geometric(0.45, depth), 9))
+        verdict = None if rng.random() < 0.5 else "block" if segs[:1] in (("s2",), ("s4",)) or segs[8:9] == ("s1",) else "allow"
+        urls.append((f"h{int(rng.integers(0, 4))}", segs, verdict))
+    urls += [("deep", tuple("x" * 11) + (f"y{k % 2}",), "block" if k % 2 else "allow") for k in range(40)] + [("few", ("a", "b", str(k)), None) for k in range(4)]
+    df = spark.createDataFrame([(h, list(t), v) for h, t, v in urls], "host string, tpl array<string>, verdict string")
+    got = {(r["host"], tuple(r["tpl"])): (tuple(r["merged"]), r["purity"]) for r in url_filter.template_tree(df).collect()}
+    want = plain_tree(urls)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    assert {m[-1] for (h, _), (m, _) in want.items() if h == "deep"} == {"y0", "y1"} and ("*" in {x for m, _ in want.values() for x in m})
+    assert {m for (h, _), (m, _) in want.items() if h == "few"} == {("**",)}
+
+
 def pages_of(spark, n, extra=()):
     rows = [(k, f"http://h/{k}", f"<p>é{k}</p>" * (k % 7)) for k in range(n)] + list(extra)
     return spark.createDataFrame(rows, "page_id long, url string, html string")
