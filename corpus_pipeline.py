@@ -17,8 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandmill.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from strandmill.llm.common import durable, remove, shared_folder, table
-from strandmill.session import ship_package
+from strandmill.llm.common import durable, remove, table
+from strandmill.session import shared_folder, ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
