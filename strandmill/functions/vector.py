@@ -10,6 +10,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def total(values: Column | str) -> Column:
+    """Sum of an ARRAY<DOUBLE>."""
+    return _sum(values)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x * y))
 

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators import context, scoring, selection
-from strandmill.operators.windows import frame_window, history
+from strandmill.operators.windows import chunked, history
+from strandmill.session import durable
 
 
 def entropy(frames: DataFrame) -> DataFrame:
-    """(video_id, frame_idx, entropy): bits of the 64-bin gray histogram."""
-    bins = frames.select("video_id", "frame_idx", F.explode(F.transform("px", lambda v: F.floor(v / 4))).alias("bin")).groupBy("video_id", "frame_idx", "bin").agg(F.count("*").alias("c"))
-    total = bins.groupBy("video_id", "frame_idx").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list("c")).alias("counts"))
+    """(video_id, frame_idx, entropy): bits of the 64-bin gray histogram, counted within the row as lengths of runs of equal bins."""
+    rows = frames.select("video_id", "frame_idx", F.array_sort(F.transform("px", lambda v: F.floor(v / 4).cast("int"))).alias("bins")).withColumn("n", F.size("bins"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("bins", i) != F.get("bins", i - 1)))
+    counts = F.zip_with("starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array("n")), lambda a, b: b - a)
+    held = rows.withColumn("starts", starts).withColumn("counts", F.array_sort(counts))
     p = lambda c: c / F.col("n")
-    bits = F.aggregate("counts", F.lit(0.0), lambda acc, c: acc - p(c) * F.log2(p(c) + 1e-12))
-    return total.select("video_id", "frame_idx", bits.alias("entropy"))
+    return held.select("video_id", "frame_idx", F.aggregate("counts", F.lit(0.0), lambda acc, c: acc - p(c) * F.log2(p(c) + 1e-12)).alias("entropy"))
 
 
 def change(frames: DataFrame) -> DataFrame:
@@ -32,16 +34,20 @@ def non_uniform_scores(frames: DataFrame, weight: float = 0.6) -> DataFrame:
 
 
 def non_uniform(frames: DataFrame, ratio: float) -> DataFrame:
-    return selection.top_ratio(non_uniform_scores(frames), ratio)
+    return selection.top_ratio(durable(non_uniform_scores(frames)), ratio)
 
 
-def stepped_rewards(features: DataFrame, length: int = 30, size: int = 5) -> DataFrame:
+def stepped_rewards(features: DataFrame, length: int = 30, size: int = 5, chunk: int | None = 4096) -> DataFrame:
     """(video_id, frame_idx, score): what a frame adds to evenly stepped context."""
-    past = features.withColumn("ctx", context.stepped_context(history("feat", length, frame_window()), size))
-    return past.select("video_id", "frame_idx", F.round(context.delta_map(F.col("feat"), F.col("ctx")), 9).alias("score"))
+
+    def make(frames: DataFrame, window) -> DataFrame:
+        past = frames.withColumn("ctx", context.stepped_context(history("feat", length, window), size))
+        return past.withColumn("score", F.round(context.delta_map(F.col("feat"), F.col("ctx")), 9)).drop("ctx", "feat")
+
+    return chunked(features.select("video_id", "frame_idx", "feat"), chunk, length, make)
 
 
 def semantic_ablation(features: DataFrame, ratio: float, length: int = 15, size: int = 3) -> DataFrame:
     """Kept frames by delta and novelty against clustered context, without class weight."""
-    m = context.context_measures(features, "diverse", length, size, chunk=None)
+    m = durable(context.context_measures(features, "diverse", length, size))
     return selection.top_ratio(m.select("video_id", "frame_idx", F.round(F.col("delta_map") * F.col("novelty"), 9).alias("score")), ratio)

@@ -6,7 +6,9 @@ changed, label 0 for one that went away. So segments decode in parallel. A key p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators.windows import frame_window
@@ -28,14 +30,30 @@ def delta_encode(frames: DataFrame, interval: int = INTERVAL, width: int = WIDTH
 
 
 def delta_decode(triples: DataFrame, frames: DataFrame, height: int = WIDTH, width: int = WIDTH, interval: int = INTERVAL) -> DataFrame:
-    """(video_id, frame_idx, labels) for each of ``frames`` (video_id, frame_idx): the last label of each pixel in the segment, or 0."""
-    grid = frames.select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("pos"))
-    known = triples.select("video_id", "frame_idx", (F.col("y") * width + F.col("x")).alias("pos"), "label")
-    last = Window.partitionBy("video_id", "segment", "pos").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(known, ["video_id", "frame_idx", "pos"], "left").withColumn("segment", _segment(interval))
-    full = full.withColumn("label", F.coalesce(F.last("label", ignorenulls=True).over(last), F.lit(0)))
-    lists = full.groupBy("video_id", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("l"))
-    return lists.select("video_id", "frame_idx", F.transform("l", lambda x: x["label"]).alias("labels"))
+    """(video_id, frame_idx, labels) for each of ``frames`` (video_id, frame_idx): the last label of each pixel in the segment, or 0.
+
+    Segments decode on their own, from the changes alone; a task holds one label map and what it gives out.
+    """
+    kind = frames.schema["frame_idx"].dataType.simpleString()
+    changes = triples.select("video_id", F.col("frame_idx").cast("long").alias("at"), (F.col("y") * width + F.col("x")).cast("int").alias("pos"), F.col("label").cast("int").alias("label"), _segment(interval).alias("segment"))
+    wanted = frames.select("video_id", F.col("frame_idx").cast("long").alias("at"), F.lit(-1).alias("pos"), F.lit(0).alias("label"), _segment(interval).alias("segment"))
+    schema = pa.schema([("video_id", pa.string()), ("at", pa.int64()), ("labels", pa.list_(pa.int32()))])
+
+    def decode(rows: pa.Table) -> pa.Table:
+        at, pos, label = (rows.column(c).to_numpy() for c in ("at", "pos", "label"))
+        order = np.lexsort((-pos, at))  # a frame's own changes come before its row with pos -1
+        at, pos, label = at[order], pos[order], label[order]
+        now, done, out = np.zeros(height * width, np.int32), 0, []
+        for stop in np.flatnonzero(pos < 0).tolist():
+            now[pos[done:stop]] = label[done:stop]
+            done = stop + 1
+            out.append(now.copy())
+        ends = np.arange(len(out) + 1, dtype=np.int32) * (height * width)
+        labels = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else now[:0]))
+        return pa.Table.from_arrays([rows.column("video_id")[:1].combine_chunks().take(pa.array(np.zeros(len(out), np.int64))), pa.array(at[pos < 0]), labels], schema=schema)
+
+    found = changes.unionAll(wanted).groupBy("video_id", "segment").applyInArrow(decode, "video_id string, at long, labels array<int>")
+    return found.select("video_id", F.col("at").cast(kind).alias("frame_idx"), "labels")
 
 
 def _uint16(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions import vector
-from strandmill.operators.windows import chunked, frame_window, history
+from strandmill.operators.windows import chunked, history
 
 #: A distance of this much counts as wholly new (a fixed value, not the square root of 2).
 FAR = 1.414
@@ -115,4 +115,13 @@ def context_measures(features: DataFrame, mode: str = "uniform", length: int = 1
         return found.withColumns({"delta_map": F.col("m.delta_map"), "novelty": F.pow("m.novelty", F.lit(power)), "n_context": F.col("m.n_context")}).drop("past", "m", "feat")
 
     frames = features.select("video_id", "frame_idx", "feat")
-    return chunked(frames, chunk, length, make) if chunk else make(frames, frame_window())
+    return chunked(frames, chunk, length, make)
+
+
+def delta_maps(features: DataFrame, length: int, chunk: int | None = 4096) -> DataFrame:
+    """(video_id, frame_idx, delta_map) against all of the last ``length`` frames."""
+
+    def make(frames: DataFrame, window) -> DataFrame:
+        return frames.withColumn("past", history("feat", length, window)).withColumn("delta_map", delta_map(F.col("feat"), F.col("past"))).drop("past", "feat")
+
+    return chunked(features.select("video_id", "frame_idx", "feat"), chunk, length, make)

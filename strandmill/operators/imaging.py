@@ -26,7 +26,7 @@ def area_resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
         return np.clip(cover, 0, None) * m / n
 
     out = np.einsum("yh,hwc,xw->yxc", weights(img.shape[0], height), img.astype(float), weights(img.shape[1], width))
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(np.round(out, 9)), 0, 255).astype(np.uint8)
 
 
 def limited_size(height: int, width: int, max_height: int, round_width: bool = True) -> tuple[int, int]:
@@ -42,7 +42,7 @@ def gray(img: np.ndarray) -> np.ndarray:
     if img.shape[2] == 1:
         return img[:, :, 0]
     b, g, r = (img[:, :, k].astype(float) for k in range(3))
-    return np.rint(0.114 * b + 0.587 * g + 0.299 * r).astype(np.uint8)
+    return np.rint(np.round(0.114 * b + 0.587 * g + 0.299 * r, 9)).astype(np.uint8)
 
 
 def thumbnail(img: np.ndarray, height: int = 108, width: int = 192) -> np.ndarray:
@@ -203,3 +203,131 @@ def soft_edges(frames: DataFrame, palette: list[tuple[float, float, float]], low
         return pd.Series(out)
 
     return frames.select("video_id", "frame_idx", "height", "width", label("height", "width", "n_channels", "data").alias("labels"))
+
+
+PICTURE = ("height", "width", "n_channels", "data")
+
+
+def from_pixels(frames: DataFrame, height: int, width: int, channels: int = 1) -> DataFrame:
+    """(video_id, frame_idx, height, width, n_channels, data) of (video_id, frame_idx, px)."""
+    data = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return frames.select("video_id", "frame_idx", F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(channels).alias("n_channels"), data.alias("data"))
+
+
+def to_pixels(frames: DataFrame) -> DataFrame:
+    """(video_id, frame_idx, px) of frames (.., data)."""
+    px = F.pandas_udf(lambda data: pd.Series([np.frombuffer(d, np.uint8).astype(np.int32) for d in data]), "array<int>")
+    return frames.select("video_id", "frame_idx", px("data").alias("px"))
+
+
+def gray_thumbnails(frames: DataFrame, height: int = 108, width: int = 192) -> DataFrame:
+    """(video_id, frame_idx, px): small gray pictures of BGR or gray frames, as motion is measured on them."""
+
+    @F.pandas_udf("array<int>")
+    def small(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([thumbnail(picture(*x), height, width).ravel().astype(np.int32) for x in zip(d, h, w, c)])
+
+    return frames.select("video_id", "frame_idx", small(*PICTURE).alias("px"))
+
+
+def rgb_frames(frames: DataFrame) -> DataFrame:
+    """BGR frames as RGB frames."""
+    turn = F.pandas_udf(lambda h, w, c, d: pd.Series([bgr_to_rgb(picture(x, *size)).tobytes() for x, *size in zip(d, h, w, c)]), "binary")
+    return frames.withColumn("data", turn(*PICTURE))
+
+
+def dilated(frames: DataFrame, height: int, width: int, rounds: int = 1) -> DataFrame:
+    """(video_id, frame_idx, labels): label maps in which each pixel takes the largest label around it, ``rounds`` times."""
+    grow = F.pandas_udf(lambda maps: pd.Series([dilate(np.asarray(m, np.int32).reshape(height, width), rounds).ravel() for m in maps]), "array<int>")
+    return frames.select("video_id", "frame_idx", grow("labels").alias("labels"))
+
+
+def refined(frames: DataFrame, soft: DataFrame, post: bool = True, sharpen: float = 0.0) -> DataFrame:
+    """RGB frames refined by their edge guides ``soft`` (RGB frames of the same size): blended and smoothed, then sharpened."""
+
+    @F.pandas_udf("binary")
+    def refine(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series, g: pd.Series) -> pd.Series:
+        out = []
+        for data, guide, *size in zip(d, g, h, w, c):
+            img, edge = picture(data, *size), picture(guide, *size)
+            img = post_refine(img, edge) if post else img
+            out.append(light_sharpen(img, edge, sharpen).tobytes() if sharpen > 0 else img.tobytes())
+        return pd.Series(out)
+
+    both = frames.join(soft.select("video_id", "frame_idx", F.col("data").alias("guide")), ["video_id", "frame_idx"])
+    return both.select("video_id", "frame_idx", "height", "width", "n_channels", refine(*PICTURE, "guide").alias("data"))
+
+
+def filled(soft: DataFrame) -> DataFrame:
+    """Soft-edge RGB frames with their background filled in, without a model."""
+    fill = F.pandas_udf(lambda h, w, c, d: pd.Series([fill_background(picture(x, *size)).tobytes() for x, *size in zip(d, h, w, c)]), "binary")
+    return soft.withColumn("data", fill(*PICTURE))
+
+
+def ssim_of(a: np.ndarray, b: np.ndarray, size: int = 7) -> float:
+    """Mean structural similarity over all ``size`` x ``size`` windows that lie in the picture, with sample covariances; channels are averaged."""
+    if a.ndim == 3:
+        return float(np.mean([ssim_of(a[..., k], b[..., k], size) for k in range(a.shape[2])]))
+    if min(a.shape) < size:
+        raise ValueError(f"pictures of {a.shape} have no window of {size} x {size}")
+    a, b = a.astype(float), b.astype(float)
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        total = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / size**2
+
+    ma, mb = mean(a), mean(b)
+    scale = size**2 / (size**2 - 1)
+    va, vb, cov = (scale * (mean(x * y) - mx * my) for x, y, mx, my in ((a, a, ma, ma), (b, b, mb, mb), (a, b, ma, mb)))
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float(((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+
+
+def windowed_ssim(a: DataFrame, b: DataFrame, size: int = 7) -> DataFrame:
+    """(video_id, frame_idx, ssim) of picture frames matched by place."""
+    near = F.pandas_udf(lambda h, w, c, x, y: pd.Series([ssim_of(picture(p, *s), picture(q, *s), size) for p, q, *s in zip(x, y, h, w, c)]), "double")
+    both = a.join(b.select("video_id", "frame_idx", F.col("data").alias("other")), ["video_id", "frame_idx"])
+    return both.select("video_id", "frame_idx", near(*PICTURE, "other").alias("ssim"))
+
+
+def block_flow(a0: np.ndarray, a1: np.ndarray, block: int = 4, reach: int = 2) -> np.ndarray:
+    """Flow (dx, dy) from ``a0`` to ``a1`` by exhaustive block matching; the shortest move of those tied."""
+    g0, g1 = gray(a0).astype(float), gray(a1).astype(float)
+    h, w = g0.shape
+    p = np.pad(g1, reach, mode="edge")
+    best, flow = np.full((h, w), np.inf), np.zeros((h, w, 2))
+    edges_y, edges_x = np.arange(0, h, block), np.arange(0, w, block)
+    for dy, dx in sorted(((y, x) for y in range(-reach, reach + 1) for x in range(-reach, reach + 1)), key=lambda m: (m[0] ** 2 + m[1] ** 2, m)):
+        off = np.abs(g0 - p[reach + dy : reach + dy + h, reach + dx : reach + dx + w])
+        cost = np.add.reduceat(np.add.reduceat(off, edges_y, axis=0), edges_x, axis=1)
+        cost = np.repeat(np.repeat(cost, block, axis=0)[:h], block, axis=1)[:, :w]
+        better = cost < best - 1e-9
+        best[better], flow[better] = cost[better], (dx, dy)
+    return flow
+
+
+def flow_interpolation(frames: DataFrame, interval: int, flow: str = "block", mix: float = 0.15) -> DataFrame:
+    """(video_id, frame_idx, height, width, n_channels, data): frames between keys by motion compensation; only key frames' data is read."""
+    from strandmill.operators.reconstruct import key_segments
+    from strandmill.sources import hooks
+
+    make = hooks.lookup("optical_flow", flow)
+    keys = frames.where(F.col("frame_idx") % interval == 0).select("video_id", "frame_idx", *PICTURE)
+    first = keys.select("video_id", F.col("frame_idx").alias("key0"), *PICTURE)
+    second = keys.select("video_id", F.col("frame_idx").alias("key1"), F.col("data").alias("next"))
+    both = key_segments(frames.select("video_id", "frame_idx"), interval).join(first, ["video_id", "key0"]).join(second, ["video_id", "key1"])
+
+    @F.pandas_udf("binary")
+    def between(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.Series:
+        find, out, held = make(), [], (None, None)
+        for d0, d1, t, *size in zip(d, n, alpha, h, w, c):
+            if t == 0:
+                out.append(d0)
+                continue
+            a0, a1 = picture(d0, *size), picture(d1, *size)
+            if held[0] != (d0, d1):
+                held = ((d0, d1), find(a0, a1))
+            out.append(flow_interpolate(a0, a1, held[1], t, mix).tobytes())
+        return pd.Series(out)
+
+    return both.select("video_id", "frame_idx", "height", "width", "n_channels", between(*PICTURE, "next", "alpha").alias("data"))

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions import measures
+from strandmill.functions import measures, vector
 from strandmill.operators.sequential import fold
-from strandmill.operators.windows import frame_window
+from strandmill.operators.windows import chunked
 
 
 def key_segments(frames: DataFrame, interval: int) -> DataFrame:
@@ -34,19 +34,39 @@ def linear_interpolation(frames: DataFrame, interval: int) -> DataFrame:
 
 def quality(a: DataFrame, b: DataFrame) -> DataFrame:
     """(video_id, frame_idx, psnr, ssim) of frames matched by place."""
-    pairs = a.select("video_id", "frame_idx", F.col("px").alias("a")).join(b.select("video_id", "frame_idx", F.col("px").alias("b")), ["video_id", "frame_idx"])
-    each = pairs.select("video_id", "frame_idx", F.explode(F.arrays_zip("a", "b")).alias("p"))
-    x, y = F.col("p.a").cast("double"), F.col("p.b").cast("double")
-    stats = each.groupBy("video_id", "frame_idx").agg(
-        F.avg((x - y) * (x - y)).alias("mse"), F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.var_pop(x).alias("va"), F.var_pop(y).alias("vb"), F.covar_pop(x, y).alias("c")
-    )
+    pairs = a.select("video_id", "frame_idx", F.transform("px", lambda v: v.cast("double")).alias("a")).join(b.select("video_id", "frame_idx", F.transform("px", lambda v: v.cast("double")).alias("b")), ["video_id", "frame_idx"])
+    n = F.size("a")
+    means = pairs.withColumns({"ma": vector.total("a") / n, "mb": vector.total("b") / n})
+    product = lambda f: vector.total(F.zip_with("a", "b", f)) / n
+    x, y = lambda v: v - F.col("ma"), lambda v: v - F.col("mb")
+    stats = means.select(
+        "video_id", "frame_idx", "ma", "mb", product(lambda p, q: (p - q) * (p - q)).alias("mse"),
+        product(lambda p, q: x(p) * x(p)).alias("va"), product(lambda p, q: y(q) * y(q)).alias("vb"), product(lambda p, q: x(p) * y(q)).alias("c"),
+    )
     return stats.select("video_id", "frame_idx", measures.psnr(F.col("mse")).alias("psnr"), measures.global_ssim(*[F.col(c) for c in ("ma", "mb", "va", "vb", "c")]).alias("ssim"))
 
 
-def temporal_stack(frames: DataFrame, size: int) -> DataFrame:
+def hybrid_blend(frames: DataFrame, keys: DataFrame, share: float) -> DataFrame:
+    """(video_id, frame_idx, px): each frame mixed with the last key picture, ``share`` of it; key frames stand as they are.
+
+    keys: (video_id, frame_idx, px). A frame before the first key stands too.
+    """
+    places = keys.groupBy("video_id").agg(F.sort_array(F.collect_list("frame_idx")).alias("places"))  # one short list a video
+    last = F.array_max(F.filter("places", lambda k: k <= F.col("frame_idx")))
+    at = frames.join(places, "video_id", "left").select("video_id", "frame_idx", "px", last.alias("key"))
+    both = at.join(keys.select("video_id", F.col("frame_idx").alias("key"), F.col("px").alias("k")), ["video_id", "key"], "left")
+    mixed = F.zip_with("px", "k", lambda p, q: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(p * (1.0 - share) + q * share, 6)))).cast("int"))
+    return both.select("video_id", "frame_idx", F.when(F.col("k").isNull() | (F.col("key") == F.col("frame_idx")), F.col("px")).otherwise(mixed).alias("px"))
+
+
+def temporal_stack(frames: DataFrame, size: int, chunk: int | None = 4096) -> DataFrame:
     """(video_id, frame_idx, stack): the last ``size`` label maps with the current one, padded in front with the first."""
-    held = F.collect_list("labels").over(frame_window().rowsBetween(-(size - 1), 0))
-    return frames.withColumn("h", held).select("video_id", "frame_idx", F.concat(F.array_repeat(F.col("h")[0], F.lit(size) - F.size("h")), F.col("h")).alias("stack"))
+
+    def make(rows: DataFrame, window) -> DataFrame:
+        held = rows.withColumn("h", F.collect_list("labels").over(window.rowsBetween(-(size - 1), 0)))
+        return held.withColumn("stack", F.concat(F.array_repeat(F.col("h")[0], F.lit(size) - F.size("h")), F.col("h"))).drop("h", "labels")
+
+    return chunked(frames.select("video_id", "frame_idx", "labels"), chunk, size - 1, make)
 
 
 class _Smooth:

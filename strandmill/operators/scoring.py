@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions import vector
-from strandmill.operators.windows import frame_window
+from strandmill.operators.windows import chunked
 
 
-def pixel_motion(frames: DataFrame, scale: float = 255.0, first: float = 1.0) -> DataFrame:
+def _before(frames: DataFrame, col: str, chunk: int | None) -> DataFrame:
+    """(video_id, frame_idx, col, before): the value of the frame before, null at first."""
+    return chunked(frames.select("video_id", "frame_idx", col), chunk, 1, lambda rows, window: rows.withColumn("before", F.lag(col).over(window)))
+
+
+def pixel_motion(frames: DataFrame, scale: float = 255.0, first: float = 1.0, chunk: int | None = 4096) -> DataFrame:
     """(video_id, frame_idx, motion): mean absolute change of px against the frame before."""
-    before = F.lag("px").over(frame_window())
-    return frames.withColumn("__before", before).select("video_id", "frame_idx", F.coalesce(vector.mean_abs_diff(F.col("px"), F.col("__before")) / scale, F.lit(first)).alias("motion"))
+    return _before(frames, "px", chunk).select("video_id", "frame_idx", F.coalesce(vector.mean_abs_diff(F.col("px"), F.col("before")) / scale, F.lit(first)).alias("motion"))
 
 
-def level_motion(frames: DataFrame) -> DataFrame:
+def level_motion(frames: DataFrame, chunk: int | None = 4096) -> DataFrame:
     """(video_id, frame_idx, motion): change of level against the frame before, as a share of the video's largest; 1 at first."""
-    step = frames.select("video_id", "frame_idx", F.abs(F.col("level") - F.lag("level").over(frame_window())).alias("step"))
+    step = _before(frames, "level", chunk).select("video_id", "frame_idx", F.abs(F.col("level") - F.col("before")).alias("step"))
     most = step.groupBy("video_id").agg(F.max("step").alias("most"))
     return step.join(most, "video_id").select("video_id", "frame_idx", F.when(F.col("step").isNull(), F.lit(1.0)).when(F.col("most") > 0, F.col("step") / F.col("most")).otherwise(F.lit(0.0)).alias("motion"))
 

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators import thresholds
+from strandmill.operators.order_statistics import at_places, quantiles, top_rows
 from strandmill.operators.sequential import Collecting, fold
+from strandmill.session import durable
 
 GAP, PENALTY = 4, 0.45
 
 
-def ranked(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "frame_idx")))
-
-
 def keep_counts(scores: DataFrame, ratio: float) -> DataFrame:
     """(video_id, n, k): k = the ratio of n rounded half to even, at least 1."""
     return scores.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * ratio).cast("long")))
@@ -24,7 +22,7 @@ def keep_counts(scores: DataFrame, ratio: float) -> DataFrame:
 
 def top_ratio(scores: DataFrame, ratio: float) -> DataFrame:
     """(video_id, frame_idx, score) of the top k of each video."""
-    return ranked(scores).join(keep_counts(scores, ratio), "video_id").where("rank <= k").select("video_id", "frame_idx", "score")
+    return top_rows(scores, keep_counts(scores, ratio)).select("video_id", "frame_idx", "score")
 
 
 def target_ratio(scores: DataFrame, ratio: float) -> DataFrame:
@@ -120,13 +118,9 @@ def adaptive_plan(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float |
     first = scores.select("video_id").distinct().withColumn("tau0", F.lit(tau).cast("double")) if tau is not None else thresholds.adaptive_tau(scores, cfg).withColumnRenamed("tau", "tau0")
     above = scores.join(first, "video_id").groupBy("video_id", "tau0").agg(F.sum((F.col("score") > F.round("tau0", 9)).cast("long")).alias("above"))
     if tau is None:
-        ranked_ = ranked(scores).join(bounds.select("video_id", "n", "soft_n"), "video_id")
-        # the linear quantile at 1 - share lies between two neighbours by rank
+        # the linear quantile at 1 - the share of soft_n
         place = (F.lit(1.0) - F.col("soft_n") / F.col("n")) * (F.col("n") - 1)
-        low, part = F.floor(F.round(place, 9)), F.round(place, 9) - F.floor(F.round(place, 9))
-        up = F.col("n") - F.col("rank")
-        share = F.when(up == low, 1 - part).when(up == low + 1, part)
-        tau2 = ranked_.withColumn("__w", share).where("__w is not null").groupBy("video_id").agg(F.sum(F.col("score") * F.col("__w")).alias("tau2"))
+        tau2 = at_places(scores.select("video_id", F.col("score").alias("value")), {"tau2": place}, bounds.select("video_id", "soft_n")).select("video_id", "tau2")
     else:
         tau2 = bounds.select("video_id", F.lit(float(tau)).alias("tau2"))
     both = bounds.join(above, "video_id").join(tau2, "video_id")
@@ -137,10 +131,11 @@ def adaptive_plan(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float |
 def adaptive_select(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float | None = None) -> DataFrame:
     """(video_id, frame_idx, score, tau) of the frames kept.
 
-    Videos with more frames above the threshold than n_max are thinned with gaps; the others, by rank.
+    Videos with more frames above the threshold than n_max are thinned with gaps; the others, by rank. The scores are read
+    several times, so they had better be ``session.durable``.
     """
-    plan = adaptive_plan(scores, bounds, cfg, tau)
-    by_rank = ranked(scores).join(plan.where("not too_many"), "video_id").where("rank <= k").select("video_id", "frame_idx", "score", "tau")
+    plan = durable(adaptive_plan(scores, bounds, cfg, tau))
+    by_rank = top_rows(scores, plan.where("not too_many")).select("video_id", "frame_idx", "score", "tau")
     many = scores.join(plan.where("too_many"), "video_id").select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "score", "k", "tau")
 
     class Thin(Collecting):
@@ -155,7 +150,7 @@ def adaptive_select(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float
 def motion_gate(motion: DataFrame, fraction: float = 0.35, floor_interval: int = 6) -> DataFrame:
     """(video_id, frame_idx, motion, candidate): frames of much motion, and every ``floor_interval``-th, go to the heavy model."""
     fraction = min(1.0, max(0.05, fraction))
-    limit = motion.groupBy("video_id").agg(F.expr(f"percentile(motion, {1.0 - fraction!r}D)").alias("limit"))
+    limit = quantiles(motion.select("video_id", F.col("motion").alias("value")), {"limit": 1.0 - fraction})
     by_motion = F.col("motion") >= F.round("limit", 9)
     by_place = (F.col("frame_idx") % floor_interval == 0) if floor_interval > 0 else F.lit(False)
     return motion.withColumn("motion", F.round("motion", 9)).join(limit, "video_id").select("video_id", "frame_idx", "motion", (by_motion | by_place).alias("candidate"))

@@ -1,39 +1,37 @@
-"""Distribution statistics, thresholds and retention bounds, one row a video.
-
-Percentiles are exact; Spark computes them from partial counts of distinct values, so no group meets in one task before
-it is aggregated.
-"""
+"""Distribution statistics, thresholds and retention bounds, one row a video. Percentiles are exact."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.operators.order_statistics import quantiles
+
+
+def _values(scores: DataFrame, col: str = "score") -> DataFrame:
+    return scores.select("video_id", F.col(col).cast("double").alias("value"))
+
 
 def score_stats(scores: DataFrame) -> DataFrame:
     share = lambda cond: F.avg(cond.cast("double"))
     s = F.col("score")
-    return scores.groupBy("video_id").agg(
-        F.min(s).alias("min"), F.max(s).alias("max"), F.expr("percentile(score, 0.5)").alias("median"), F.expr("percentile(score, 0.9)").alias("p90"),
-        share(s < 1e-4).alias("frac_below_1e4"), share(s > 0.01).alias("frac_above_001"),
-    )
+    rest = scores.groupBy("video_id").agg(F.min(s).alias("min"), F.max(s).alias("max"), share(s < 1e-4).alias("frac_below_1e4"), share(s > 0.01).alias("frac_above_001"))
+    found = rest.join(quantiles(_values(scores), {"median": 0.5, "p90": 0.9}), "video_id", "left")
+    return found.select("video_id", "min", "max", "median", "p90", "frac_below_1e4", "frac_above_001")
 
 
 def calibrate_tau(scores: DataFrame, ratio: float) -> DataFrame:
     """(video_id, tau): the quantile above which a share ``ratio``, held to 0.01 to 0.99, lies."""
-    ratio = min(0.99, max(0.01, ratio))
-    return scores.groupBy("video_id").agg(F.expr(f"percentile(score, {1.0 - ratio!r}D)").alias("tau"))
+    return quantiles(_values(scores), {"tau": 1.0 - min(0.99, max(0.01, ratio))}).select("video_id", "tau")
 
 
 def adaptive_tau(scores: DataFrame, cfg: dict) -> DataFrame:
     """(video_id, tau): median + m * MAD of the scores over their 95th percentile, with a flat quantile for flat clips."""
     a = cfg["adaptive"]
-    flat_q, floor_q = float(a["flat_quantile"]), float(a["min_tau_quantile"])
-    first = scores.groupBy("video_id").agg(
-        (F.expr("percentile(score, 0.95)") + F.lit(1e-12)).alias("scale"), F.expr("percentile(score, 0.5)").alias("mid"),
-        F.expr(f"percentile(score, {flat_q!r}D)").alias("flat"), F.expr(f"percentile(score, {floor_q!r}D)").alias("low"),
-    )
-    spread = scores.join(first.select("video_id", "scale", "mid"), "video_id").groupBy("video_id").agg(F.expr("percentile(abs(score / scale - mid / scale), 0.5)").alias("mad0"))
+    first = quantiles(_values(scores), {"p95": 0.95, "mid": 0.5, "flat": float(a["flat_quantile"]), "low": float(a["min_tau_quantile"])})
+    first = first.withColumn("scale", F.col("p95") + F.lit(1e-12))
+    away = scores.join(first.select("video_id", "scale", "mid"), "video_id").select("video_id", F.abs(F.col("score") / F.col("scale") - F.col("mid") / F.col("scale")).alias("value"))
+    spread = quantiles(away, {"mad0": 0.5}).select("video_id", "mad0")
     mad = F.col("mad0") + F.lit(1e-12)
     by_mad = F.when(mad < 0.02, F.col("flat") / F.col("scale")).otherwise(F.col("mid") / F.col("scale") + float(a["mad_multiplier"]) * mad)
     tau = F.when(F.col("scale") < 1e-4, F.col("flat")).otherwise(F.greatest(by_mad, F.col("low") / F.col("scale") * 0.5) * F.col("scale"))

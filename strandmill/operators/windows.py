@@ -29,7 +29,12 @@ def halo_chunks(frames: DataFrame, chunk: int, halo: int) -> DataFrame:
     return frames.withColumn("chunk", F.explode(F.sequence(own, reach))).withColumn("halo", F.col("chunk") != own)
 
 
-def chunked(frames: DataFrame, chunk: int, halo: int, make) -> DataFrame:
-    """``make(frames, window)`` per chunk, without the halo rows."""
+def chunked(frames: DataFrame, chunk: int | None, halo: int, make) -> DataFrame:
+    """``make(frames, window)`` per chunk, without the halo rows; in one piece if ``chunk`` is None, as frame_idx with gaps needs it.
+
+    ``make`` keeps the columns halo and chunk.
+    """
+    if chunk is None:
+        return make(frames, frame_window())
     out = make(halo_chunks(frames, chunk, halo), frame_window("chunk"))
     return out.where(~F.col("halo")).drop("halo", "chunk")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators import codec, reconstruct
+from strandmill.operators import codec, imaging, reconstruct
 from strandmill.sources import hooks
 
 MODES = ("soft_edge", "hybrid", "rgb_only", "h264_only")
@@ -21,11 +21,12 @@ def mode_of(cfg: dict) -> str:
     return "hybrid" if edge["rgb_keyframe_interval"] > 0 else "soft_edge"
 
 
-def compress(frames: DataFrame, cfg: dict, pictures: DataFrame | None = None) -> DataFrame:
+def compress(frames: DataFrame, cfg: dict, pictures: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
     """(video_id, frame_idx, payload) of label frames (video_id, frame_idx, labels).
 
     soft_edge codes every frame's edges; hybrid sends each ``rgb_keyframe_interval``-th frame as a coded picture, which
-    starts a segment; rgb_only sends those alone. pictures: (video_id, frame_idx, picture), coded by a hook.
+    starts a segment; rgb_only sends those alone. pictures: (video_id, frame_idx, picture), coded already, or raw:
+    (video_id, frame_idx, height, width, n_channels, data), which the hook named by codec.picture codes.
     """
     edge, mode = cfg["soft_edge"], mode_of(cfg)
     if mode == "h264_only":
@@ -33,15 +34,33 @@ def compress(frames: DataFrame, cfg: dict, pictures: DataFrame | None = None) ->
     keys = int(edge["rgb_keyframe_interval"])
     if mode == "soft_edge":
         return codec.edge_packets(codec.delta_encode(frames, edge["keyframe_interval"]), frames)
+    name = cfg.get("codec", {}).get("picture", "zlib")
+    if pictures is None and raw is None:
+        raise ValueError("key pictures are asked for, but neither coded nor raw pictures are given")
+    is_key = F.col("frame_idx") % keys == 0
     if pictures is None:
-        hooks.lookup("encode_picture", "jpeg")
-    anchors = codec.key_packets(pictures.where(F.col("frame_idx") % keys == 0))
+        kind = raw.schema["frame_idx"].dataType.simpleString()
+        pictures = hooks.apply(raw.where(is_key), "encode_picture", name, f"video_id string, frame_idx {kind}, picture binary")
+    anchors = codec.key_packets(pictures.where(is_key))
     if mode == "rgb_only":
         return anchors
-    between = frames.where(F.col("frame_idx") % keys != 0)
+    between = frames.where(~is_key)
     return anchors.unionByName(codec.edge_packets(codec.delta_encode(between, keys), between))
 
 
+def decode_keys(packets: DataFrame, name: str = "zlib") -> DataFrame:
+    """(video_id, frame_idx, height, width, n_channels, data) of the key packets, by the hook ``name``."""
+    rows = codec.unpack_packets(packets).where("tag = 'K'").select("video_id", "frame_idx", "picture")
+    kind = rows.schema["frame_idx"].dataType.simpleString()
+    return hooks.apply(rows, "decode_picture", name, f"video_id string, frame_idx {kind}, height int, width int, n_channels int, data binary")
+
+
+def playback(packets: DataFrame, frames: DataFrame, interval: int, name: str = "zlib") -> DataFrame:
+    """(video_id, frame_idx, px) of a stream with key pictures, for ``frames`` (video_id, frame_idx): what lies between keys is filled in."""
+    px = imaging.to_pixels(decode_keys(packets, name))
+    return reconstruct.linear_interpolation(frames.select("video_id", "frame_idx").join(px, ["video_id", "frame_idx"], "left"), interval)
+
+
 def decompress(packets: DataFrame, interval: int) -> DataFrame:
     """(video_id, frame_idx, labels) of edge packets; the interval comes with the stream."""
     rows = codec.unpack_packets(packets)

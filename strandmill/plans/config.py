@@ -71,7 +71,7 @@ COMPRESS: dict[str, dict[str, Any]] = {
     "video": {"max_frames": None, "frame_stride": 1},
     "soft_edge": {"canny_low": 60, "canny_high": 150, "num_clusters": 8, "global_palette": True, "keyframe_interval": 90, "storage_downscale": 8, "rgb_keyframe_interval": 0, "edge_dilate": 0},
     "processing": {"max_height": 720, "edge_max_height": 360},
-    "codec": {"zlib_level": 1},
+    "codec": {"zlib_level": 1, "picture": "zlib"},
     "delivery": {"h264_annex": True, "h264_crf": 28, "h264_preset": "fast", "h264_max_height": 720},
     "transmit": {"extra_crf": 2, "h264_crf": None},
     "decompress": {"playback": "h264_annex"},

@@ -149,6 +149,31 @@ qu AS (
          (2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225) / ((avg(a) * avg(a) + avg(b) * avg(b) + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)) AS ssim
   FROM pr GROUP BY ALL)"""
 
+#: Gray pixels read three times, as adapters.colour_frames does.
+COLOURS = f"""{PIXELS}, cl AS (SELECT video_id, frame_idx, CAST(p AS INT) AS p, px[p + 1] AS b, px[(p + 21) % 64 + 1] AS g, px[(p + 42) % 64 + 1] AS r FROM (SELECT *, unnest(range(64)) AS p FROM fr))"""
+
+
+def _shrunk(h: int, w: int, to_h: int, to_w: int) -> str:
+    """Area means of pc (video_id, frame_idx, p, v), h x w pixels, as rs (video_id, frame_idx, y, x, v)."""
+
+    def cover(n: int, m: int, o: str, i: str) -> str:
+        return f"greatest(0, least(({o} + 1) * {n} / {m}.0, {i} + 1) - greatest({o} * {n} / {m}.0, {i})) * {m} / {n}.0"
+
+    return f"""rs AS (
+  SELECT video_id, frame_idx, y, x, CAST(round_even(round(sum({cover(h, to_h, 'y', f'(p // {w})')} * {cover(w, to_w, 'x', f'(p % {w})')} * v), 9), 0) AS INT) AS v
+  FROM pc, (SELECT range AS y FROM range({to_h})), (SELECT range AS x FROM range({to_w})) GROUP BY ALL)"""
+
+
+#: Scores of the motion-gated run: the frames that pass are scored in full against each other's history.
+GATED = ",\n".join([
+    GRID, _carried(8), MOTION, WEIGHTS, GRID_FEATURES,
+    """gl AS (SELECT video_id, quantile_cont(motion, 0.65) AS lim FROM mo GROUP BY ALL),
+gt AS (SELECT video_id, frame_idx, round(motion, 9) AS m, round(motion, 9) >= round(lim, 9) OR frame_idx % 6 = 0 AS candidate FROM mo JOIN gl USING (video_id)),
+gc AS (SELECT gf.* FROM gf JOIN gt USING (video_id, frame_idx) WHERE candidate)""",
+    _uniform("gc", "cx", 15, 3), BLEND,
+    "gs AS (SELECT gt.video_id, gt.frame_idx, CASE WHEN candidate THEN coalesce(score, m) ELSE m END AS score FROM gt LEFT JOIN sc USING (video_id, frame_idx))",
+])
+
 TRACKED = """bx AS (
   SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, CAST(dayofyear(l_shipdate) AS INT) AS frame_idx, CAST(l_linenumber % 10 AS INT) AS class_id, l_discount * 5 + 0.2 AS conf FROM lineitem)"""
 
@@ -158,7 +183,7 @@ def _joined(col: str) -> str:
 
 
 SQL: dict[str, str] = {
-    "frame_scan": "SELECT 'v' AS video_id, CAST(vec_id // 2 AS INT) AS frame_idx, vec_id AS src_idx, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 200",
+    "frame_scan": "SELECT 'v' || (vec_id // 100) AS video_id, CAST(vec_id % 100 // 2 AS INT) AS frame_idx, vec_id % 100 AS src_idx, label FROM embeddings WHERE vec_id % 100 % 2 = 0",
     "video_probe": """
         SELECT doc_id AS video_id, round(CASE WHEN doc_id % 40 <= 1 THEN 24.0 WHEN doc_id % 40 BETWEEN 23.9 AND 24.1 THEN 24000.0 / 1001.0 ELSE doc_id % 40 END, 6)::DOUBLE AS fps,
                CASE WHEN n_chars % 1000 > 0 THEN CAST(ceil((n_chars % 1000) / 2.0) AS BIGINT) END AS frames_estimate FROM documents""",
@@ -231,6 +256,99 @@ SQL: dict[str, str] = {
         ma AS (SELECT video_id, (video_id, frame_idx) IN (SELECT (video_id, frame_idx) FROM nk) AS a, (video_id, frame_idx) IN (SELECT (video_id, frame_idx) FROM uk) AS b FROM al)
         SELECT video_id, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard
         FROM ma GROUP BY ALL""",
+    "kept_frame_sink": f"WITH {PIXELS} SELECT video_id, CAST(frame_idx // 10 AS INT) AS frame_idx, {_joined('px')} AS px FROM fr WHERE frame_idx % 10 = 0",
+    "materialised_scan": f"WITH {PIXELS} SELECT video_id, count(*) AS n, round(avg(list_sum(px) / 64.0), 6) AS mean_level FROM fr GROUP BY ALL",
+    "resize_frames": f"""
+        WITH {PIXELS}, pc AS (SELECT video_id, frame_idx, p, px[p + 1] AS v FROM (SELECT *, unnest(range(64)) AS p FROM fr)), {_shrunk(16, 4, 14, 4)}
+        SELECT video_id, frame_idx, string_agg(v, ',' ORDER BY y, x) AS px, 14::INT AS height, 4::INT AS width, true AS scaled FROM rs GROUP BY ALL""",
+    "resize_truncating": f"""
+        WITH {PIXELS}, pc AS (SELECT video_id, frame_idx, p, px[p + 1] AS v FROM (SELECT *, unnest(range(64)) AS p FROM fr)), {_shrunk(16, 4, 14, 3)}
+        SELECT video_id, frame_idx, string_agg(v, ',' ORDER BY y, x) AS px, 14::INT AS height, 3::INT AS width FROM rs GROUP BY ALL""",
+    "gray_thumbnail": f"""
+        WITH {COLOURS}, pc AS (SELECT video_id, frame_idx, p, round_even(round(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 9), 0) AS v FROM cl), {_shrunk(8, 8, 4, 4)}
+        SELECT video_id, frame_idx, string_agg(v, ',' ORDER BY y, x) AS px FROM rs GROUP BY ALL""",
+    "rgb_order": f"WITH {COLOURS} SELECT video_id, frame_idx, string_agg(r || ',' || g || ',' || b, ',' ORDER BY p) AS px FROM cl GROUP BY ALL",
+    "dilate_labels": f"""
+        WITH {LABELS}, lp AS (SELECT video_id, frame_idx, p // 8 AS y, p % 8 AS x, labels[p + 1] AS l FROM (SELECT *, unnest(range(64)) AS p FROM lf)),
+        dl AS (SELECT a.video_id, a.frame_idx, a.y, a.x, max(b.l) AS l FROM lp a JOIN lp b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
+        SELECT video_id, frame_idx, string_agg(l, ',' ORDER BY y, x) AS labels FROM dl GROUP BY ALL""",
+    "class_count_map": f"""
+        WITH {GRID}, cc AS (SELECT video_id, class_id, count(*) AS n FROM ev GROUP BY ALL)
+        SELECT video_id, CAST(count(*) AS INT) AS classes, '{{' || string_agg('"' || class_id || '":' || n, ',' ORDER BY class_id::VARCHAR) || '}}' AS counts FROM cc GROUP BY ALL""",
+    "gated_sampling": f"""
+        WITH {GATED}, ta AS (SELECT video_id, quantile_cont(score, 0.8) AS tau, greatest(1, round_even(count(*) * 0.2, 0)) AS k FROM gs GROUP BY ALL)
+        SELECT video_id, frame_idx, round(score, 6) AS score, round(tau, 6) AS tau FROM gs JOIN ta USING (video_id)
+        QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) <= k""",
+    "online_selection": f"""
+        WITH {NON_UNIFORM}, wu AS (SELECT *, row_number() OVER w AS rn, median(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mid FROM nu WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+        ot AS (SELECT video_id, quantile_cont(score, 0.8) AS tau FROM wu WHERE rn <= 30 GROUP BY ALL)
+        SELECT video_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(score, 6) AS score, CASE WHEN rn < 30 THEN score >= mid ELSE score > tau END AS kept, CASE WHEN rn >= 30 THEN round(tau, 6) END AS tau
+        FROM wu JOIN ot USING (video_id)""",
+    "gap_topk": f"""
+        WITH RECURSIVE {NON_UNIFORM}, ra AS (
+          SELECT video_id, frame_idx, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) AS rn, greatest(1, round_even(count(*) OVER (PARTITION BY video_id) * 0.3, 0)) AS keep FROM nu),
+        st AS (
+          SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS chosen FROM ra
+          UNION ALL
+          SELECT st.video_id, ra.rn, CASE WHEN len(chosen) < keep AND len(list_filter(chosen, lambda c: abs(c - ra.frame_idx) < 4)) = 0 THEN list_append(chosen, ra.frame_idx) ELSE chosen END
+          FROM st JOIN ra ON ra.video_id = st.video_id AND ra.rn = st.rn + 1),
+        fi AS (SELECT video_id, chosen FROM st QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY rn DESC) = 1),
+        ma AS (SELECT ra.*, list_contains(chosen, ra.frame_idx) AS own FROM ra JOIN fi USING (video_id))
+        SELECT video_id, CAST(frame_idx AS BIGINT) AS frame_idx, round(score, 6) AS score FROM ma QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY own DESC, rn) <= keep""",
+    "diverse_topk": f"""
+        WITH RECURSIVE {NON_UNIFORM}, si AS (SELECT a.video_id, a.frame_idx AS i, b.frame_idx AS j, list_dot_product(a.feat, b.feat) AS s FROM f a JOIN f b USING (video_id)),
+        sl AS (SELECT video_id, i, list(s ORDER BY j) AS sims FROM si GROUP BY ALL),
+        al AS (SELECT nu.video_id, list({{'i': nu.frame_idx, 's': score, 'sims': sims}} ORDER BY nu.frame_idx) AS frames, greatest(1, round_even(count(*) * 0.2, 0)) AS keep
+               FROM nu JOIN sl ON sl.video_id = nu.video_id AND sl.i = nu.frame_idx GROUP BY ALL),
+        st AS (
+          SELECT video_id, CAST([] AS INT[]) AS chosen, 4 AS gap FROM al
+          UNION ALL
+          SELECT video_id, CASE WHEN best IS NULL THEN chosen ELSE list_append(chosen, best) END, CASE WHEN best IS NULL THEN gap - 1 ELSE gap END
+          FROM (
+            SELECT st.video_id, chosen, gap, list_reduce(list_prepend({{'w': -1e9::DOUBLE, 'i': NULL::INT}}, list_transform(
+                list_filter(frames, lambda x: len(list_filter(chosen, lambda c: abs(c - x.i) < gap)) = 0),
+                lambda x: {{'w': x.s - CASE WHEN len(chosen) = 0 THEN 0.0 ELSE 0.45 * list_max(list_transform(chosen, lambda c: x.sims[c + 1])) END, 'i': x.i}})),
+              lambda acc, x: CASE WHEN x.w > acc.w THEN x ELSE acc END).i AS best
+            FROM st JOIN al USING (video_id) WHERE len(chosen) < keep AND gap >= 1)),
+        fi AS (SELECT video_id, chosen FROM st QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY len(chosen) DESC) = 1)
+        SELECT nu.video_id, CAST(nu.frame_idx AS BIGINT) AS frame_idx, round(score, 6) AS score FROM nu JOIN fi ON fi.video_id = nu.video_id AND list_contains(chosen, nu.frame_idx)""",
+    "hybrid_stream": f"""
+        WITH {LABELS} SELECT video_id, frame_idx, CASE WHEN frame_idx % 10 = 0 THEN 'K' ELSE 'E' END AS tag, CASE WHEN frame_idx % 10 = 0 THEN {_joined('px')} ELSE {_joined('labels')} END AS content
+        FROM lf JOIN fr USING (video_id, frame_idx)""",
+    "rgb_only_playback": f"WITH {BETWEEN_KEYS} SELECT video_id, frame_idx, {_joined('px')} AS px FROM ki",
+    "hybrid_blend": f"""
+        WITH {PIXELS} SELECT a.video_id, a.frame_idx, array_to_string(CASE WHEN a.frame_idx % 10 = 0 THEN a.px ELSE
+          list_transform(list_zip(a.px, b.px), lambda p: CAST(greatest(0, least(255, floor(round(p[1] * 0.75 + p[2] * 0.25, 6)))) AS INT)) END, ',') AS px
+        FROM fr a JOIN fr b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx // 10 * 10""",
+    "compression_summary": f"""
+        WITH {TRIPLES}, sz AS (SELECT video_id, n, coalesce(pixels, 0) * 6 AS c, floor(n * 997 * (n / 120)) AS o
+          FROM (SELECT video_id, count(*) AS n FROM lf GROUP BY ALL) LEFT JOIN (SELECT video_id, count(*) AS pixels FROM tr GROUP BY ALL) USING (video_id))
+        SELECT video_id, n AS n_frames, round(o / 1048576.0, 6) AS original_mb, round(c / 1048576.0, 6) AS compressed_mb, round((1 - c / o) * 100, 6) AS saving_pct FROM sz""",
+    "ssim_windowed": f"""
+        WITH {BETWEEN_KEYS}, pr AS (SELECT fr.video_id, fr.frame_idx, p // 8 AS y, p % 8 AS x, CAST(fr.px[p + 1] AS DOUBLE) AS a, CAST(ki.px[p + 1] AS DOUBLE) AS b
+          FROM fr JOIN ki USING (video_id, frame_idx), (SELECT range AS p FROM range(64))),
+        wi AS (SELECT video_id, frame_idx, oy, ox, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c
+          FROM pr, (SELECT range AS oy FROM range(2)), (SELECT range AS ox FROM range(2)) WHERE y BETWEEN oy AND oy + 6 AND x BETWEEN ox AND ox + 6 GROUP BY ALL)
+        SELECT video_id, frame_idx, round(avg((2 * ma * mb + 6.5025) * (2 * c + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 6) AS ssim FROM wi GROUP BY ALL""",
+    "ema_smooth": f"""
+        WITH RECURSIVE {PIXELS}, mi AS (
+          SELECT video_id, frame_idx, list_transform(range(1, 65), lambda i: CASE WHEN p1 IS NULL THEN px[i]::FLOAT
+              WHEN p2 IS NULL THEN floor(greatest(0::FLOAT, least(255::FLOAT, p1[i]::FLOAT * 0.55::FLOAT + px[i]::FLOAT * 0.45::FLOAT)))::FLOAT
+              ELSE floor(greatest(0::FLOAT, least(255::FLOAT, (p2[i]::FLOAT * 0.55::FLOAT + p1[i]::FLOAT * 0.45::FLOAT) * 0.55::FLOAT + px[i]::FLOAT * 0.45::FLOAT)))::FLOAT END) AS m
+          FROM (SELECT *, lag(px) OVER w AS p1, lag(px, 2) OVER w AS p2 FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))),
+        sm AS (
+          SELECT video_id, frame_idx, m FROM mi WHERE frame_idx = 0
+          UNION ALL
+          SELECT mi.video_id, mi.frame_idx, list_transform(list_zip(mi.m, sm.m), lambda p: floor(greatest(0::FLOAT, least(255::FLOAT,
+            p[1] * (1::FLOAT - CASE WHEN mi.frame_idx % 30 = 0 THEN 0.36::FLOAT ELSE 0.3::FLOAT END) + p[2] * CASE WHEN mi.frame_idx % 30 = 0 THEN 0.36::FLOAT ELSE 0.3::FLOAT END)))::FLOAT)
+          FROM sm JOIN mi ON mi.video_id = sm.video_id AND mi.frame_idx = sm.frame_idx + 1)
+        SELECT video_id, CAST(frame_idx AS BIGINT) AS frame_idx, array_to_string(list_transform(m, lambda v: v::INT), ',') AS px FROM sm""",
+    "box_overlap": """
+        WITH b AS (
+          SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, dayofyear(l_shipdate) AS frame_idx, l_orderkey * 8 + l_linenumber AS det, (l_partkey % 640)::DOUBLE AS cx, (l_suppkey % 360)::DOUBLE AS cy, l_quantity / 2 + 8 AS half FROM lineitem),
+        p AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(half) OVER w AS ph FROM b WINDOW w AS (PARTITION BY video_id, frame_idx ORDER BY det)),
+        o AS (SELECT *, greatest(0.0, least(cx + half, px + ph) - greatest(cx - half, px - ph)) * greatest(0.0, least(cy + half, py + ph) - greatest(cy - half, py - ph)) AS ov FROM p WHERE px IS NOT NULL)
+        SELECT video_id, det, round(CASE WHEN ov <= 0 THEN 0.0 ELSE ov / (4 * half * half + 4 * ph * ph - ov + 1e-8) END, 6) AS iou FROM o""",
     "delta_encode": f"WITH {TRIPLES} SELECT video_id, frame_idx, CAST(y AS INT) AS y, CAST(x AS INT) AS x, label FROM tr",
     "delta_decode": f"WITH {LABELS} SELECT video_id, frame_idx, {_joined('labels')} AS labels FROM lf",
     "packet_sizes": f"""
@@ -242,7 +360,7 @@ SQL: dict[str, str] = {
     "storage_downscale": f"WITH {LABELS} SELECT video_id, frame_idx, {_joined('list_transform(range(16), lambda i: labels[1 + (i // 4) * 16 + (i % 4) * 2])')} AS labels FROM lf",
     "palette_assign": f"""
         WITH {PIXELS}, pal(k, pr, pg, pb) AS (VALUES {_PALETTE_ROWS}),
-        pt AS (SELECT video_id, frame_idx, CAST(p AS INT) AS p, px[p + 1] AS r, px[p + 2] AS g, px[p + 3] AS b FROM (SELECT *, unnest(range(0, 61, 3)) AS p FROM fr)),
+        pt AS (SELECT video_id, frame_idx, CAST(p AS INT) AS p, px[(p + 42) % 64 + 1] AS r, px[(p + 21) % 64 + 1] AS g, px[p + 1] AS b FROM (SELECT *, unnest(range(64)) AS p FROM fr)),
         nn AS (SELECT video_id, frame_idx, p, arg_min(k, ((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) * 100 + k) AS k FROM pt CROSS JOIN pal GROUP BY ALL)
         SELECT video_id, frame_idx, p, CAST(nn.k + 1 AS INT) AS label, CAST(pr AS INT) AS soft_r, CAST(pg AS INT) AS soft_g, CAST(pb AS INT) AS soft_b FROM nn JOIN pal USING (k)""",
     "key_interp_linear": f"WITH {BETWEEN_KEYS} SELECT video_id, frame_idx, {_joined('px')} AS px FROM ki",

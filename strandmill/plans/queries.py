@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions import measures, vector
 from strandmill.functions.vocabulary import class_name
-from strandmill.functions import vector
-from strandmill.operators import baselines, codec, context, detections, reconstruct, scoring, selection, thresholds, tracking
-from strandmill.operators.windows import frame_window, history
+from strandmill.operators import baselines, codec, context, detections, imaging, reconstruct, scoring, selection, thresholds, tracking
+from strandmill.operators.windows import chunked
 from strandmill.plans import compressor, report, sampler
 from strandmill.plans.config import config
+from strandmill.session import durable, shared_folder
 from strandmill.sources import adapters, bitstream, scan
 from strandmill.streaming.online import online_keep
 
@@ -26,9 +30,10 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 # -- sources
 
 def frame_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Strided, limited scan."""
-    src = adapters.table(spark, d, "embeddings").select(F.lit("v").alias("video_id"), F.col("vec_id").alias("src_idx"), "label")
-    return scan.scan(src, 2, 100).select("video_id", "frame_idx", "src_idx", "label")
+    """Strided scan of every video."""
+    e = adapters.table(spark, d, "embeddings")
+    src = e.select(F.concat(F.lit("v"), F.floor(F.col("vec_id") / adapters.VIDEO_FRAMES).cast("string")).alias("video_id"), (F.col("vec_id") % adapters.VIDEO_FRAMES).alias("src_idx"), "label")
+    return scan.scan(src, 2).select("video_id", "frame_idx", "src_idx", "label")
 
 
 def video_probe(spark: SparkSession, d: str) -> DataFrame:
@@ -43,12 +48,29 @@ def kept_frame_scan(spark: SparkSession, d: str) -> DataFrame:
     return selection.kept_frames(px, kept).select(*KEYS, F.array_join("px", ",").alias("px"))
 
 
+def kept_frame_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Kept frames written as raw files, by one task a video, and read back with a stride."""
+    folder = f"{urlparse(shared_folder(spark)).path}/raw-{uuid.uuid4().hex}"
+    px = adapters.gray_frames(spark, d)
+    scan.write_raw(imaging.from_pixels(selection.every_kth(px, 5), 8, 8), folder)
+    back = imaging.to_pixels(spark.read.format("raw_frames").option("stride", 2).load(folder))
+    return durable(back.select(*KEYS, F.array_join("px", ",").alias("px")))
+
+
+def materialised_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Frames held for two passes: how many there are, and the mean level."""
+    held = scan.materialised(adapters.gray_frames(spark, d))
+    n, mean = held.groupBy("video_id").agg(F.count("*").alias("n")), held.groupBy("video_id").agg(F.round(F.avg(vector.mean(F.col("px"))), 6).alias("mean_level"))
+    out = durable(n.join(mean, "video_id"))
+    held.unpersist()
+    return out
+
+
 # -- features and context
 
 def delta_map_h20(spark: SparkSession, d: str) -> DataFrame:
     """Delta map over the last 20 frames."""
-    x = adapters.features(spark, d).withColumn("past", history("feat", 20))
-    return r6(x.select(*KEYS, context.delta_map(F.col("feat"), F.col("past")).alias("delta_map")), "delta_map")
+    return r6(context.delta_maps(adapters.features(spark, d), 20), "delta_map")
 
 
 def delta_map_chunked(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +87,8 @@ def novelty_uniform(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Unit norm, cosine similarity and distance to the frame before."""
-    x = adapters.features(spark, d).withColumn("feat", vector.unit(F.col("feat"))).withColumn("before", F.lag("feat").over(frame_window()))
+    x = adapters.features(spark, d).withColumn("feat", vector.unit(F.col("feat")))
+    x = chunked(x, 4096, 1, lambda rows, window: rows.withColumn("before", F.lag("feat").over(window)))
     return r6(x.where("before is not null").select(*KEYS, vector.cosine_similarity(F.col("feat"), F.col("before")).alias("similarity"), vector.cosine_distance(F.col("feat"), F.col("before")).alias("distance")), "similarity", "distance")
 
 
@@ -88,7 +111,7 @@ def semantic_ablation(spark: SparkSession, d: str) -> DataFrame:
 # -- motion and pictures
 
 def motion_lag(spark: SparkSession, d: str) -> DataFrame:
-    """Instant motion."""
+    """Instant motion."""
     return r6(scoring.pixel_motion(adapters.gray_frames(spark, d)), "motion")
 
 
@@ -104,14 +127,63 @@ def entropy_hist(spark: SparkSession, d: str) -> DataFrame:
 
 def content_aware(spark: SparkSession, d: str) -> DataFrame:
     """Kept by edge density."""
-    from strandmill.operators import imaging
-
-    px = adapters.gray_frames(spark, d)
-    to_bytes = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    frames = px.select(*KEYS, F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("n_channels"), to_bytes.alias("data"))
+    frames = imaging.from_pixels(adapters.gray_frames(spark, d), 8, 8)
     return r6(selection.top_ratio(frames.select(*KEYS, F.round(imaging.edge_density(), 9).alias("score")), RATIO), "score")
 
 
+def _listed(frames: DataFrame) -> DataFrame:
+    return imaging.to_pixels(frames).withColumn("px", F.array_join("px", ","))
+
+
+def resize_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames at most 14 high, the width rounded, and whether they were made smaller."""
+    x = imaging.resized(imaging.from_pixels(adapters.gray_frames(spark, d), 16, 4), 14)
+    return _listed(x).join(x.select(*KEYS, "height", "width", "scaled"), KEYS)
+
+
+def resize_truncating(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the width cut off."""
+    x = imaging.resized(imaging.from_pixels(adapters.gray_frames(spark, d), 16, 4), 14, round_width=False)
+    return _listed(x).join(x.select(*KEYS, "height", "width"), KEYS)
+
+
+def gray_thumbnail(spark: SparkSession, d: str) -> DataFrame:
+    """Gray levels of BGR pictures, at half size."""
+    return imaging.gray_thumbnails(adapters.colour_frames(spark, d), 4, 4).withColumn("px", F.array_join("px", ","))
+
+
+def rgb_order(spark: SparkSession, d: str) -> DataFrame:
+    """BGR to RGB."""
+    return _listed(imaging.rgb_frames(adapters.colour_frames(spark, d)))
+
+
+def dilate_labels(spark: SparkSession, d: str) -> DataFrame:
+    """3 x 3 maximum."""
+    return imaging.dilated(adapters.label_frames(spark, d), 8, 8).withColumn("labels", F.array_join("labels", ","))
+
+
+def soft_edge_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Edge pixels by their nearest palette entry."""
+    return imaging.soft_edges(adapters.colour_frames(spark, d), PALETTE, grow=1).select(*KEYS, F.array_join("labels", ",").alias("labels"))
+
+
+def _soft(spark: SparkSession, d: str) -> DataFrame:
+    """RGB pictures of the label maps in the palette's colours."""
+    colour = F.array(*[F.array(*[F.lit(int(v)) for v in c]) for c in [(0.0, 0.0, 0.0), *PALETTE, (32.0, 64.0, 96.0)]])
+    px = F.flatten(F.transform("labels", lambda v: F.get(colour, v)))
+    return imaging.from_pixels(adapters.label_frames(spark, d).select(*KEYS, px.alias("px")), 8, 8, 3)
+
+
+def refine_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Guide blended in and smoothed, then sharpened."""
+    return _listed(imaging.refined(imaging.rgb_frames(adapters.colour_frames(spark, d)), _soft(spark, d), sharpen=0.35))
+
+
+def fill_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Background of soft-edge pictures filled in."""
+    return _listed(imaging.filled(_soft(spark, d)))
+
+
 # -- detections and scores
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +217,13 @@ def score_blend(spark: SparkSession, d: str) -> DataFrame:
     return r6(_scored(spark, d, config()), "delta_map", "novelty", "motion", "class_weight", "semantic", "score")
 
 
+def class_count_map(spark: SparkSession, d: str) -> DataFrame:
+    """How often each class is detected, as a map (2.8)."""
+    x = _grid(spark, d).select("video_id", F.explode("class_ids").alias("class_id")).groupBy("video_id", "class_id").agg(F.count("*").alias("n"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("class_id").cast("string"), "n"))))
+    return x.groupBy("video_id").agg(counts.alias("counts")).select("video_id", F.size("counts").alias("classes"), F.to_json("counts").alias("counts"))
+
+
 def score_stats(spark: SparkSession, d: str) -> DataFrame:
     """Distribution (A1)."""
     return r6(thresholds.score_stats(adapters.price_scores(spark, d)), "min", "max", "median", "p90", "frac_below_1e4", "frac_above_001")
@@ -199,10 +278,17 @@ def adaptive_select(spark: SparkSession, d: str) -> DataFrame:
     return r6(out.selection.select("video_id", "frame_idx", "score", "tau"), "score", "tau")
 
 
+def adaptive_v4_run(spark: SparkSession, d: str) -> DataFrame:
+    """The adaptive preset from end to end: clustered context, richness, bounds, threshold."""
+    grid = _grid(spark, d)
+    out = sampler.run(grid, adapters.grid_features(spark, d), scoring.level_motion(grid), config("adaptive_v4"))
+    return r6(out.selection.select("video_id", "frame_idx", "score", "tau"), "score", "tau")
+
+
 def motion_gate(spark: SparkSession, d: str) -> DataFrame:
     """Gate, and scores with motion for the rest."""
     gate = selection.motion_gate(scoring.pixel_motion(adapters.gray_frames(spark, d)))
-    x = adapters.features(spark, d).withColumn("past", history("feat", 20)).select(*KEYS, F.round(context.delta_map(F.col("feat"), F.col("past")), 9).alias("score"))
+    x = context.delta_maps(adapters.features(spark, d), 20).select(*KEYS, F.round("delta_map", 9).alias("score"))
     both = selection.gated_scores(gate, x).join(gate.select(*KEYS, "candidate"), KEYS)
     return r6(both, "score")
 
@@ -254,12 +340,49 @@ def delta_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Packets written, read and decoded; equals the source."""
+    """Packets of the soft-edge mode written, read and decoded; equals the source."""
     frames = adapters.label_frames(spark, d)
     coded = compressor.compress(frames, {"soft_edge": {"rgb_keyframe_interval": 0, "keyframe_interval": SEGMENT}})
     return compressor.decompress(coded, SEGMENT).select(*KEYS, F.array_join("labels", ",").alias("labels"))
 
 
+def _stream(spark: SparkSession, d: str, **edge) -> DataFrame:
+    cfg = {"soft_edge": {"rgb_keyframe_interval": KEY_INTERVAL, "keyframe_interval": SEGMENT, **edge}}
+    return compressor.compress(adapters.label_frames(spark, d), cfg, raw=imaging.from_pixels(adapters.gray_frames(spark, d), 8, 8))
+
+
+def hybrid_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Key pictures and the edges between them, coded, read and decoded."""
+    coded = durable(_stream(spark, d))
+    keys = imaging.to_pixels(compressor.decode_keys(coded)).select(*KEYS, F.lit("K").alias("tag"), F.array_join("px", ",").alias("content"))
+    return keys.unionByName(compressor.decompress(coded, KEY_INTERVAL).select(*KEYS, F.lit("E").alias("tag"), F.array_join("labels", ",").alias("content")))
+
+
+def rgb_only_playback(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of key pictures alone, played with what lies between filled in."""
+    return compressor.playback(_stream(spark, d, rgb_only=True), adapters.gray_frames(spark, d), KEY_INTERVAL).select(*KEYS, F.array_join("px", ",").alias("px"))
+
+
+def flow_playback(spark: SparkSession, d: str) -> DataFrame:
+    """Frames between keys by motion compensation."""
+    return _listed(imaging.flow_interpolation(imaging.from_pixels(adapters.gray_frames(spark, d), 8, 8), KEY_INTERVAL))
+
+
+def hybrid_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Frames mixed with their last key."""
+    px = adapters.gray_frames(spark, d)
+    keys = px.where(F.col("frame_idx") % KEY_INTERVAL == 0)
+    return reconstruct.hybrid_blend(px, keys, 0.25).select(*KEYS, F.array_join("px", ",").alias("px"))
+
+
+def compression_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of videos that are coded in part, against their share of the file."""
+    frames = adapters.label_frames(spark, d)
+    sizes = compressor.packet_sizes(codec.delta_encode(frames, SEGMENT), frames)
+    videos = sizes.select("video_id", F.lit(120).alias("frame_count"), (F.col("n_frames") * 997).alias("size_bytes"))
+    return report.compression_summary(videos, sizes.select("video_id", "n_frames", "compressed_bytes"))
+
+
 def packet_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Coded sizes."""
     frames = adapters.label_frames(spark, d)
@@ -280,17 +403,15 @@ def storage_downscale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def palette_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest colour and its levels."""
-    at = lambda i: F.col("px")[i].cast("double")
-    x = adapters.gray_frames(spark, d).select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("p"), "px")
-    x = x.select(*KEYS, "p", at(F.col("p")).alias("r"), at(F.col("p") + 1).alias("g"), at(F.col("p") + 2).alias("b"))
+    """Nearest colour and its levels."""
+    x = adapters.gray_frames(spark, d).select(*KEYS, F.posexplode(adapters.colours()).alias("p", "c"))
+    x = x.select(*KEYS, "p", *[F.col(f"c.{n}").cast("double").alias(n) for n in "rgb"])
     return codec.soft_colours(codec.assign_palette(x, PALETTE), PALETTE).select(*KEYS, "p", "label", "soft_r", "soft_g", "soft_b")
 
 
 def palette_fit(spark: SparkSession, d: str) -> DataFrame:
     """A palette by k-means."""
-    at = lambda i: F.col("px")[i].cast("double")
-    x = adapters.gray_frames(spark, d).select(F.explode(F.array(*[F.struct(at(3 * i).alias("r"), at(3 * i + 1).alias("g"), at(3 * i + 2).alias("b")) for i in range(21)])).alias("c")).select("c.*")
+    x = adapters.gray_frames(spark, d).select(F.explode(adapters.colours()).alias("c")).select(*[F.col(f"c.{n}").cast("double").alias(n) for n in "rgb"])
     return spark.createDataFrame([(k, *c) for k, c in enumerate(codec.fit_palette(x))], "cluster int, r double, g double, b double")
 
 
@@ -307,6 +428,12 @@ def psnr_ssim(spark: SparkSession, d: str) -> DataFrame:
     return r6(reconstruct.quality(px, reconstruct.linear_interpolation(px, KEY_INTERVAL)), "psnr", "ssim")
 
 
+def ssim_windowed(spark: SparkSession, d: str) -> DataFrame:
+    """Structural similarity over 7 x 7 windows (P25)."""
+    px = adapters.gray_frames(spark, d)
+    return r6(imaging.windowed_ssim(imaging.from_pixels(px, 8, 8), imaging.from_pixels(reconstruct.linear_interpolation(px, KEY_INTERVAL), 8, 8)), "ssim")
+
+
 def mean_quality(spark: SparkSession, d: str) -> DataFrame:
     """Mean quality a video."""
     return compressor.reconstruction_quality(adapters.gray_frames(spark, d), KEY_INTERVAL)
@@ -355,6 +482,13 @@ def traffic_boxes(spark: SparkSession, d: str) -> DataFrame:
     return tracking.traffic_boxes(b, b.select(*KEYS).distinct().where("frame_idx % 2 = 0")).groupBy("video_id", "class_id").agg(F.count("*").alias("n"))
 
 
+def box_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of each box with the one before it in its frame (2.8 geometry)."""
+    before = F.lag("box").over(Window.partitionBy(*KEYS).orderBy("det"))
+    x = adapters.boxes(spark, d).withColumn("before", before).where("before is not null")
+    return r6(x.select("video_id", "det", measures.iou(F.col("box"), F.col("before")).alias("iou")), "iou")
+
+
 def tracker(spark: SparkSession, d: str) -> DataFrame:
     """Tracks (R8, J7)."""
     return r6(tracking.track(tracking.traffic_boxes(adapters.boxes(spark, d))), "speed")
@@ -368,12 +502,13 @@ def traffic_fidelity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    frame_scan, video_probe, kept_frame_scan, delta_map_h20, delta_map_chunked, novelty_uniform, feature_similarity, oric_proxy, diverse_context, semantic_ablation,
-    motion_lag, motion_baseline, entropy_hist, content_aware, detection_names, detection_carry_forward, class_weight_rolling, score_blend, score_stats, calibrate_tau,
-    adaptive_tau, busy_information, adaptive_bounds, topk_target_ratio, threshold_keep, adaptive_select, motion_gate, gated_sampling, uniform_keep, non_uniform_keep,
-    gap_topk, diverse_topk, kept_overlap, online_selection, delta_encode, delta_decode, packet_sizes, bitstream_round_trip, storage_downscale, palette_assign,
-    palette_fit, key_interp_linear, psnr_ssim, mean_quality, temporal_stack, ema_smooth, tx_time_report, manifest, manifest_json, debug_overlay,
-    traffic_boxes, tracker, traffic_fidelity,
+    frame_scan, video_probe, kept_frame_scan, kept_frame_sink, materialised_scan, delta_map_h20, delta_map_chunked, novelty_uniform, feature_similarity, oric_proxy, diverse_context,
+    semantic_ablation, motion_lag, motion_baseline, entropy_hist, content_aware, resize_frames, resize_truncating, gray_thumbnail, rgb_order, dilate_labels, soft_edge_frames,
+    refine_frames, fill_frames, detection_names, detection_carry_forward, class_weight_rolling, score_blend, class_count_map, score_stats, calibrate_tau, adaptive_tau, busy_information,
+    adaptive_bounds, topk_target_ratio, threshold_keep, adaptive_select, adaptive_v4_run, motion_gate, gated_sampling, uniform_keep, non_uniform_keep, gap_topk, diverse_topk,
+    kept_overlap, online_selection, delta_encode, delta_decode, hybrid_stream, rgb_only_playback, flow_playback, hybrid_blend, compression_summary, packet_sizes, bitstream_round_trip,
+    storage_downscale, palette_assign, palette_fit, key_interp_linear, psnr_ssim, ssim_windowed, mean_quality, temporal_stack, ema_smooth, tx_time_report, manifest, manifest_json,
+    debug_overlay, traffic_boxes, box_overlap, tracker, traffic_fidelity,
 )
 
 

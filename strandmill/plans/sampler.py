@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators import context, detections, scoring, selection, thresholds
+from strandmill.session import durable
 from strandmill.streaming.online import online_keep
 
 KEYS = ["video_id", "frame_idx"]
@@ -49,9 +50,13 @@ def run(frames: DataFrame, features: DataFrame, motion: DataFrame, cfg: dict, ch
         scores = gated_table(frames, features, motion, cfg)
     else:
         scores = score_table(frames, features, motion, cfg, chunk)
-    carried = detections.carry_forward(frames.select(*KEYS, "class_ids"), s["score_detector_interval"], cfg["performance"]["reuse_detections"])
-    seen = carried.join(motion, KEYS).select(*KEYS, F.size("class_ids").alias("n_objects"), "motion")
-    richness = thresholds.clip_richness(seen, cfg)
+    scores = durable(scores)  # read again by every step of the selection, and by the caller
+    if {"n_objects", "motion"} <= set(scores.columns):
+        seen = scores.select(*KEYS, "n_objects", "motion")
+    else:
+        carried = detections.carry_forward(frames.select(*KEYS, "class_ids"), s["score_detector_interval"], cfg["performance"]["reuse_detections"])
+        seen = carried.join(motion, KEYS).select(*KEYS, F.size("class_ids").alias("n_objects"), "motion")
+    richness = durable(thresholds.clip_richness(seen, cfg))
     bounds = thresholds.retention_bounds(richness, cfg)
     flat = scores.select(*KEYS, "score")
     if s["retention_mode"] == "adaptive":

@@ -34,6 +34,20 @@ def gray_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("video_id", "frame_idx", gray.alias("px"))
 
 
+def colours(px: str = "px") -> Column:
+    """Array of 64 struct(b, g, r): the gray pixels read three times, the second and third time from a third and two thirds on."""
+    at = lambda i: F.get(px, (i % 64).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(at(i).alias("b"), at(i + 21).alias("g"), at(i + 42).alias("r")))
+
+
+def colour_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, frame_idx, height, width, n_channels, data): 8 x 8 BGR pictures."""
+    flat = F.flatten(F.transform(colours(), lambda c: F.array(c["b"], c["g"], c["r"])))
+    data = F.unhex(F.array_join(F.transform(flat, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    size = [F.lit(n).alias(c) for n, c in ((8, "height"), (8, "width"), (3, "n_channels"))]
+    return gray_frames(spark, sf_dir).select("video_id", "frame_idx", *size, data.alias("data"))
+
+
 def label_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, frame_idx, labels): 8 x 8 label maps, 0 for no edge and 1 to 7."""
     label = F.transform("px", lambda v: F.greatest(F.lit(0), F.floor((v - 96) / 20)).cast("int"))

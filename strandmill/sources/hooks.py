@@ -1,10 +1,13 @@
 """Interfaces to models and codecs that are not part of this library.
 
-A hook that is asked for and not registered raises; there is never a silent empty result.
+A hook that is asked for and not registered raises; there is never a silent empty result. Two need no library and are
+registered from the start: a lossless picture codec, ``zlib``, and optical flow by block matching, ``block``.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -44,3 +47,31 @@ def apply(frames: DataFrame, kind: str, name: str, schema: str, batch: int = 32)
                 yield out if isinstance(out, pd.DataFrame) else pd.DataFrame(out)
 
     return frames.mapInPandas(run, schema)
+
+
+def _zlib_encoder(level: int = 1) -> Callable:
+    def encode(rows: pd.DataFrame) -> pd.DataFrame:
+        coded = [zlib.compress(struct.pack("<III", h, w, c) + d, level) for h, w, c, d in zip(rows["height"], rows["width"], rows["n_channels"], rows["data"])]
+        return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "picture": coded})
+
+    return encode
+
+
+def _zlib_decoder() -> Callable:
+    def decode(rows: pd.DataFrame) -> pd.DataFrame:
+        plain = [zlib.decompress(p) for p in rows["picture"]]
+        sizes = [struct.unpack("<III", p[:12]) for p in plain]
+        return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], **{n: [s[k] for s in sizes] for k, n in enumerate(("height", "width", "n_channels"))}, "data": [p[12:] for p in plain]})
+
+    return decode
+
+
+def _block_flow() -> Callable:
+    from strandmill.operators.imaging import block_flow
+
+    return block_flow
+
+
+register("encode_picture", "zlib", _zlib_encoder)
+register("decode_picture", "zlib", _zlib_decoder)
+register("optical_flow", "block", _block_flow)
