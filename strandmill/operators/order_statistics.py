@@ -66,7 +66,7 @@ def top_rows(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
     Of rows that tie at the cut the first by frame_idx are taken; only these are ranked.
     """
-    cut = at_places(rows.select("video_id", F.col("score").alias("value")), {"cut": F.greatest(F.col("n") - F.col("k"), F.lit(0))}, counts)
+    cut = at_places(rows.select("video_id", F.col("score").alias("value")), {"cut": F.greatest(F.least(F.col("n") - F.col("k"), F.col("n") - 1), F.lit(0))}, counts)
     plan = counts.join(cut.select("video_id", "cut", "cut_above"), "video_id")
     near = rows.join(plan, "video_id").where((F.col("score") >= F.col("cut")) & (F.col("k") > 0))
     own = [c for c in near.columns if c not in ("cut", "cut_above")]
