@@ -83,7 +83,27 @@ def queries() -> dict[str, Query]:
     return {q.__name__: _shipped(q) for q in QUERIES}
 
 
+def _secret_sql() -> str:
+    """Matches of every rule by string functions over whole texts, without any index."""
+    parts, empty = [], "CAST([] AS STRUCT(s BIGINT, o INT, e BIGINT, k VARCHAR)[])"
+    for order, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""CASE WHEN regexp_matches(t, '{pattern}') THEN list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}', 0)) + 1), lambda i: CASE
+              WHEN length(regexp_extract_all(t, '{pattern}', {rule.group})[i]) >= {rule.least} THEN
+                {{'s': CAST(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}', 0)[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+                  'o': {order}, 'e': CAST(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + list_sum(list_transform(regexp_extract_all(t, '{pattern}', 0)[1:i], lambda x: length(x))) AS BIGINT), 'k': '{rule.kind}'}}
+              END), lambda x: x IS NOT NULL) ELSE {empty} END""")
+    text = lambda spans: f"array_to_string(list_transform({spans}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(spans, lambda x: x.o = {k})) AS BIGINT) AS n_{secret_scan.RULES[k].kind}" for k in range(3))
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS (SELECT doc_id, list_sort(flatten([{", ".join(parts)}])) AS spans FROM d)
+        SELECT doc_id, {counts}, sha256(coalesce({text("list_filter(spans, lambda x: x.o < 3)")}, '')) AS base_sha256, coalesce({text("spans")}, '') AS spans FROM f
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": _secret_sql(),
     "op4_warc_audit": """
         WITH r AS (
           SELECT page_id, CAST(floor(page_id / 512.0) AS BIGINT) AS archive,

@@ -51,6 +51,21 @@ def test_secrets(spark):
     assert {"github", "pem", "login"} <= extra
 
 
+def test_secrets_equal_sql(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from strandmill.llm import queries
+
+    rows = pd.DataFrame({"doc_id": range(len(SECRETS) * 3 + 2), "text": [*SECRETS, *(f"{a} {b}" for a, b in zip(SECRETS, SECRETS[1:] + SECRETS[:1])), *(f"é😀{a}\n{a}" for a in SECRETS), None, ""]})
+    rows.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op1_secret_scan"]).df().sort_values("doc_id")
+    got = queries.queries()["op1_secret_scan"](spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    assert got[want.columns].values.tolist() == want.values.tolist() and want["n_assign"].sum() > 10
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query(BASE[0][1].pattern)
     assert frozenset({"tok", "oke", "ken"}) in q and len(q) == 6
