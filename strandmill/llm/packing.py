@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import durable, small_batches
 
 CAPACITY, END_ID, CRUMB, SHARE = 2048, 1, 32, 64
-#: Texts' words whose ids are remembered by a worker.
-CACHE = 150_000
+#: Characters of a text that are encoded at once.
+LONG = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -52,21 +52,6 @@ def _four_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class _Words(dict):
-    """Ids, as little-endian uint32, of a string that no token crosses on either side."""
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        ids = _four_bytes(self.encode(self.lead + word))
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
 def _added(name: str) -> dict[str, int]:
     """The added tokens of tokenizers' file ``name``, which are found in a text before anything else."""
@@ -82,19 +67,21 @@ def _added(name: str) -> dict[str, int]:
 def tokenizer(name: str, added: bool = False):
     """text -> its ids as little-endian uint32 bytes; ``added``: the file's added tokens in a text give their own ids.
 
-    The pre-tokens of the vocabulary begin at every single space between two other characters, so a text may be encoded
-    from space to space. Texts in which white space adjoins a space are encoded whole.
+    The pre-tokens of the vocabulary begin at every single space between two letters or digits, so texts of over ``LONG``
+    characters are encoded in parts that begin at such spaces, which bounds memory.
     """
-    encode = _encoder(name)
-    first, rest, odd = _Words(encode, ""), _Words(encode, " "), re.compile(r" \s|\s |^ | $")
+    encode, cut = _encoder(name), re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
     def ids(text: str) -> bytes:
-        if not text:
-            return b""
-        if odd.search(text):
+        if len(text) <= LONG:
             return _four_bytes(encode(text))
-        words = text.split(" ")
-        return first[words[0]] + b"".join(map(rest.__getitem__, words[1:]))
+        parts, at = [], 0
+        while at < len(text):
+            found = cut.search(text, at + LONG)
+            stop = found.start() if found else len(text)
+            parts.append(_four_bytes(encode(text[at:stop])))
+            at = stop
+        return b"".join(parts)
 
     if not added or not (own := {k: _four_bytes([v]) for k, v in _added(name).items()}):
         return ids

@@ -25,3 +25,18 @@ def test_added_tokens(spark, tmp_path):
         for r in got:
             part = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
             assert r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """Texts that are encoded in parts have the ids that they have as a whole, whatever stands at the spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tests.llm.helpers import prose
+    from tests.llm.test_other_operators import SPACES
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "LONG", 37)
+    encode = packing.tokenizer.__wrapped__("byte_bpe_50k.json", True)
+    for text in [*SPACES, *TEXTS, *(prose(k, 60).replace(".", SPACES[k % len(SPACES)]) for k in range(40)), "x" * 500, "é " * 300, "a1 b2  c3 " * 40]:
+        assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
