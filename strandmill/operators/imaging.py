@@ -5,6 +5,8 @@ Only what NumPy defines is here. Models and codecs are hooks (``strandmill.sourc
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,6 +139,71 @@ def fill_background(soft: np.ndarray, rounds: int = 64) -> np.ndarray:
     return np.clip(np.rint(img), 0, 255).astype(np.uint8)
 
 
+def telea(img: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Fast-marching inpainting (Telea, 2004): masked pixels in order of their distance to the rest, each the weighted mean of
+    what is known within ``radius``, extrapolated by its gradient. Weights: along the front's normal, by distance and by level."""
+    h, w = mask.shape
+    out, known, away = img.astype(float), mask == 0, np.where(mask == 0, 0.0, 1e6)
+    edge = dilate(known.astype(np.uint8), 1).astype(bool) & ~known
+    if not known.any() or known.all():
+        return img.copy()
+    heap = [(0.0, int(y), int(x)) for y, x in np.argwhere(known & (dilate(edge.astype(np.uint8), 1) > 0))]
+    heapq.heapify(heap)
+    frozen = known & False
+
+    def solve(a: float, b: float) -> float:
+        low, high = min(a, b), max(a, b)
+        return low + 1.0 if high - low >= 1 else (low + high + np.sqrt(2.0 - (high - low) ** 2)) / 2
+
+    def arrival(y: int, x: int) -> float:
+        ups = [away[r, x] for r in (y - 1, y + 1) if 0 <= r < h and known[r, x]] or [1e6]
+        sides = [away[y, c] for c in (x - 1, x + 1) if 0 <= c < w and known[y, c]] or [1e6]
+        return solve(min(ups), min(sides))
+
+    def slope(field: np.ndarray, y: int, x: int) -> tuple:
+        """Central differences over known pixels, one-sided or none at the border of what is known."""
+        found = []
+        for dy, dx in ((1, 0), (0, 1)):
+            fore = 0 <= y + dy < h and 0 <= x + dx < w and known[y + dy, x + dx]
+            back = 0 <= y - dy < h and 0 <= x - dx < w and known[y - dy, x - dx]
+            f = field[y + dy, x + dx] if fore else field[y, x]
+            b = field[y - dy, x - dx] if back else field[y, x]
+            found.append((f - b) / (2.0 if fore and back else 1.0))
+        return found[0], found[1]
+
+    while heap:
+        _, y, x = heapq.heappop(heap)
+        if frozen[y, x]:
+            continue
+        frozen[y, x] = True
+        for r, c in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+            if not (0 <= r < h and 0 <= c < w) or known[r, c]:
+                continue
+            away[r, c] = arrival(r, c)
+            ty, tx = slope(away, r, c)
+            total, weight = np.zeros(img.shape[2]), 0.0
+            for qy in range(max(0, r - radius), min(h, r + radius + 1)):
+                for qx in range(max(0, c - radius), min(w, c + radius + 1)):
+                    dy, dx = r - qy, c - qx
+                    if not known[qy, qx] or dy * dy + dx * dx > radius * radius:
+                        continue
+                    far = np.hypot(dy, dx)
+                    along = max(abs(ty * dy + tx * dx) / far, 1e-6)
+                    part = along / far**2 / (1 + abs(away[qy, qx] - away[r, c]))
+                    gy, gx = slope(out, qy, qx)
+                    total, weight = total + part * (out[qy, qx] + gy * dy + gx * dx), weight + part
+            out[r, c] = np.clip(total / weight, 0, 255)
+            known[r, c] = True
+            heapq.heappush(heap, (float(away[r, c]), r, c))
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def baseline_reconstruct(soft: np.ndarray) -> np.ndarray:
+    """Reconstruction without a model: what lies within four pixels of an edge is filled in from outside."""
+    mask = (gray(soft[:, :, ::-1]) > 0).astype(np.uint8)
+    return telea(soft, dilate(mask, 4)) if mask.any() else soft
+
+
 def warp(img: np.ndarray, flow: np.ndarray, t: float) -> np.ndarray:
     """Bilinear samples of ``img`` at places moved by ``t`` times the flow; beyond the border its last pixels."""
     h, w = img.shape[:2]
@@ -264,6 +331,12 @@ def filled(soft: DataFrame) -> DataFrame:
     return soft.withColumn("data", fill(*PICTURE))
 
 
+def baseline_filled(soft: DataFrame) -> DataFrame:
+    """Soft-edge RGB frames reconstructed without a model."""
+    fill = F.pandas_udf(lambda h, w, c, d: pd.Series([baseline_reconstruct(picture(x, *size)).tobytes() for x, *size in zip(d, h, w, c)]), "binary")
+    return soft.withColumn("data", fill(*PICTURE))
+
+
 def ssim_of(a: np.ndarray, b: np.ndarray, size: int = 7) -> float:
     """Mean structural similarity over all ``size`` x ``size`` windows that lie in the picture, with sample covariances; channels are averaged."""
     if a.ndim == 3:

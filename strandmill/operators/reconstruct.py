@@ -59,6 +59,13 @@ def hybrid_blend(frames: DataFrame, keys: DataFrame, share: float) -> DataFrame:
     return both.select("video_id", "frame_idx", F.when(F.col("k").isNull() | (F.col("key") == F.col("frame_idx")), F.col("px")).otherwise(mixed).alias("px"))
 
 
+def residual_blend(frames: DataFrame, model: DataFrame, share: float) -> DataFrame:
+    """(video_id, frame_idx, px): frames moved towards a model's output (video_id, frame_idx, px) by ``share`` of the difference."""
+    both = frames.select("video_id", "frame_idx", "px").join(model.select("video_id", "frame_idx", F.col("px").alias("m")), ["video_id", "frame_idx"], "left")
+    moved = F.zip_with("px", "m", lambda p, q: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(p + (q - p) * share, 6)))).cast("int"))
+    return both.select("video_id", "frame_idx", F.when(F.col("m").isNull(), F.col("px")).otherwise(moved).alias("px"))
+
+
 def temporal_stack(frames: DataFrame, size: int, chunk: int | None = 4096) -> DataFrame:
     """(video_id, frame_idx, stack): the last ``size`` label maps with the current one, padded in front with the first."""
 

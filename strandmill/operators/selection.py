@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators import thresholds
-from strandmill.operators.order_statistics import at_places, quantiles, top_rows
+from strandmill.operators.order_statistics import quantiles, sketch, top_rows
 from strandmill.operators.sequential import Collecting, fold
 from strandmill.session import durable
 
@@ -26,8 +26,9 @@ def top_ratio(scores: DataFrame, ratio: float) -> DataFrame:
 
 
 def target_ratio(scores: DataFrame, ratio: float) -> DataFrame:
-    """``top_ratio`` with the informational threshold tau."""
-    return top_ratio(scores, ratio).join(thresholds.calibrate_tau(scores, ratio), "video_id")
+    """``top_ratio`` with the informational threshold tau, as ``thresholds.calibrate_tau`` has it."""
+    tau = (F.col("n") - 1) * (1.0 - min(0.99, max(0.01, ratio)))
+    return top_rows(scores, keep_counts(scores, ratio), more={"tau": tau}).select("video_id", "frame_idx", "score", "tau")
 
 
 def every_kth(frames: DataFrame, k: int) -> DataFrame:
@@ -109,21 +110,20 @@ def diverse_topk(scores: DataFrame, ratio: float, gap: int = GAP, penalty: float
     return fold(scores.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "score", "feat"), KEPT, lambda _: _Pick(choose))
 
 
-def adaptive_plan(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float | None = None) -> DataFrame:
+def adaptive_plan(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float | None = None, known: DataFrame | None = None) -> DataFrame:
     """(video_id, k, n_max, tau): k frames are kept, and tau is the threshold reported.
 
     If too few frames exceed the first threshold, it is set anew as the quantile of soft_n, and the places up to soft_n are filled by
     rank; so k = max(frames above the first threshold, soft_n), or n_max beyond that.
     """
-    first = scores.select("video_id").distinct().withColumn("tau0", F.lit(tau).cast("double")) if tau is not None else thresholds.adaptive_tau(scores, cfg).withColumnRenamed("tau", "tau0")
-    above = scores.join(first, "video_id").groupBy("video_id", "tau0").agg(F.sum((F.col("score") > F.round("tau0", 9)).cast("long")).alias("above"))
     if tau is None:
-        # the linear quantile at 1 - the share of soft_n
+        # tau2 is the linear quantile at 1 - the share of soft_n
         place = (F.lit(1.0) - F.col("soft_n") / F.col("n")) * (F.col("n") - 1)
-        tau2 = at_places(scores.select("video_id", F.col("score").alias("value")), {"tau2": place}, bounds.select("video_id", "soft_n")).select("video_id", "tau2")
+        first = thresholds.adaptive_tau(scores, cfg, {"tau2": place}, bounds.select("video_id", "soft_n"), known).withColumnRenamed("tau", "tau0")
     else:
-        tau2 = bounds.select("video_id", F.lit(float(tau)).alias("tau2"))
-    both = bounds.join(above, "video_id").join(tau2, "video_id")
+        first = bounds.select("video_id", F.lit(float(tau)).alias("tau0"), F.lit(float(tau)).alias("tau2"))
+    above = scores.join(first, "video_id").groupBy("video_id", "tau0", "tau2").agg(F.sum((F.col("score") > F.round("tau0", 9)).cast("long")).alias("above"))
+    both = bounds.join(above, "video_id")
     k = F.greatest("above", "soft_n")
     return both.select("video_id", F.least(k, F.col("n_max")).alias("k"), (k > F.col("n_max")).alias("too_many"), F.when(F.col("above") < F.col("soft_n"), F.col("tau2")).otherwise(F.col("tau0")).alias("tau"))
 
@@ -134,8 +134,9 @@ def adaptive_select(scores: DataFrame, bounds: DataFrame, cfg: dict, tau: float
     Videos with more frames above the threshold than n_max are thinned with gaps; the others, by rank. The scores are read
     several times, so they had better be ``session.durable``.
     """
-    plan = durable(adaptive_plan(scores, bounds, cfg, tau))
-    by_rank = top_rows(scores, plan.where("not too_many")).select("video_id", "frame_idx", "score", "tau")
+    known = durable(sketch(scores.select("video_id", F.col("score").alias("value"))))
+    plan = durable(adaptive_plan(scores, bounds, cfg, tau, known))
+    by_rank = top_rows(scores, plan.where("not too_many"), known).select("video_id", "frame_idx", "score", "tau")
     many = scores.join(plan.where("too_many"), "video_id").select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "score", "k", "tau")
 
     class Thin(Collecting):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators.order_statistics import quantiles
+from strandmill.operators.order_statistics import at_places, quantiles
+from strandmill.session import durable
 
 
 def _values(scores: DataFrame, col: str = "score") -> DataFrame:
@@ -25,17 +26,21 @@ def calibrate_tau(scores: DataFrame, ratio: float) -> DataFrame:
     return quantiles(_values(scores), {"tau": 1.0 - min(0.99, max(0.01, ratio))}).select("video_id", "tau")
 
 
-def adaptive_tau(scores: DataFrame, cfg: dict) -> DataFrame:
-    """(video_id, tau): median + m * MAD of the scores over their 95th percentile, with a flat quantile for flat clips."""
+def adaptive_tau(scores: DataFrame, cfg: dict, more: dict[str, Column] | None = None, extra: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(video_id, tau): median + m * MAD of the scores over their 95th percentile, with a flat quantile for flat clips.
+
+    ``more``, ``extra`` and ``known``: values at further places, as ``order_statistics.at_places`` takes and gives them.
+    """
     a = cfg["adaptive"]
-    first = quantiles(_values(scores), {"p95": 0.95, "mid": 0.5, "flat": float(a["flat_quantile"]), "low": float(a["min_tau_quantile"])})
-    first = first.withColumn("scale", F.col("p95") + F.lit(1e-12))
+    asked = {"p95": 0.95, "mid": 0.5, "flat": float(a["flat_quantile"]), "low": float(a["min_tau_quantile"])}
+    first = at_places(_values(scores), {**{name: (F.col("n") - 1) * q for name, q in asked.items()}, **(more or {})}, extra, known)
+    first = durable(first.withColumn("scale", F.col("p95") + F.lit(1e-12)))  # one row a video
     away = scores.join(first.select("video_id", "scale", "mid"), "video_id").select("video_id", F.abs(F.col("score") / F.col("scale") - F.col("mid") / F.col("scale")).alias("value"))
     spread = quantiles(away, {"mad0": 0.5}).select("video_id", "mad0")
     mad = F.col("mad0") + F.lit(1e-12)
     by_mad = F.when(mad < 0.02, F.col("flat") / F.col("scale")).otherwise(F.col("mid") / F.col("scale") + float(a["mad_multiplier"]) * mad)
     tau = F.when(F.col("scale") < 1e-4, F.col("flat")).otherwise(F.greatest(by_mad, F.col("low") / F.col("scale") * 0.5) * F.col("scale"))
-    return first.join(spread, "video_id").select("video_id", tau.alias("tau"))
+    return first.join(spread, "video_id").select("video_id", tau.alias("tau"), *(more or {}))
 
 
 def clip_richness(frames: DataFrame, cfg: dict) -> DataFrame:

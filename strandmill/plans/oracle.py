@@ -149,6 +149,13 @@ qu AS (
          (2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225) / ((avg(a) * avg(a) + avg(b) * avg(b) + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)) AS ssim
   FROM pr GROUP BY ALL)"""
 
+#: Kept frames renumbered, and their changed pixels.
+COMBO = f"""{NON_UNIFORM}, lf AS (SELECT video_id, frame_idx, list_transform(px, lambda v: greatest(0, CAST(floor((v - 96) / 20.0) AS INT))) AS labels FROM fr),
+ko AS (SELECT video_id, lf.frame_idx AS src_idx, CAST(row_number() OVER (PARTITION BY video_id ORDER BY lf.frame_idx) - 1 AS INT) AS frame_idx, labels FROM lf JOIN nk USING (video_id, frame_idx)),
+kt AS (
+  SELECT video_id, frame_idx, i FROM (SELECT video_id, frame_idx, labels, lag(labels) OVER (PARTITION BY video_id, frame_idx // 30 ORDER BY frame_idx) AS prev, CAST(unnest(range(64)) AS INT) AS i FROM ko)
+  WHERE labels[i + 1] <> coalesce(prev[i + 1], 0))"""
+
 #: Gray pixels read three times, as adapters.colour_frames does.
 COLOURS = f"""{PIXELS}, cl AS (SELECT video_id, frame_idx, CAST(p AS INT) AS p, px[p + 1] AS b, px[(p + 21) % 64 + 1] AS g, px[(p + 42) % 64 + 1] AS r FROM (SELECT *, unnest(range(64)) AS p FROM fr))"""
 
@@ -320,6 +327,15 @@ SQL: dict[str, str] = {
         WITH {PIXELS} SELECT a.video_id, a.frame_idx, array_to_string(CASE WHEN a.frame_idx % 10 = 0 THEN a.px ELSE
           list_transform(list_zip(a.px, b.px), lambda p: CAST(greatest(0, least(255, floor(round(p[1] * 0.75 + p[2] * 0.25, 6)))) AS INT)) END, ',') AS px
         FROM fr a JOIN fr b ON a.video_id = b.video_id AND b.frame_idx = a.frame_idx // 10 * 10""",
+    "residual_blend": f"""
+        WITH {BETWEEN_KEYS} SELECT ki.video_id, ki.frame_idx, array_to_string(list_transform(list_zip(ki.px, fr.px), lambda p: CAST(greatest(0, least(255, floor(round(p[1] + (p[2] - p[1]) * 0.25, 6)))) AS INT)), ',') AS px
+        FROM ki JOIN fr USING (video_id, frame_idx)""",
+    "combo_report": f"""
+        WITH {COMBO} SELECT video_id, n_total, n_kept, n_kept + 6 * coalesce(pixels, 0) AS coded_bytes, round((1 - (n_kept + 6 * coalesce(pixels, 0)) / (n_total * 64)) * 100, 6) AS saving_pct,
+               round(n_total * 64 * 8 / 1e7, 9) AS tx_source_s, round((n_kept + 6 * coalesce(pixels, 0)) * 8 / 1e7, 9) AS tx_coded_s
+        FROM (SELECT video_id, count(*) AS n_total FROM lf GROUP BY ALL) JOIN (SELECT video_id, count(*) AS n_kept FROM ko GROUP BY ALL) USING (video_id)
+        LEFT JOIN (SELECT video_id, count(*) AS pixels FROM kt GROUP BY ALL) USING (video_id)""",
+    "combo_decoded": f"WITH {COMBO} SELECT video_id, frame_idx, src_idx, {_joined('labels')} AS labels FROM ko",
     "compression_summary": f"""
         WITH {TRIPLES}, sz AS (SELECT video_id, n, coalesce(pixels, 0) * 6 AS c, floor(n * 997 * (n / 120)) AS o
           FROM (SELECT video_id, count(*) AS n FROM lf GROUP BY ALL) LEFT JOIN (SELECT video_id, count(*) AS pixels FROM tr GROUP BY ALL) USING (video_id))

@@ -12,7 +12,7 @@ from strandmill.functions import measures, vector
 from strandmill.functions.vocabulary import class_name
 from strandmill.operators import baselines, codec, context, detections, imaging, reconstruct, scoring, selection, thresholds, tracking
 from strandmill.operators.windows import chunked
-from strandmill.plans import compressor, report, sampler
+from strandmill.plans import combo, compressor, report, sampler
 from strandmill.plans.config import config
 from strandmill.session import durable, shared_folder
 from strandmill.sources import adapters, bitstream, scan
@@ -184,6 +184,11 @@ def fill_frames(spark: SparkSession, d: str) -> DataFrame:
     return _listed(imaging.filled(_soft(spark, d)))
 
 
+def baseline_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Soft-edge pictures reconstructed without a model, by fast marching."""
+    return _listed(imaging.baseline_filled(_soft(spark, d)))
+
+
 # -- detections and scores
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -375,6 +380,27 @@ def hybrid_blend(spark: SparkSession, d: str) -> DataFrame:
     return reconstruct.hybrid_blend(px, keys, 0.25).select(*KEYS, F.array_join("px", ",").alias("px"))
 
 
+def residual_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Filled-in frames moved towards a model's output; the source stands in for the model."""
+    px = adapters.gray_frames(spark, d)
+    return reconstruct.residual_blend(reconstruct.linear_interpolation(px, KEY_INTERVAL), px, 0.25).select(*KEYS, F.array_join("px", ",").alias("px"))
+
+
+def _combo(spark: SparkSession, d: str):
+    kept = baselines.non_uniform(adapters.gray_frames(spark, d), RATIO)
+    return combo.run_combo(adapters.label_frames(spark, d), kept, {"soft_edge": {"rgb_keyframe_interval": 0, "keyframe_interval": SEGMENT}}, 64)
+
+
+def combo_report(spark: SparkSession, d: str) -> DataFrame:
+    """Sampling and coding in one run: sizes, savings, transmission."""
+    return _combo(spark, d).report
+
+
+def combo_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """What that run's stream decodes to."""
+    return _combo(spark, d).decoded.select(*KEYS, "src_idx", F.array_join("labels", ",").alias("labels"))
+
+
 def compression_summary(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of videos that are coded in part, against their share of the file."""
     frames = adapters.label_frames(spark, d)
@@ -504,9 +530,9 @@ def traffic_fidelity(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = (
     frame_scan, video_probe, kept_frame_scan, kept_frame_sink, materialised_scan, delta_map_h20, delta_map_chunked, novelty_uniform, feature_similarity, oric_proxy, diverse_context,
     semantic_ablation, motion_lag, motion_baseline, entropy_hist, content_aware, resize_frames, resize_truncating, gray_thumbnail, rgb_order, dilate_labels, soft_edge_frames,
-    refine_frames, fill_frames, detection_names, detection_carry_forward, class_weight_rolling, score_blend, class_count_map, score_stats, calibrate_tau, adaptive_tau, busy_information,
+    refine_frames, fill_frames, baseline_fill, detection_names, detection_carry_forward, class_weight_rolling, score_blend, class_count_map, score_stats, calibrate_tau, adaptive_tau, busy_information,
     adaptive_bounds, topk_target_ratio, threshold_keep, adaptive_select, adaptive_v4_run, motion_gate, gated_sampling, uniform_keep, non_uniform_keep, gap_topk, diverse_topk,
-    kept_overlap, online_selection, delta_encode, delta_decode, hybrid_stream, rgb_only_playback, flow_playback, hybrid_blend, compression_summary, packet_sizes, bitstream_round_trip,
+    kept_overlap, online_selection, delta_encode, delta_decode, hybrid_stream, rgb_only_playback, flow_playback, hybrid_blend, residual_blend, combo_report, combo_decoded, compression_summary, packet_sizes, bitstream_round_trip,
     storage_downscale, palette_assign, palette_fit, key_interp_linear, psnr_ssim, ssim_windowed, mean_quality, temporal_stack, ema_smooth, tx_time_report, manifest, manifest_json,
     debug_overlay, traffic_boxes, box_overlap, tracker, traffic_fidelity,
 )

@@ -182,3 +182,44 @@ def test_durable_forgets_sizes(spark):
     for _ in range(14):
         df = durable(df.join(df.groupBy("k").count(), "k").select("id", "k"))
     assert df.count() == 100
+
+
+def test_telea():
+    flat = np.full((12, 14, 3), 77, np.uint8)
+    hole = np.zeros((12, 14), np.uint8)
+    hole[4:8, 5:10] = 1
+    broken = flat.copy()
+    broken[hole == 1] = 0
+    assert (imaging.telea(broken, hole) == 77).all()
+    ramp = np.repeat((np.arange(14) * 15)[None, :, None], 12, axis=0).repeat(3, axis=2).astype(np.uint8)
+    broken = ramp.copy()
+    broken[hole == 1] = 255
+    out = imaging.telea(broken, hole)
+    assert (out[hole == 0] == ramp[hole == 0]).all() and np.abs(out.astype(int) - ramp).max() <= 12
+    assert (imaging.telea(flat, hole * 0) == flat).all() and (imaging.telea(flat, hole * 0 + 1) == flat).all()
+    soft = np.zeros((20, 20, 3), np.uint8)
+    soft[9, 9] = 200
+    assert (imaging.baseline_reconstruct(soft) == 0).all() and (imaging.baseline_reconstruct(soft * 0) == 0).all()
+
+
+def test_progress_and_steps():
+    from strandmill.plans import config
+    from strandmill.plans.progress import Progress, steps
+
+    said = []
+    plan = steps(config.config("quality"), debug=True, input_clip=True)
+    assert plan == ["Materialise the frames", "Score and select", "Write the input clip", "Write the sampled frames", "Write the overlay", "Write manifest and report"]
+    assert steps(config.config("light"))[0].startswith("Gate by motion")
+    p = Progress(plan[:2], said.append)
+    for _ in range(3):
+        p.begin()
+        assert p.done("fine") >= 0
+    assert said[0].startswith("[1/2] Materialise") and said[4].startswith("[3/3] Step 3") and said[1].endswith("fine")
+
+
+def test_renumbered(spark):
+    from strandmill.plans.combo import renumbered
+
+    rows = [("v", i, [i % 5]) for i in (0, 3, 4, 4096, 9000, 9001, 20000)] + [("w", 7, [1])]
+    got = renumbered(spark.createDataFrame(rows, "video_id string, frame_idx int, labels array<int>")).orderBy("video_id", "frame_idx").collect()
+    assert [(r["video_id"], r["frame_idx"], r["src_idx"]) for r in got] == [("v", k, i) for k, i in enumerate((0, 3, 4, 4096, 9000, 9001, 20000))] + [("w", 0, 7)]
