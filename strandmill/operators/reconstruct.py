@@ -46,15 +46,13 @@ def quality(a: DataFrame, b: DataFrame) -> DataFrame:
     return stats.select("video_id", "frame_idx", measures.psnr(F.col("mse")).alias("psnr"), measures.global_ssim(*[F.col(c) for c in ("ma", "mb", "va", "vb", "c")]).alias("ssim"))
 
 
-def hybrid_blend(frames: DataFrame, keys: DataFrame, share: float) -> DataFrame:
+def hybrid_blend(frames: DataFrame, keys: DataFrame, interval: int, share: float) -> DataFrame:
     """(video_id, frame_idx, px): each frame mixed with the last key picture, ``share`` of it; key frames stand as they are.
 
-    keys: (video_id, frame_idx, px). A frame before the first key stands too.
+    keys: (video_id, frame_idx, px) of every ``interval``-th frame; a frame without its key stands too.
     """
-    places = keys.groupBy("video_id").agg(F.sort_array(F.collect_list("frame_idx")).alias("places"))  # one short list a video
-    last = F.array_max(F.filter("places", lambda k: k <= F.col("frame_idx")))
-    at = frames.join(places, "video_id", "left").select("video_id", "frame_idx", "px", last.alias("key"))
-    both = at.join(keys.select("video_id", F.col("frame_idx").alias("key"), F.col("px").alias("k")), ["video_id", "key"], "left")
+    at = frames.select("video_id", "frame_idx", "px", (F.floor(F.col("frame_idx") / interval) * interval).cast("int").alias("key"))
+    both = at.join(keys.select("video_id", F.col("frame_idx").cast("int").alias("key"), F.col("px").alias("k")), ["video_id", "key"], "left")
     mixed = F.zip_with("px", "k", lambda p, q: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(p * (1.0 - share) + q * share, 6)))).cast("int"))
     return both.select("video_id", "frame_idx", F.when(F.col("k").isNull() | (F.col("key") == F.col("frame_idx")), F.col("px")).otherwise(mixed).alias("px"))
 

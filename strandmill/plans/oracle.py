@@ -149,6 +149,30 @@ qu AS (
          (2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225) / ((avg(a) * avg(a) + avg(b) * avg(b) + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)) AS ssim
   FROM pr GROUP BY ALL)"""
 
+def _canny(name: str, source: str, low: int, high: int) -> str:
+    """Edge pixels ``name`` (video_id, frame_idx, p) of ``source`` (video_id, frame_idx, g), g a list of 8 x 8 gray levels."""
+
+    def at(dy: int, dx: int) -> str:
+        y, x = (f"(CASE WHEN {v} + {d} < 0 THEN 1 WHEN {v} + {d} > 7 THEN 6 ELSE {v} + {d} END)" for v, d in (("y", dy), ("x", dx)))
+        return f"g[{y} * 8 + {x} + 1]"
+
+    def size(dy: int, dx: int) -> str:
+        return f"(CASE WHEN y + {dy} BETWEEN 0 AND 7 AND x + {dx} BETWEEN 0 AND 7 THEN sizes[(y + {dy}) * 8 + x + {dx} + 1] ELSE 0 END)"
+
+    gx = " + ".join(f"{w} * ({at(dy, 1)} - {at(dy, -1)})" for dy, w in ((-1, 1), (0, 2), (1, 1)))
+    gy = " + ".join(f"{w} * ({at(1, dx)} - {at(-1, dx)})" for dx, w in ((-1, 1), (0, 2), (1, 1)))
+    thin = " OR ".join(f"(turn = {k} AND size > {size(-dy, -dx)} AND size >= {size(dy, dx)})" for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))))
+    return f"""{name}_p AS (SELECT video_id, frame_idx, p, p // 8 AS y, p % 8 AS x, g FROM (SELECT *, unnest(range(64)) AS p FROM {source})),
+{name}_g AS (SELECT video_id, frame_idx, p, y, x, {gx} AS gx, {gy} AS gy FROM {name}_p),
+{name}_l AS (SELECT video_id, frame_idx, list(abs(gx) + abs(gy) ORDER BY p) AS sizes FROM {name}_g GROUP BY ALL),
+{name}_t AS (SELECT video_id, frame_idx, p, y, x, abs(gx) + abs(gy) AS size, sizes, CAST((round(degrees(atan2(gy, gx)) / 45) + 8) AS INT) % 4 AS turn FROM {name}_g JOIN {name}_l USING (video_id, frame_idx)),
+{name}_w AS (SELECT video_id, frame_idx, p, y, x, size FROM {name}_t WHERE size > {low} AND ({thin})),
+{name} AS (
+  SELECT video_id, frame_idx, p, y, x FROM {name}_w WHERE size > {high}
+  UNION
+  SELECT w.video_id, w.frame_idx, w.p, w.y, w.x FROM {name} e JOIN {name}_w w ON w.video_id = e.video_id AND w.frame_idx = e.frame_idx AND abs(w.y - e.y) <= 1 AND abs(w.x - e.x) <= 1)"""
+
+
 #: Kept frames renumbered, and their changed pixels.
 COMBO = f"""{NON_UNIFORM}, lf AS (SELECT video_id, frame_idx, list_transform(px, lambda v: greatest(0, CAST(floor((v - 96) / 20.0) AS INT))) AS labels FROM fr),
 ko AS (SELECT video_id, lf.frame_idx AS src_idx, CAST(row_number() OVER (PARTITION BY video_id ORDER BY lf.frame_idx) - 1 AS INT) AS frame_idx, labels FROM lf JOIN nk USING (video_id, frame_idx)),
@@ -185,6 +209,30 @@ TRACKED = """bx AS (
   SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, CAST(dayofyear(l_shipdate) AS INT) AS frame_idx, CAST(l_linenumber % 10 AS INT) AS class_id, l_discount * 5 + 0.2 AS conf FROM lineitem)"""
 
 
+def _tracks(name: str, where: str = "true") -> str:
+    """Tracks of the boxes that count as ``name`` (video_id, frame_idx, det, track_id, cx, cy, speed), box by box, with the live tracks as state."""
+    return f"""{name}_b AS (
+  SELECT video_id, frame_idx, det, cx, cy, 2 * half AS w, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx, det) AS rn FROM (
+    SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, CAST(dayofyear(l_shipdate) AS BIGINT) AS frame_idx, l_orderkey * 8 + l_linenumber AS det, (l_partkey % 640)::DOUBLE AS cx, (l_suppkey % 360)::DOUBLE AS cy,
+           l_quantity / 2 + 8 AS half, l_linenumber % 10 AS class_id, l_discount * 5 + 0.2 AS conf FROM lineitem) WHERE conf >= 0.25 AND class_id IN (0, 1, 2, 3, 5, 7) AND {where}),
+{name}_s AS (
+  SELECT video_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id INT, cx DOUBLE, cy DOUBLE, seen BIGINT)[]) AS tracks, 0 AS made, CAST(NULL AS INT) AS track_id, CAST(NULL AS DOUBLE) AS speed FROM {name}_b WHERE rn = 1
+  UNION ALL
+  SELECT video_id, rn,
+         CASE WHEN best.id IS NULL THEN list_append(live, {{'id': made + 1, 'cx': cx, 'cy': cy, 'seen': frame_idx}})
+              ELSE list_transform(live, lambda t: CASE WHEN t.id = best.id THEN {{'id': t.id, 'cx': cx, 'cy': cy, 'seen': frame_idx}} ELSE t END) END,
+         CASE WHEN best.id IS NULL THEN made + 1 ELSE made END,
+         CASE WHEN best.id IS NULL THEN made + 1 ELSE best.id END,
+         CASE WHEN best.seen < frame_idx THEN sqrt((cx - best.cx) ** 2 + (cy - best.cy) ** 2) / ((frame_idx - best.seen) / 30.0) END
+  FROM (
+    SELECT *, list_reduce(list_prepend({{'v': 0.0::DOUBLE, 'id': NULL::INT, 'cx': NULL::DOUBLE, 'cy': NULL::DOUBLE, 'seen': NULL::BIGINT}},
+        list_transform(list_filter(live, lambda t: abs(t.cx - cx) < w AND abs(t.cy - cy) < w),
+          lambda t: {{'v': (w - abs(t.cx - cx)) * (w - abs(t.cy - cy)) / (2 * w * w - (w - abs(t.cx - cx)) * (w - abs(t.cy - cy)) + 1e-8), 'id': t.id, 'cx': t.cx, 'cy': t.cy, 'seen': t.seen}})),
+        lambda acc, x: CASE WHEN x.v >= 0.25 AND x.v > acc.v THEN x ELSE acc END) AS best
+    FROM (SELECT s.video_id, b.rn, list_filter(s.tracks, lambda t: b.frame_idx - t.seen <= 30) AS live, s.made, b.frame_idx, b.cx, b.cy, b.w FROM {name}_s s JOIN {name}_b b ON b.video_id = s.video_id AND b.rn = s.rn + 1))),
+{name} AS (SELECT video_id, frame_idx, det, track_id, cx, cy, speed FROM {name}_s JOIN {name}_b USING (video_id, rn))"""
+
+
 def _joined(col: str) -> str:
     return f"array_to_string({col}, ',')"
 
@@ -279,6 +327,17 @@ SQL: dict[str, str] = {
         WITH {LABELS}, lp AS (SELECT video_id, frame_idx, p // 8 AS y, p % 8 AS x, labels[p + 1] AS l FROM (SELECT *, unnest(range(64)) AS p FROM lf)),
         dl AS (SELECT a.video_id, a.frame_idx, a.y, a.x, max(b.l) AS l FROM lp a JOIN lp b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
         SELECT video_id, frame_idx, string_agg(l, ',' ORDER BY y, x) AS labels FROM dl GROUP BY ALL""",
+    "content_aware": f"""
+        WITH RECURSIVE {PIXELS}, gg AS (SELECT video_id, frame_idx, px AS g FROM fr), {_canny('ed', 'gg', 50, 150)},
+        de AS (SELECT fr.video_id, fr.frame_idx, round(count(p) / 64.0, 9) AS score FROM fr LEFT JOIN ed USING (video_id, frame_idx) GROUP BY ALL)
+        SELECT video_id, frame_idx, round(score, 6) AS score FROM de
+        QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_idx) <= greatest(1, round_even(count(*) OVER (PARTITION BY video_id) * 0.2, 0))""",
+    "soft_edge_frames": f"""
+        WITH RECURSIVE {COLOURS}, gg AS (SELECT video_id, frame_idx, list(CAST(round_even(round(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 9), 0) AS INT) ORDER BY p) AS g FROM cl GROUP BY ALL),
+        {_canny('ed', 'gg', 60, 150)}, pal(k, pr, pg, pb) AS (VALUES {_PALETTE_ROWS}),
+        nn AS (SELECT video_id, frame_idx, p, arg_min(k, ((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) * 100 + k) AS k FROM cl CROSS JOIN pal GROUP BY ALL),
+        gr AS (SELECT DISTINCT nn.video_id, nn.frame_idx, nn.p FROM nn JOIN ed ON ed.video_id = nn.video_id AND ed.frame_idx = nn.frame_idx AND abs(nn.p // 8 - ed.y) <= 1 AND abs(nn.p % 8 - ed.x) <= 1)
+        SELECT video_id, frame_idx, string_agg(CASE WHEN gr.p IS NULL THEN 0 ELSE k + 1 END, ',' ORDER BY p) AS labels FROM nn LEFT JOIN gr USING (video_id, frame_idx, p) GROUP BY ALL""",
     "class_count_map": f"""
         WITH {GRID}, cc AS (SELECT video_id, class_id, count(*) AS n FROM ev GROUP BY ALL)
         SELECT video_id, CAST(count(*) AS INT) AS classes, '{{' || string_agg('"' || class_id || '":' || n, ',' ORDER BY class_id::VARCHAR) || '}}' AS counts FROM cc GROUP BY ALL""",
@@ -399,6 +458,14 @@ SQL: dict[str, str] = {
     "debug_overlay": f"""
         WITH {NON_UNIFORM}, st AS (SELECT nu.video_id, nu.frame_idx, nu.score, CASE WHEN nk.frame_idx IS NULL THEN 'SKIP' ELSE 'KEEP' END AS state FROM nu LEFT JOIN nk USING (video_id, frame_idx))
         SELECT video_id, frame_idx, state, printf('%s #%d  score=%.2e', state, frame_idx, score) AS caption FROM st""",
+    "tracker": f"WITH RECURSIVE {_tracks('tk')} SELECT video_id, frame_idx, det, track_id, cx, cy, round(speed, 6) AS speed FROM tk",
+    "traffic_fidelity": f"""
+        WITH RECURSIVE {_tracks('ta')}, {_tracks('th', 'frame_idx % 2 = 0')},
+        sa AS (SELECT video_id, count(DISTINCT track_id) AS n, coalesce(avg(speed), 0.0) AS mean, coalesce(max(speed), 0.0) AS most FROM ta GROUP BY ALL),
+        sh AS (SELECT video_id, count(DISTINCT track_id) AS n, coalesce(avg(speed), 0.0) AS mean, coalesce(max(speed), 0.0) AS most FROM th GROUP BY ALL)
+        SELECT video_id, round(coalesce(sh.n, 0) / sa.n * 100, 6) AS id_retention_pct, round(abs(coalesce(sh.mean, 0) - sa.mean) / (sa.mean + 1e-8) * 100, 6) AS avg_speed_error_pct,
+               round(abs(coalesce(sh.most, 0) - sa.most) / (sa.most + 1e-8) * 100, 6) AS max_speed_error_pct
+        FROM sa LEFT JOIN sh USING (video_id)""",
     "traffic_boxes": f"WITH {TRACKED} SELECT video_id, class_id, count(*) AS n FROM bx WHERE conf >= 0.25 AND class_id IN (0, 1, 2, 3, 5, 7) AND frame_idx % 2 = 0 GROUP BY ALL",
 }
 

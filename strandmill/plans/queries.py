@@ -377,7 +377,7 @@ def hybrid_blend(spark: SparkSession, d: str) -> DataFrame:
     """Frames mixed with their last key."""
     px = adapters.gray_frames(spark, d)
     keys = px.where(F.col("frame_idx") % KEY_INTERVAL == 0)
-    return reconstruct.hybrid_blend(px, keys, 0.25).select(*KEYS, F.array_join("px", ",").alias("px"))
+    return reconstruct.hybrid_blend(px, keys, KEY_INTERVAL, 0.25).select(*KEYS, F.array_join("px", ",").alias("px"))
 
 
 def residual_blend(spark: SparkSession, d: str) -> DataFrame:

@@ -150,9 +150,9 @@ def test_flow_interpolation(spark):
 
 
 def test_hybrid_blend(spark):
-    px = spark.createDataFrame([("v", i, [10 * i, 255 - i]) for i in range(5)] + [("w", 0, [1, 2])], "video_id string, frame_idx int, px array<int>")
-    got = {(r[0], r[1]): r[2] for r in reconstruct.hybrid_blend(px, px.where("video_id = 'v' and frame_idx in (1, 3)"), 0.4).collect()}
-    assert got == {("v", 0): [0, 255], ("v", 1): [10, 254], ("v", 2): [16, 253], ("v", 3): [30, 252], ("v", 4): [36, 251], ("w", 0): [1, 2]}
+    px = spark.createDataFrame([("v", i, [10 * i, 255 - i]) for i in range(5)] + [("w", 1, [1, 2])], "video_id string, frame_idx int, px array<int>")
+    got = {(r[0], r[1]): r[2] for r in reconstruct.hybrid_blend(px, px.where("frame_idx % 2 = 0"), 2, 0.4).collect()}
+    assert got == {("v", 0): [0, 255], ("v", 1): [6, 254], ("v", 2): [20, 253], ("v", 3): [26, 252], ("v", 4): [40, 251], ("w", 1): [1, 2]}
 
 
 def test_raw_sink(spark, tmp_path):
