@@ -80,21 +80,48 @@ def unpack_packets(packets: DataFrame) -> DataFrame:
 
     An empty payload is an edge packet without pixels. Any other tag is an error.
     """
-    code = F.hex("payload")
-    tag = F.when(F.length(code) == 0, F.lit("E")).when(code.startswith("45"), F.lit("E")).when(code.startswith("4B"), F.lit("K"))
-    tag = F.coalesce(tag, F.raise_error(F.concat(F.lit("unknown packet tag "), F.substring(code, 1, 2))).cast("string"))
-    n = F.when(F.col("tag") == "E", F.floor(F.greatest(F.lit(0), F.length("code") - 2) / 12).cast("int")).otherwise(F.lit(0))
-
-    def value(i: Column, k: int) -> Column:
-        at = i * 12 + 3 + 4 * k
-        return F.conv(F.concat(F.col("code").substr(at + 2, F.lit(2)), F.col("code").substr(at, F.lit(2))), 16, 10).cast("int")
-
-    pixels = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(value(i, 0).alias("y"), value(i, 1).alias("x"), value(i, 2).alias("label"))))
-    rows = packets.select("video_id", "frame_idx", "payload", tag.alias("tag"), code.alias("code"))
-    edges = rows.select("video_id", "frame_idx", "tag", F.explode_outer(pixels).alias("p"), F.when(F.col("tag") == "K", F.unhex(F.col("code").substr(F.lit(3), F.length("code")))).alias("picture"))
+    head, size = F.hex(F.expr("substring(payload, 1, 1)")), F.octet_length("payload")
+    tag = F.when((size == 0) | (head == "45"), F.lit("E")).when(head == "4B", F.lit("K"))
+    tag = F.coalesce(tag, F.raise_error(F.concat(F.lit("unknown packet tag "), head)).cast("string"))
+    n = F.when(F.col("tag") == "E", F.floor(F.greatest(F.lit(0), size - 1) / 6).cast("int")).otherwise(F.lit(0))
+    # a binary's substring costs the same wherever it begins
+    value = lambda k: f"cast(conv(hex(concat(substring(payload, 6 * i + {2 * k + 3}, 1), substring(payload, 6 * i + {2 * k + 2}, 1))), 16, 10) as int)"
+    pixels = F.expr(f"CASE WHEN n > 0 THEN transform(sequence(0, n - 1), i -> named_struct('y', {value(0)}, 'x', {value(1)}, 'label', {value(2)})) END")
+    rows = packets.select("video_id", "frame_idx", "payload", tag.alias("tag")).withColumn("n", n)
+    edges = rows.select("video_id", "frame_idx", "tag", F.explode_outer(pixels).alias("p"), F.when(F.col("tag") == "K", F.expr("substring(payload, 2, greatest(octet_length(payload) - 1, 0))")).alias("picture"))
     return edges.select("video_id", "frame_idx", "tag", "p.y", "p.x", "p.label", "picture")
 
 
+def decode_packets(packets: DataFrame, height: int = WIDTH, width: int = WIDTH, interval: int = INTERVAL) -> DataFrame:
+    """(video_id, frame_idx, labels) of the edge packets (video_id, frame_idx, payload), a segment at a time; key packets are passed over.
+
+    The payloads are read as they are; no pixel becomes a row.
+    """
+    kind = packets.schema["frame_idx"].dataType.simpleString()
+    own = packets.select("video_id", F.col("frame_idx").cast("long").alias("at"), "payload", _segment(interval).alias("segment"))
+    schema = pa.schema([("video_id", pa.string()), ("at", pa.int64()), ("labels", pa.list_(pa.int32()))])
+
+    def decode(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        now, out, kept = np.zeros(height * width, np.int32), [], []
+        for k, payload in enumerate(rows.column("payload").to_pylist()):
+            if payload[:1] == b"K":
+                continue
+            if payload[:1] not in (b"", b"E"):
+                raise ValueError(f"unknown packet tag {payload[:1].hex().upper()}")
+            y, x, label = np.frombuffer(payload[1 : 1 + max(0, len(payload) - 1) // 6 * 6], "<u2").reshape(-1, 3).T.astype(np.int64)
+            now[y * width + x] = label
+            out.append(now.copy())
+            kept.append(k)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * (height * width)
+        labels = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else now[:0]))
+        rows = rows.take(pa.array(kept, pa.int64())).combine_chunks()
+        return pa.Table.from_arrays([rows.column("video_id"), rows.column("at"), labels], schema=schema)
+
+    found = own.groupBy("video_id", "segment").applyInArrow(decode, "video_id string, at long, labels array<int>")
+    return found.select("video_id", F.col("at").cast(kind).alias("frame_idx"), "labels")
+
+
 def assign_palette(pixels: DataFrame, palette: list[tuple[float, float, float]]) -> DataFrame:
     """``pixels`` (.., r, g, b) with label = 1 + the nearest palette entry, the first of those tied.
 

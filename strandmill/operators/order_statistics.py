@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandmill.session import durable
 
-#: Steps of the sketch, and its accuracy; the brackets are wider than its error by more than an order of magnitude.
-GRID, ACCURACY = 500, 10_000
+#: Steps of the sketch, and its accuracy; the brackets reach beyond a place by five times its error or more.
+GRID, ACCURACY = 500, 2_500
 
 
 def sketch(values: DataFrame) -> DataFrame:

@@ -63,9 +63,7 @@ def playback(packets: DataFrame, frames: DataFrame, interval: int, name: str = "
 
 def decompress(packets: DataFrame, interval: int) -> DataFrame:
     """(video_id, frame_idx, labels) of edge packets; the interval comes with the stream."""
-    rows = codec.unpack_packets(packets)
-    edges = rows.where("tag = 'E'")
-    return codec.delta_decode(edges.where("label is not null").select("video_id", "frame_idx", "y", "x", "label"), edges.select("video_id", "frame_idx").distinct(), interval=interval)
+    return codec.decode_packets(packets, interval=interval)
 
 
 def packet_sizes(triples: DataFrame, frames: DataFrame, pixel_bytes: int = 6) -> DataFrame:
