@@ -256,12 +256,19 @@ def _runs(seen, only: np.ndarray | None = None):
 
 
 def _filter(hashes: DataFrame) -> bytes:
-    """A bitmap of the low FILTER_BITS of ``hashes`` (via), of a fixed size; what it lets through in vain has no like."""
-    spot = F.col("via").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    cell = hashes.select(F.shiftright(spot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast((via & {(1 << FILTER_BITS) - 1}L) & 63 as int))").alias("bit"))
-    found = cell.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), "<i8")
-    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    """A bitmap of the low FILTER_BITS of ``hashes`` (via), of a fixed size; what it lets through in vain has no like.
+
+    It comes to the driver in pieces of 4,096 bits, so what comes is no more than the bitmap, however many hashes there are.
+    """
+    low = (1 << FILTER_BITS) - 1
+    cell = hashes.select(F.expr(f"shiftright(via & {low}L, 6)").alias("cell"), F.expr("shiftleft(1L, cast(via & 63 as int))").alias("bit"))
+    words = cell.groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    entries = F.collect_list(F.struct(F.expr("cast(cell & 63 as int)").alias("at"), "bits"))
+    pieces = words.groupBy(F.shiftright("cell", 6).alias("piece")).agg(F.map_from_entries(entries).alias("words"))
+    found = pieces.select("piece", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("words", i), F.lit(0).cast("long"))).alias("words")).toArrow()
+    out = np.zeros((1 << (FILTER_BITS - 12), 64), "<i8")
+    if found.num_rows:
+        out[found.column("piece").to_numpy()] = found.column("words").combine_chunks().flatten().to_numpy().reshape(-1, 64)
     return out.tobytes()
 
 
