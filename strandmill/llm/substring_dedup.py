@@ -1,14 +1,15 @@
 """Substring deduplication by sliding sentence spans.
 
 Every run of ``RUN`` consecutive sentences is hashed; equal runs are found by one global aggregation, and every occurrence
-but the first (by doc_id, then row, then place) is non-first. What a non-first run covers is removed. Sentences end after
-words that end in . ! or ?, and at line breaks.
+but the first (by doc_id, then row, then place) is non-first. What a non-first run covers is removed, however short. Sentences
+end after words that end in . ! or ?, and at line breaks; so a single line of a few clipped sentences, which many unrelated
+documents may share, is no run.
 
 A shared passage need not begin and end with sentences, and sentences can be long. So there are runs of clauses too: a
 clause ends where a sentence does, and after the word with the least hash of any ``WINDOW`` consecutive words, so that none
 has more than ``WINDOW`` words. Whether one ends after a word depends on that word and the ``WINDOW`` - 1 words on either
 side of it, on nothing further off. A run of clauses goes from the beginning of any clause (or to the end of any) over
-``RUN`` of them or more, until it has ``SPAN`` words, as many as a few sentences. Of 50 shared words, which may begin and
+``CLAUSES`` of them or more, until it has ``SPAN`` words, as many as several sentences. Of 50 shared words, which may begin and
 end in mid-sentence, the ends from the 8th to the 43rd word fall alike in every copy; the first of them is at the 15th at
 the latest and the run from there has 27 words at most. So any 50 shared words hold a whole run. Up to 15 words at either
 edge of such a passage may stay.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.common import LOWER_TABLE, addressed, durable, fresh, hot_limit, meet
 
-RUN, SPAN, WINDOW = 3, 20, 8
+RUN, CLAUSES, SPAN, WINDOW = 5, 3, 20, 8
 #: Bits of the filter of repeated hashes that goes to the workers.
 FILTER_BITS = 27
 #: Bytes of text that are hashed at once; bounds memory for very long texts.
@@ -126,23 +127,23 @@ class _Block:
         self.clause_end = np.flatnonzero(stops)
         self.sentence_end = np.flatnonzero(marks | final)
 
-    def _runs(self, ends: np.ndarray, least: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, last words) of the shortest runs of RUN parts or more, and ``least`` words or more, from (or to) each part."""
+    def _runs(self, ends: np.ndarray, parts: int, least: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, last words) of the shortest runs of ``parts`` parts or more, and ``least`` words or more, from (or to) each part."""
         n = len(ends)
         starts = np.concatenate([[0], ends[:-1] + 1]) if n else ends
         place = np.arange(n)
         if backward:
-            first = np.minimum(place - RUN + 1, np.searchsorted(starts, ends - (least - 1), side="right") - 1)
+            first = np.minimum(place - parts + 1, np.searchsorted(starts, ends - (least - 1), side="right") - 1)
             good = (first >= 0) & (self.doc[starts[np.maximum(first, 0)]] == self.doc[ends])
             return starts[first[good]], ends[good]
-        last = np.maximum(place + RUN - 1, np.searchsorted(ends, starts + (least - 1)))
+        last = np.maximum(place + parts - 1, np.searchsorted(ends, starts + (least - 1)))
         good = (last < n) & (self.doc[ends[np.minimum(last, n - 1)]] == self.doc[starts])
         return starts[good], ends[last[good]]
 
     def forward(self) -> tuple[np.ndarray, np.ndarray]:
         """(first words, last words) of the runs of sentences and of those from each clause on, each once."""
-        a, b = self._runs(self.clause_end, SPAN)
-        c, d = self._runs(self.sentence_end, 1)
+        a, b = self._runs(self.clause_end, CLAUSES, SPAN)
+        c, d = self._runs(self.sentence_end, RUN, 1)
         if not len(c):
             return a, b
         spot = np.minimum(np.searchsorted(a, c), max(len(a) - 1, 0))
@@ -151,7 +152,7 @@ class _Block:
 
     def backward(self) -> tuple[np.ndarray, np.ndarray]:
         """(first words, last words) of the runs up to each clause."""
-        return self._runs(self.clause_end, SPAN, backward=True)
+        return self._runs(self.clause_end, CLAUSES, SPAN, backward=True)
 
     def hashed(self, first: np.ndarray, last: np.ndarray, half: int) -> np.ndarray:
         """One half (0 or 1) of the hashes of runs, signed."""

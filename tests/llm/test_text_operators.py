@@ -202,8 +202,9 @@ def plain_runs(text):
         return tuple(w for w, at in words if a <= at < b)
 
     lines = substring_dedup.sentences(text)
-    for k in range(len(lines) - 2):
-        out[lines[k][0], lines[k + 2][1]] = part(lines[k][0], lines[k + 2][1])
+    run = substring_dedup.RUN
+    for k in range(len(lines) - run + 1):
+        out[lines[k][0], lines[k + run - 1][1]] = part(lines[k][0], lines[k + run - 1][1])
     parts = substring_dedup.clauses(text)
     n = [len(part(*p)) for p in parts]
     long = [(a, b) for a in range(len(parts)) for b in range(a + 2, len(parts)) if sum(n[a : b + 1]) >= substring_dedup.SPAN]
@@ -268,11 +269,12 @@ def test_sentences():
     assert [text[a:b] for a, b in substring_dedup.sentences(text)] == ["One two. ", "Three\n", "four! ", "a.", "b 3.", "14 x"]
 
 
-def test_three_sentences_without_a_floor(spark):
-    """Any three whole sentences that repeat are found, however short, within a text too; two are not."""
-    rows = [(1, "No way. Yes! Go on home now please."), (2, "So it is.\nNO  way.\nYes! Go on home now please."), (3, "Yes! Go on home now please."), (4, "A b. C d. E f. A b. C d. E f.")]
+def test_runs_of_sentences_have_no_floor(spark):
+    """Any RUN whole sentences that repeat are found, however short, within a text too; fewer are not."""
+    tail = "Yes! Go. On home. Now. Please."
+    rows = [(1, "No way. " + tail), (2, "So it is.\nNO  way.\n" + tail), (3, "On home. Now. Please. Bye."), (4, "A. B. C d. E. F. A. B. C d. E. F.")]
     got = {(r["doc_id"], dict(rows)[r["doc_id"]][r["start"] : r["end"]], r["first_doc_id"]) for r in substring_dedup.repeated_spans(docs(spark, rows)).collect()}
-    assert got == {(2, "NO  way.\nYes! Go on home now please.", 1), (4, "A b. C d. E f.", 4)}
+    assert got == {(2, "NO  way.\n" + tail, 1), (4, "A. B. C d. E. F.", 4)}
 
 
 def test_blocks_change_nothing(monkeypatch):
