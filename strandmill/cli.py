@@ -1,4 +1,4 @@
-"""Command line: python -m strandmill.cli sample|compress|decompress ..., over Parquet tables."""
+"""Command line: python -m strandmill.cli sample|compress|decompress|combo ..., over Parquet tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.plans import compressor, config, report, sampler
+from strandmill.plans import combo, compressor, config, progress, report, sampler
 from strandmill.session import ship_package
 
 RETENTION = {"min_retention": "min_retention_ratio", "max_retention": "max_retention_ratio", "target_retention": "soft_target_retention"}
@@ -51,7 +51,8 @@ def sample(spark: SparkSession, args: argparse.Namespace) -> str:
 def compress(spark: SparkSession, args: argparse.Namespace) -> str:
     cfg = config.load(args.config, config.COMPRESS) if args.config else config.COMPRESS
     where = output_dir(args.out, args.name, cfg)
-    compressor.compress(spark.read.parquet(args.frames), cfg).withColumn("interval", F.lit(cfg["soft_edge"]["keyframe_interval"])).write.parquet(f"{where}/packets")
+    raw = spark.read.parquet(args.raw) if args.raw else None
+    compressor.compress(spark.read.parquet(args.frames), cfg, raw=raw).withColumn("interval", F.lit(cfg["soft_edge"]["keyframe_interval"])).write.parquet(f"{where}/packets")
     return where
 
 
@@ -63,10 +64,30 @@ def decompress(spark: SparkSession, args: argparse.Namespace) -> str:
     return where
 
 
+def run_combo(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Sampling and coding in one run: what ``sample`` writes, then packets, decoded labels and a report of sizes for the kept frames."""
+    cfg = config.load(args.codec_config, config.COMPRESS) if args.codec_config else config.COMPRESS
+    told = progress.Progress([*progress.steps(settings(args)), "Code what is kept", "Decode and report"])
+    told.begin()
+    where = sample(spark, args)
+    told.done()
+    told.begin("Code what is kept")
+    out = combo.run_combo(spark.read.parquet(args.labels), spark.read.parquet(f"{where}/selection"), cfg, args.frame_bytes)
+    out.packets.withColumn("interval", F.lit(cfg["soft_edge"]["keyframe_interval"])).write.parquet(f"{where}/packets")
+    told.done()
+    told.begin("Decode and report")
+    out.decoded.write.parquet(f"{where}/labels")
+    report.write_json(out.report, f"{where}/sizes")
+    told.done()
+    return where
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandmill", description=__doc__)
     sub = p.add_subparsers(required=True)
-    for name, run, inputs in (("sample", sample, ("frames", "features", "motion")), ("compress", compress, ("frames",)), ("decompress", decompress, ("packets",))):
+    for name, run, inputs in (
+        ("sample", sample, ("frames", "features", "motion")), ("compress", compress, ("frames",)), ("decompress", decompress, ("packets",)), ("combo", run_combo, ("frames", "features", "motion", "labels")),
+    ):
         c = sub.add_parser(name)
         c.set_defaults(run=run)
         for i in inputs:
@@ -74,7 +95,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--out", default="")
         c.add_argument("--name", default=name)
         c.add_argument("--config")
-        if name == "sample":
+        if name == "compress":
+            c.add_argument("--raw", help="raw pictures, for key pictures")
+        if name == "combo":
+            c.add_argument("--codec-config")
+            c.add_argument("--frame-bytes", type=int, default=1280 * 720 * 3)
+        if name in ("sample", "combo"):
             c.add_argument("--policy", choices=("default", "adaptive", "fixed"), default="default")
             c.add_argument("--preset", action="append", default=[], choices=sorted(config.PRESETS))
             c.add_argument("--retention", type=float, default=0.2)

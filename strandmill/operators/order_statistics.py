@@ -56,7 +56,7 @@ def at_places(values: DataFrame, places: dict[str, Column], extra: DataFrame | N
         holds = lambda i: (F.col("upto") > i) & (F.col("upto") - F.col("c") <= i)
         low, high = F.max(F.when(holds(lower), F.col("key"))), F.max(F.when(holds(upper), F.col("key")))
         part = F.first(place - lower)
-        value = F.coalesce((1 - part) * low + part * high, F.raise_error(F.lit(f"{p}: the place lies outside its bracket")).cast("double"))
+        value = F.coalesce(low + (high - low) * part, F.raise_error(F.lit(f"{p}: the place lies outside its bracket")).cast("double"))
         found.append(value.alias(p))
         found.append((F.first("n") - F.max(F.when(holds(lower), F.col("upto")))).alias(f"{p}_above"))
     return upto.groupBy("video_id").agg(F.first("n").alias("n"), *found)

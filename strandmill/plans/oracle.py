@@ -421,7 +421,7 @@ SQL: dict[str, str] = {
     "box_overlap": """
         WITH b AS (
           SELECT CAST(year(l_shipdate) AS VARCHAR) AS video_id, dayofyear(l_shipdate) AS frame_idx, l_orderkey * 8 + l_linenumber AS det, (l_partkey % 640)::DOUBLE AS cx, (l_suppkey % 360)::DOUBLE AS cy, l_quantity / 2 + 8 AS half FROM lineitem),
-        p AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(half) OVER w AS ph FROM b WINDOW w AS (PARTITION BY video_id, frame_idx ORDER BY det)),
+        p AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(half) OVER w AS ph FROM b WINDOW w AS (PARTITION BY video_id, frame_idx ORDER BY det, cx - half, cy - half, cx + half)),
         o AS (SELECT *, greatest(0.0, least(cx + half, px + ph) - greatest(cx - half, px - ph)) * greatest(0.0, least(cy + half, py + ph) - greatest(cy - half, py - ph)) AS ov FROM p WHERE px IS NOT NULL)
         SELECT video_id, det, round(CASE WHEN ov <= 0 THEN 0.0 ELSE ov / (4 * half * half + 4 * ph * ph - ov + 1e-8) END, 6) AS iou FROM o""",
     "delta_encode": f"WITH {TRIPLES} SELECT video_id, frame_idx, CAST(y AS INT) AS y, CAST(x AS INT) AS x, label FROM tr",

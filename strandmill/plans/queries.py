@@ -510,7 +510,7 @@ def traffic_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each box with the one before it in its frame (2.8 geometry)."""
-    before = F.lag("box").over(Window.partitionBy(*KEYS).orderBy("det"))
+    before = F.lag("box").over(Window.partitionBy(*KEYS).orderBy("det", "box"))  # det numbers repeat
     x = adapters.boxes(spark, d).withColumn("before", before).where("before is not null")
     return r6(x.select("video_id", "det", measures.iou(F.col("box"), F.col("before")).alias("iou")), "iou")
 

@@ -223,3 +223,22 @@ def test_renumbered(spark):
     rows = [("v", i, [i % 5]) for i in (0, 3, 4, 4096, 9000, 9001, 20000)] + [("w", 7, [1])]
     got = renumbered(spark.createDataFrame(rows, "video_id string, frame_idx int, labels array<int>")).orderBy("video_id", "frame_idx").collect()
     assert [(r["video_id"], r["frame_idx"], r["src_idx"]) for r in got] == [("v", k, i) for k, i in enumerate((0, 3, 4, 4096, 9000, 9001, 20000))] + [("w", 0, 7)]
+
+
+def test_combo_command(spark, sf_dir, tmp_path):
+    from strandmill import cli
+    from strandmill.sources import adapters
+
+    grid = adapters.detection_frames(spark, sf_dir).where("video_id in ('v1', 'v2') and frame_idx < 100")
+    grid.write.parquet(str(tmp_path / "f"))
+    adapters.grid_features(spark, sf_dir).join(grid.select("video_id", "frame_idx"), ["video_id", "frame_idx"]).write.parquet(str(tmp_path / "g"))
+    scoring.level_motion(grid).write.parquet(str(tmp_path / "m"))
+    labels = adapters.label_frames(spark, sf_dir).where("video_id in ('v1', 'v2')")
+    labels.write.parquet(str(tmp_path / "l"))
+    where = cli.main(["combo", *[x for n, d in (("frames", "f"), ("features", "g"), ("motion", "m"), ("labels", "l")) for x in (f"--{n}", str(tmp_path / d))], "--out", str(tmp_path), "--frame-bytes", "64", "--policy", "adaptive"])
+    kept = spark.read.parquet(f"{where}/selection")
+    back = spark.read.parquet(f"{where}/labels")
+    want = {(r["video_id"], r["frame_idx"]): r["labels"] for r in labels.join(kept.select("video_id", "frame_idx"), ["video_id", "frame_idx"]).collect()}
+    assert {(r["video_id"], r["src_idx"]): r["labels"] for r in back.collect()} == want and 20 < len(want) < 200
+    sizes = spark.read.json(f"{where}/sizes").collect()
+    assert sum(r["n_kept"] for r in sizes) == len(want) and all(r["n_total"] == 100 for r in sizes)
