@@ -242,3 +242,50 @@ def test_combo_command(spark, sf_dir, tmp_path):
     assert {(r["video_id"], r["src_idx"]): r["labels"] for r in back.collect()} == want and 20 < len(want) < 200
     sizes = spark.read.json(f"{where}/sizes").collect()
     assert sum(r["n_kept"] for r in sizes) == len(want) and all(r["n_total"] == 100 for r in sizes)
+
+
+def test_semantic_ablation_loop(spark, sf_dir):
+    from strandmill.operators import baselines, context
+    from strandmill.sources import adapters
+
+    features = adapters.features(spark, sf_dir).where("video_id in ('v0', 'v3')")
+    got = {(r["video_id"], r["frame_idx"]) for r in baselines.semantic_ablation(features, 0.2).collect()}
+    want = set()
+    for video in ("v0", "v3"):
+        x = np.array([r["feat"] for r in features.where(f"video_id = '{video}'").orderBy("frame_idx").collect()])
+        score = []
+        for t in range(len(x)):
+            past = x[max(0, t - 15) : t]
+            reps, centers = context.diverse_context(past, 3)
+            delta = 1 - max(float(past[i] @ x[t]) for i in reps) if t else 1.0
+            fresh = min(1.0, min(float(np.linalg.norm(c - x[t])) for c in centers) / 1.414) if t else 1.0
+            score.append(round(delta * fresh, 9))
+        order = sorted(range(len(x)), key=lambda i: (-score[i], i))
+        want |= {(video, i) for i in order[: round(len(x) * 0.2)]}
+    assert got == want
+
+
+def test_fill_background_loop():
+    rng = np.random.default_rng(9)
+    soft = np.where(rng.random((9, 11, 1)) < 0.15, rng.integers(30, 256, (9, 11, 3)), 0).astype(np.uint8)
+    level = soft.astype(float)
+    known = imaging.gray(soft[:, :, ::-1]) > 0
+    while not known.all():
+        ring = []
+        for y in range(9):
+            for x in range(11):
+                near = [level[r, c] for r in range(max(0, y - 1), min(9, y + 2)) for c in range(max(0, x - 1), min(11, x + 2)) if known[r, c]]
+                if not known[y, x] and near:
+                    ring.append((y, x, np.mean(near, axis=0)))
+        for y, x, v in ring:
+            level[y, x], known[y, x] = v, True
+    assert (imaging.fill_background(soft) == np.clip(np.rint(level), 0, 255)).all()
+
+
+def test_palette_fit_finds_clear_clusters(spark):
+    rng = np.random.default_rng(10)
+    centers = np.array([[10, 10, 10], [200, 30, 40], [60, 220, 90]])
+    px = (centers[rng.integers(0, 3, 600)] + rng.integers(-4, 5, (600, 3))).astype(float).tolist()
+    got = codec.fit_palette(spark.createDataFrame(px, "r double, g double, b double"), clusters=3)
+    assert np.abs(np.array(sorted(got)) - np.array(sorted(centers.tolist()))).max() < 2
+    assert codec.fit_palette(spark.createDataFrame([], "r double, g double, b double"), clusters=2) == [(0.0, 0.0, 0.0)] * 2
